@@ -8,20 +8,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import signed_log
-from .keys import first_in_group, join_on_keys, require_columns, tie_break
-from .ordered import ROWS_PER_CHUNK, prefix_sums
+from .keys import first_in_group, require_columns, tie_break
+from .ordered import ROWS_PER_CHUNK, add_running, chunk_totals
 
 TXN_REQUIRED = ("accountId", "id", "date", "amount", "direction")
 ACC_REQUIRED = ("accountId", "availableBalance", "balanceDateTime")
 PENDING_ID = "PENDING_ROLLBACK"  # Fixed value.
+NO_ACCOUNT = "NAN"  # Fixed value: the key of rows without an account id.
 FLIP_SHARE = 0.99  # Fixed value: share of wrong-signed rows above which all signs flip.
 FEATURES = ("start", "end", "min", "max", "avg", "std", "starting")
 
 
 def account_key(col: str | Column = "accountId") -> Column:
-    """Account ids compare as upper-case text."""
+    """Account ids compare as upper-case text; rows without one share a marker."""
     col = F.col(col) if isinstance(col, str) else col
-    return F.upper(col.cast("string"))
+    return F.coalesce(F.upper(col.cast("string")), F.lit(NO_ACCOUNT))
 
 
 def latest_snapshot(accounts: DataFrame) -> DataFrame:
@@ -69,7 +70,7 @@ def normalize_signs(txns: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Flip every amount when the sign convention is reversed, per ``by`` group or overall."""
     if by:
         flips = txns.groupBy(*by).agg(_flip_test().alias("_flip"))
-        marked = join_on_keys(txns, flips, list(by), "left")
+        marked = txns.join(flips, list(by), "left")
     else:
         marked = txns.withColumn("_flip", txns.agg(_flip_test().alias("_flip")).scalar())
     return marked.withColumn("amount", F.when(F.col("_flip"), -F.col("amount")).otherwise(F.col("amount"))).drop(
@@ -80,7 +81,7 @@ def normalize_signs(txns: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 def pending_rows(txns: DataFrame, snapshots: DataFrame) -> DataFrame:
     """One synthetic row per account that has transactions and a non-zero pending amount."""
     amount = F.col("estimatedPendingAmount").cast("double")
-    seen = txns.select("accountId").distinct()
+    seen = txns.select(account_key().alias("accountId")).distinct()
     return (
         snapshots.filter(amount.isNotNull() & ~F.isnan(amount) & (amount != 0))
         .join(seen, "accountId", "left_semi")
@@ -100,25 +101,24 @@ def _prepared(
     snaps = latest_snapshot(accounts)
     rows = normalize_signs(dedupe_transactions(txns), sign_by)
     if include_pending and "estimatedPendingAmount" in accounts.columns:
-        rows = rows.unionByName(pending_rows(rows, snaps), allowMissingColumns=True)
+        rows = rows.unionByName(pending_rows(txns, snaps), allowMissingColumns=True)
     return rows, snaps.select("accountId", "availableBalance", "balanceDateTime")
 
 
-def opening_balances(days: DataFrame, snaps: DataFrame) -> DataFrame:
-    """Balance before each day from per-day sums: snapshot - history + what came before.
+def opening_balances(totals: DataFrame, snaps: DataFrame, total: str, order: Sequence[str]) -> DataFrame:
+    """``opening`` balance before each day (or part of a day): snapshot - history + what came before.
 
-    ``days`` has one row per account and day with ``day_sum``, so the windows see at most one
-    row per calendar day however many transactions the account has.
+    ``totals`` holds one row per account and day (or chunk of a day), so the windows see about
+    one row per calendar day however many transactions the account has.
     """
-    grid = days.join(snaps, "accountId", "left")
+    grid = totals.join(snaps, "accountId", "left")
     whole = Window.partitionBy("accountId")
-    before = whole.orderBy(F.col("date").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
-    history = F.coalesce(
-        F.sum(F.when(F.col("date") <= F.col("balanceDateTime"), F.col("day_sum"))).over(whole), F.lit(0.0)
-    )
-    earlier = F.coalesce(F.sum("day_sum").over(before), F.lit(0.0))
-    return grid.withColumn("history", history).withColumn(
-        "opening", F.col("availableBalance") - F.col("history") + earlier
+    before = whole.orderBy(*[F.col(c).asc_nulls_last() for c in order]).rowsBetween(Window.unboundedPreceding, -1)
+    known = F.when(F.col("date") <= F.col("balanceDateTime"), F.col(total))
+    history = F.coalesce(F.sum(known).over(whole), F.lit(0.0))
+    earlier = F.coalesce(F.sum(total).over(before), F.lit(0.0))
+    return grid.withColumn("opening", F.col("availableBalance") - history + earlier).drop(
+        "availableBalance", "balanceDateTime"
     )
 
 
@@ -150,38 +150,31 @@ def running_balance(
     NULL where the account has no snapshot or the row has no amount.
     """
     rows, snaps = _prepared(txns, accounts, include_pending, sign_by)
-    history = (
-        rows.groupBy("accountId", "date")
-        .agg(F.sum("amount").alias("day_sum"))
-        .join(snaps, "accountId", "left")
-        .groupBy("accountId")
-        .agg(
-            (
-                F.max("availableBalance")
-                - F.coalesce(
-                    F.sum(F.when(F.col("date") <= F.col("balanceDateTime"), F.col("day_sum"))), F.lit(0.0)
-                )
-            ).alias("_initial")
-        )
-    )
+    # Undated rows come last, in a day of their own.
+    day = F.coalesce(F.datediff("date", F.lit("1970-01-01").cast("date")), F.lit(2**31 - 1))
     raw_ids = txns.select(
         account_key().alias("accountId"), F.to_date("date").alias("date"), F.col("id").cast("string").alias("id")
     )
-    summed = prefix_sums(
-        rows,
+    chunked, totals = chunk_totals(
+        rows.withColumn("_day", day),
         ["accountId"],
         ["id"],
-        {"_running": F.col("amount")},
-        coarse=["date"],
+        {"amount": F.col("amount")},
+        coarse=["_day"],
         rows_per_chunk=rows_per_chunk,
-        cut_source=raw_ids,
+        cut_source=raw_ids.withColumn("_day", day).drop("date"),
+    )
+    dated = totals.withColumn(
+        "date", F.when(F.col("_day") < 2**31 - 1, F.date_add(F.lit("1970-01-01").cast("date"), F.col("_day")))
     )
+    offsets = opening_balances(dated, snaps, "_t_amount", ["_day", "_chunk"]).select(
+        "accountId", "_day", "_chunk", "opening"
+    )
+    running = {"_running": (F.col("amount"), "opening")}
     return (
-        join_on_keys(summed, history, ["accountId"], "left")
-        .withColumn(
-            "balance_after", F.when(F.col("amount").isNotNull(), F.col("_initial") + F.col("_running"))
-        )
-        .drop("_initial", "_running")
+        add_running(chunked, offsets, ["accountId"], ["id"], running, coarse=["_day"])
+        .withColumn("balance_after", F.when(F.col("amount").isNotNull(), F.col("_running")))
+        .drop("_running", "_day")
     )
 
 
@@ -198,7 +191,7 @@ def daily_balances(
     days = rows.groupBy("accountId", "date").agg(F.sum("amount").alias("day_sum"))
     running_date = rows.agg(F.max("date").alias("d")).scalar()
     return (
-        opening_balances(days, snaps)
+        opening_balances(days, snaps, "day_sum", ["date"])
         .filter(F.col("date").isNotNull())
         .select(
             "accountId", "date", (F.col("opening") + F.col("day_sum")).alias("balance"),
@@ -211,7 +204,7 @@ def balance_on(probes: DataFrame, daily: DataFrame) -> DataFrame:
     """Closing balance on exactly the probe's day, NULL where there is none."""
     keyed = probes.withColumn("_acc", account_key()).withColumn("_day", F.to_date("date"))
     right = daily.select(F.col("accountId").alias("_acc"), F.col("date").alias("_day"), "balance")
-    return join_on_keys(keyed, right, ["_acc", "_day"]).drop("_acc", "_day")
+    return keyed.join(right, ["_acc", "_day"], "left").drop("_acc", "_day")
 
 
 def starting_balance_on(probes: DataFrame, daily: DataFrame, strict: bool = False) -> DataFrame:
@@ -238,7 +231,7 @@ def starting_balance_on(probes: DataFrame, daily: DataFrame, strict: bool = Fals
         .filter("_asked = 1")
         .select("_acc", "_day", "starting_balance")
     )
-    return join_on_keys(keyed, answers, ["_acc", "_day"]).drop("_acc", "_day")
+    return keyed.join(answers, ["_acc", "_day"], "left").drop("_acc", "_day")
 
 
 def window_stats(
@@ -283,7 +276,7 @@ def window_stats(
         )
         .withColumn("balance_change", F.col("end_balance") - F.col("start_balance"))
     )
-    return join_on_keys(keyed, stats, ["_acc", "_from", "_to"]).drop("_acc", "_from", "_to")
+    return keyed.join(stats, ["_acc", "_from", "_to"], "left").drop("_acc", "_from", "_to")
 
 
 def rolling_features(daily: DataFrame, back: int = 8, until: int = 1, strict: bool = False) -> DataFrame:

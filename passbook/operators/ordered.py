@@ -14,9 +14,9 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from ..functions.hashing import stable_hash
-from .keys import join_on_keys
 
 ROWS_PER_CHUNK = 1_000_000
 
@@ -61,12 +61,64 @@ def with_chunks(
     )
     cuts = marks.groupBy(*keys).agg(F.sort_array(F.collect_set("_place")).alias("_cuts"))
     if keys:
-        placed = join_on_keys(df, cuts, keys, "left")
+        placed = df.join(cuts, list(keys), "left")
     else:
         placed = df.withColumn("_cuts", cuts.scalar())
     return placed.withColumn("_chunk", _cuts_at_or_below(F.col("_cuts"), place)).drop("_cuts")
 
 
+def chunk_totals(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    sums: Mapping[str, Column],
+    coarse: Sequence[str] = (),
+    rows_per_chunk: int = ROWS_PER_CHUNK,
+    cut_source: DataFrame | None = None,
+) -> tuple[DataFrame, DataFrame]:
+    """The rows with their chunk, and per chunk the total ``_t_<name>`` of each expression.
+
+    ``coarse`` are leading order columns with few values per group, such as a day; they cut the
+    group further at no cost. ``keys`` and ``coarse`` must not be NULL.
+    """
+    group = [*keys, *coarse]
+    chunked = with_chunks(df, group, order, rows_per_chunk, cut_source)
+    totals = chunked.groupBy(*group, "_chunk").agg(
+        *[F.coalesce(F.sum(expr), F.lit(0)).alias(f"_t_{name}") for name, expr in sums.items()]
+    )
+    return chunked, totals
+
+
+def chunk_windows(keys: Sequence[str], coarse: Sequence[str] = ()) -> tuple[WindowSpec, WindowSpec]:
+    """Windows over chunk totals: the whole group, and the chunks before this one."""
+    whole = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    before = whole.orderBy(*coarse, "_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    return whole, before
+
+
+def add_running(
+    chunked: DataFrame,
+    offsets: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    running: Mapping[str, tuple[Column, str]],
+    coarse: Sequence[str] = (),
+) -> DataFrame:
+    """Join each chunk's offset to its rows and add the running sum inside the chunk.
+
+    ``running`` maps an output name to ``(expression, offset column)``. The join and the window
+    share one shuffle on the chunk.
+    """
+    group = [*keys, *coarse, "_chunk"]
+    inside = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    joined = chunked.join(offsets, group, "inner")
+    columns = {
+        name: F.col(offset) + F.coalesce(F.sum(expr).over(inside), F.lit(0))
+        for name, (expr, offset) in running.items()
+    }
+    return joined.withColumns(columns).drop("_chunk", *[offset for _, offset in running.values()])
+
+
 def prefix_sums(
     df: DataFrame,
     keys: Sequence[str],
@@ -79,39 +131,20 @@ def prefix_sums(
 ) -> DataFrame:
     """Running total of each expression within ``keys`` in ascending ``(*coarse, *order)``.
 
-    The total includes the row itself. ``coarse`` are leading order columns with few values per
-    group, such as a day; they cut the group further at no cost. NULL coarse values come last.
-    ``totals`` maps an output name to one of ``sums`` whose whole-group total is wanted too.
+    The total includes the row itself. ``totals`` maps an output name to one of ``sums`` whose
+    whole-group total is wanted too.
     """
-    totals = totals or {}
-    group = [*keys, *coarse]
-    chunked = with_chunks(df, group, order, rows_per_chunk, cut_source)
-    for name, expr in sums.items():
-        chunked = chunked.withColumn(f"_v_{name}", expr)
-    per_chunk = chunked.groupBy(*group, "_chunk").agg(
-        *[F.coalesce(F.sum(f"_v_{name}"), F.lit(0)).alias(f"_s_{name}") for name in sums]
-    )
-    across = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    before = across.orderBy(*[F.col(c).asc_nulls_last() for c in coarse], "_chunk").rowsBetween(
-        Window.unboundedPreceding, -1
-    )
+    chunked, per_chunk = chunk_totals(df, keys, order, sums, coarse, rows_per_chunk, cut_source)
+    whole, before = chunk_windows(keys, coarse)
     offsets = per_chunk.select(
-        *group,
+        *keys,
+        *coarse,
         "_chunk",
-        *[F.coalesce(F.sum(f"_s_{n}").over(before), F.lit(0)).alias(f"_o_{n}") for n in sums],
-        *[F.sum(f"_s_{src}").over(across).alias(out) for out, src in totals.items()],
-    )
-    joined = join_on_keys(chunked, offsets, [*group, "_chunk"], "inner")
-    inside = (
-        Window.partitionBy(*group, "_chunk")
-        .orderBy(*order)
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_o_{n}") for n in sums],
+        *[F.sum(f"_t_{src}").over(whole).alias(out) for out, src in (totals or {}).items()],
     )
-    out = joined
-    for name in sums:
-        running = F.coalesce(F.sum(f"_v_{name}").over(inside), F.lit(0))
-        out = out.withColumn(name, F.col(f"_o_{name}") + running)
-    return out.drop("_chunk", *[f"_v_{n}" for n in sums], *[f"_o_{n}" for n in sums])
+    running = {name: (expr, f"_o_{name}") for name, expr in sums.items()}
+    return add_running(chunked, offsets, keys, order, running, coarse)
 
 
 def rank_rows(
@@ -158,7 +191,7 @@ def shuffle_rank(
         F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"),
         F.sum("_n").over(across).alias(size_name or "_size"),
     )
-    joined = join_on_keys(placed, offsets, [*keys, "_part"], "inner")
+    joined = placed.join(offsets, [*keys, "_part"], "inner")
     inside = Window.partitionBy(*keys, "_part").orderBy("_hash", *id_cols)
     ranked = joined.withColumn(name, F.col("_offset") + F.row_number().over(inside))
     drop = ["_hash", "_part", "_offset"] + ([] if size_name else ["_size"])
