@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators.evaluate import RUN_KEYS, test_rows, train_test_split, training_rows
 from ..operators.models import METHODS, TREES, method_table, score_methods
+from ..session import ensure_checkpoint_dir
 
 
 def run_evaluation(
@@ -31,6 +32,7 @@ def run_evaluation(
     written once to the shared folder; only the list of runs (a handful of rows) reaches the
     driver, which loops over the fits.
     """
+    ensure_checkpoint_dir(accounts.sparkSession)
     split = train_test_split(accounts, seeds, test_size)
     pos_keys = positives.select("account_id", "flag", "T")
     neg_keys = negatives.select("account_id", "T")

@@ -1,4 +1,4 @@
-from . import balances
+from . import balances, labels, tables
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
