@@ -166,12 +166,12 @@ def pca(df: DataFrame, vector: str, k: int = 2, prefix: str = "pc") -> DataFrame
     loadings = model.pc.toArray()
     signs = np.sign(loadings[np.abs(loadings).argmax(axis=0), np.arange(k)])
     mean = vector_to_array(vectors.agg(Summarizer.mean(F.col("_v")).alias("m")).scalar())
-    out = df
-    for i in range(k):
-        axis = F.array(*[F.lit(float(w)) for w in loadings[:, i] * signs[i]])
-        centred = F.zip_with(F.col(vector), mean, lambda x, m: x.cast("double") - m)
-        out = out.withColumn(f"{prefix}{i + 1}", dot(centred, axis))
-    return out
+    centred = F.zip_with(vector, "_mean", lambda x, m: x.cast("double") - m)
+    axes = {
+        f"{prefix}{i + 1}": dot(F.col("_centred"), F.array(*[F.lit(float(w)) for w in loadings[:, i] * signs[i]]))
+        for i in range(k)
+    }
+    return df.withColumn("_mean", mean).withColumn("_centred", centred).withColumns(axes).drop("_mean", "_centred")
 
 
 def cosine_silhouette(df: DataFrame, vector: str, label: str, labels: Sequence[object]) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark import StorageLevel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
@@ -65,9 +66,11 @@ def fit_trees(rows: DataFrame, features: str, seed: int, trees: int = TREES):
 
 
 def fit_linear(rows: DataFrame, features: str):
+    """Balanced logistic regression with a unit-strength penalty on the unscaled coefficients."""
     train = weighted(rows, balanced=True).withColumn("label", F.col("label").cast("double"))
     return LogisticRegression(
-        featuresCol=features, labelCol="label", weightCol="weight", maxIter=LINEAR_ITERATIONS
+        featuresCol=features, labelCol="label", weightCol="weight", maxIter=LINEAR_ITERATIONS,
+        regParam=1.0 / max(1, rows.count()), standardization=False,
     ).fit(train)
 
 
@@ -82,11 +85,13 @@ def predict(model, rows: DataFrame, out: str = "score") -> DataFrame:
 def out_of_fold(rows: DataFrame, features: str, seed: int, folds: int = FOLDS, id_col: str = "id") -> DataFrame:
     """``score`` of every row from a linear model that has not seen its fold (hash of the id)."""
     placed = rows.withColumn("_fold", F.floor(uniform(F.col(id_col), seed, "fold") * folds).cast("int"))
-    scored = None
+    parts = []
     for k in range(folds):
         model = fit_linear(placed.filter(F.col("_fold") != k), features)
-        part = predict(model, placed.filter(F.col("_fold") == k))
-        scored = part if scored is None else scored.unionByName(part)
+        parts.append(predict(model, placed.filter(F.col("_fold") == k)))
+    scored = parts[0]
+    for part in parts[1:]:
+        scored = scored.unionByName(part)
     return scored.drop("_fold")
 
 
@@ -128,7 +133,8 @@ def score_methods(
 
     The loop is over methods; each fit and each scoring is a distributed job.
     """
-    fit_rows, test_rows = feature_sets(train), feature_sets(test)
+    fit_rows = feature_sets(train).persist(StorageLevel.MEMORY_AND_DISK)
+    test_rows = feature_sets(test)
     parts = []
     for name in methods:
         kind, features = METHODS[name]
@@ -143,6 +149,7 @@ def score_methods(
                 F.lit(name).alias("method"), F.col(id_col).cast("string").alias("id"), "label", "score"
             )
         )
+    fit_rows.unpersist()
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)

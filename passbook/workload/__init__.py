@@ -1,4 +1,4 @@
-from . import balances, datasets, labels, tables
+from . import balances, datasets, embeddings, evaluation, labels, tables
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
