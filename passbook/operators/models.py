@@ -4,18 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import uniform
+from ..session import ensure_checkpoint_dir
 from .evaluate import LIFT_KS, lift_table, roc_auc
 
 # Settings of the compared methods.
 TREES, DEPTH, RATE = 100, 4, 0.1
-LINEAR_ITERATIONS = 1000
+LINEAR_ITERATIONS, LINEAR_TOLERANCE = 1000, 1e-4
 FOLDS = 5
 BALANCE_TAIL = 7
 # Method name -> (kind, which features).
@@ -44,34 +44,39 @@ def feature_sets(rows: DataFrame) -> DataFrame:
     )
 
 
-def weighted(rows: DataFrame, balanced: bool) -> DataFrame:
-    """Add ``weight``: balanced class weights, or the negative/positive ratio on positives."""
-    counts = rows.agg(
-        F.struct(F.sum("label").alias("p"), F.sum(1 - F.col("label")).alias("q")).alias("c")
-    ).scalar()
-    p, q = counts["p"], counts["q"]
-    if balanced:
-        weight = (p + q) / (2 * F.when(F.col("label") == 1, p).otherwise(q))
-    else:
-        weight = F.when(F.col("label") == 1, q / p).otherwise(F.lit(1.0))
-    return rows.withColumn("weight", weight)
+def class_sizes(rows: DataFrame) -> tuple[int, int]:
+    """Positives and negatives, as two numbers."""
+    got = rows.agg(F.sum("label").alias("p"), F.count(F.lit(1)).alias("n")).first()
+    return int(got["p"] or 0), int(got["n"] - (got["p"] or 0))
+
+
+def weighted(rows: DataFrame, positives: float, negatives: float) -> DataFrame:
+    """Double ``label`` and a ``weight`` per class."""
+    return rows.withColumns(
+        {
+            "weight": F.when(F.col("label") == 1, F.lit(positives)).otherwise(F.lit(negatives)),
+            "label": F.col("label").cast("double"),
+        }
+    )
 
 
 def fit_trees(rows: DataFrame, features: str, seed: int, trees: int = TREES):
-    train = weighted(rows, balanced=False).withColumn("label", F.col("label").cast("double"))
+    """Boosted trees with positives weighted by the class ratio."""
+    p, q = class_sizes(rows)
     return GBTClassifier(
         featuresCol=features, labelCol="label", weightCol="weight",
         maxIter=trees, maxDepth=DEPTH, stepSize=RATE, seed=seed,
-    ).fit(train)
+    ).fit(weighted(rows, q / p if p else 1.0, 1.0))
 
 
 def fit_linear(rows: DataFrame, features: str):
     """Balanced logistic regression with a unit-strength penalty on the unscaled coefficients."""
-    train = weighted(rows, balanced=True).withColumn("label", F.col("label").cast("double"))
+    p, q = class_sizes(rows)
+    n = p + q
     return LogisticRegression(
         featuresCol=features, labelCol="label", weightCol="weight", maxIter=LINEAR_ITERATIONS,
-        regParam=1.0 / max(1, rows.count()), standardization=False,
-    ).fit(train)
+        tol=LINEAR_TOLERANCE, regParam=1.0 / max(1, n), standardization=False,
+    ).fit(weighted(rows, n / (2 * max(1, p)), n / (2 * max(1, q))))
 
 
 def predict(model, rows: DataFrame, out: str = "score") -> DataFrame:
@@ -84,7 +89,9 @@ def predict(model, rows: DataFrame, out: str = "score") -> DataFrame:
 
 def out_of_fold(rows: DataFrame, features: str, seed: int, folds: int = FOLDS, id_col: str = "id") -> DataFrame:
     """``score`` of every row from a linear model that has not seen its fold (hash of the id)."""
-    placed = rows.withColumn("_fold", F.floor(uniform(F.col(id_col), seed, "fold") * folds).cast("int"))
+    ensure_checkpoint_dir(rows.sparkSession)
+    fold = F.floor(uniform(F.col(id_col), seed, "fold") * folds).cast("int")
+    placed = rows.withColumn("_fold", fold).checkpoint()
     parts = []
     for k in range(folds):
         model = fit_linear(placed.filter(F.col("_fold") != k), features)
@@ -117,7 +124,7 @@ def label_issues(scored: DataFrame) -> DataFrame:
 
 def fit_cleaned(rows: DataFrame, features: str, seed: int, id_col: str = "id"):
     """Linear model refitted without the rows whose label is in doubt."""
-    marked = label_issues(out_of_fold(rows, features, seed, id_col=id_col))
+    marked = label_issues(out_of_fold(rows, features, seed, id_col=id_col).checkpoint())
     return fit_linear(marked.filter(~F.col("issue")).drop("score", "issue"), features)
 
 
@@ -131,9 +138,11 @@ def score_methods(
 ) -> DataFrame:
     """Test rows scored by each method: ``method, id, label, score``.
 
-    The loop is over methods; each fit and each scoring is a distributed job.
+    The loop is over methods; each fit and each scoring is a distributed job. Fits pass over the
+    training rows many times, so these are cut off from their plan first.
     """
-    fit_rows = feature_sets(train).persist(StorageLevel.MEMORY_AND_DISK)
+    ensure_checkpoint_dir(train.sparkSession)
+    fit_rows = feature_sets(train).checkpoint()
     test_rows = feature_sets(test)
     parts = []
     for name in methods:
@@ -149,7 +158,6 @@ def score_methods(
                 F.lit(name).alias("method"), F.col(id_col).cast("string").alias("id"), "label", "score"
             )
         )
-    fit_rows.unpersist()
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
