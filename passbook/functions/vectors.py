@@ -16,9 +16,12 @@ def l2_norm(a: Column) -> Column:
 
 
 def l2_normalize(a: Column, eps: float = 1e-12) -> Column:
-    """Divide by the length; a zero vector stays zero."""
+    """Divide by the length; a zero vector stays zero.
+
+    The length is repeated into an array so that it is computed once, not once per element.
+    """
     length = F.greatest(l2_norm(a), F.lit(eps))
-    return F.transform(a, lambda x: x.cast("double") / length)
+    return F.zip_with(a, F.array_repeat(length, F.size(a)), lambda x, n: x.cast("double") / n)
 
 
 def cosine(a: Column, b: Column) -> Column:

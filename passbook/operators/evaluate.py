@@ -88,7 +88,8 @@ def training_rows(
         .agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("p"))
         .filter((F.col("n") >= min_rows) & (F.col("p") >= min_positives))
     )
-    return rows.join(usable.select(*RUN_KEYS), list(RUN_KEYS), "left_semi")
+    # At most seeds x sizes x horizons x flags rows, all of them lists of settings.
+    return rows.join(F.broadcast(usable.select(*RUN_KEYS)), list(RUN_KEYS), "left_semi")
 
 
 def test_rows(split: DataFrame, positives: DataFrame, negatives: DataFrame, events: DataFrame) -> DataFrame:

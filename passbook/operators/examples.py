@@ -71,8 +71,11 @@ def standardize_amounts(
     return rows.withColumn(out, F.signum(F.col("amount")) * scaled)
 
 
-def _stream_struct(rows: Column, balance: Column | None) -> Column:
-    """Sorted transaction structs to one struct of arrays; NULL for an empty stream."""
+def _stream_struct(rows: Column, dates: Column, balance: Column | None) -> Column:
+    """Sorted transaction structs to one struct of arrays; NULL for an empty stream.
+
+    What is the same for the whole day is repeated, not recomputed per transaction.
+    """
     pick = lambda name: F.transform(rows, lambda r: r[name]).alias(name)
     volume = F.aggregate(rows, F.lit(0.0), lambda acc, r: acc + r["size"])
     fields = [
@@ -80,10 +83,10 @@ def _stream_struct(rows: Column, balance: Column | None) -> Column:
         pick("cat_sub"),
         pick("cat_cp"),
         F.transform(rows, lambda r: r["amount_std"].cast("float")).alias("amounts"),
-        pick("dates"),
+        F.array_repeat(dates, F.size(rows)).alias("dates"),
     ]
     if balance is not None:
-        fields.append(F.transform(rows, lambda _: balance).alias("balance"))
+        fields.append(F.array_repeat(balance, F.size(rows)).alias("balance"))
     fields += [F.size(rows).alias("n_txns"), F.log1p(volume).cast("float").alias("log_total_volume")]
     return F.when(F.size(rows) > 0, F.struct(*fields))
 
@@ -134,16 +137,13 @@ def build_examples(
         ).drop("_acc", "_date")
         vector = F.coalesce(F.col("_balance"), zeros)
     month, weekend = month_and_weekend(F.col("day"))
-    stamped = days.withColumns(
-        {s: F.transform(s, lambda r: r.withField("dates", date_features(F.col("day")))) for s in STREAMS}
-    )
-    packed = stamped.select(
+    packed = days.select(
         "accountId",
         F.struct(
             day_number(F.col("day")).alias("day_offset"),
             month.alias("month"),
             weekend.alias("is_weekend"),
-            *[_stream_struct(F.col(s), vector).alias(s) for s in STREAMS],
+            *[_stream_struct(F.col(s), date_features(F.col("day")), vector).alias(s) for s in STREAMS],
         ).alias("d"),
     )
     return packed.groupBy(F.col("accountId").alias("account_id")).agg(

@@ -17,8 +17,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
 from ..functions.hashing import stable_hash
+from .keys import broadcast_if_below, estimated_bytes
 
 ROWS_PER_CHUNK = 1_000_000
+CUT_OVERHEAD = 8  # Array and hash-table overhead per cut, with a margin for hash luck.
 
 
 def _cuts_at_or_below(cuts: Column, value: Column) -> Column:
@@ -52,16 +54,18 @@ def with_chunks(
     """Add ``_chunk``: the number of cuts of the row's group at or before it in ``order``.
 
     ``cut_source`` may be a cheaper frame with the same keys and order columns (for example
-    the rows before deduplication): any cuts give right results.
+    the rows before deduplication): any cuts give right results. The cuts are one row in
+    ``rows_per_chunk``, so the source's estimated size bounds theirs; they are broadcast only
+    while that bound is small, which saves shuffling the rows for this join.
     """
     place = F.struct(*order)
-    source = df if cut_source is None else cut_source
-    marks = source.select(*keys, place.alias("_place")).filter(
-        F.pmod(F.xxhash64(*keys, "_place"), F.lit(rows_per_chunk)) == 0
-    )
+    source = (df if cut_source is None else cut_source).select(*keys, place.alias("_place"))
+    marks = source.filter(F.pmod(F.xxhash64(*keys, "_place"), F.lit(rows_per_chunk)) == 0)
     cuts = marks.groupBy(*keys).agg(F.sort_array(F.collect_set("_place")).alias("_cuts"))
     if keys:
-        placed = df.join(cuts, list(keys), "left")
+        size = estimated_bytes(source)
+        bound = None if size is None else CUT_OVERHEAD * size / rows_per_chunk
+        placed = df.join(broadcast_if_below(cuts, bound), list(keys), "left")
     else:
         placed = df.withColumn("_cuts", cuts.scalar())
     return placed.withColumn("_chunk", _cuts_at_or_below(F.col("_cuts"), place)).drop("_cuts")

@@ -8,6 +8,7 @@ from ..operators.balance import daily_balances, feature_vector, rolling_features
 from ..operators.clean import account_alias, before_cutoff, censor_subcategory, patch_schema
 from ..operators.examples import build_examples
 from ..operators.vocab import build_vocab
+from ..session import ensure_checkpoint_dir
 
 
 def build_dataset(
@@ -25,10 +26,13 @@ def build_dataset(
     """``(examples, vocabulary)``.
 
     Balances come from ``balance_source`` (the uncensored history) when given. They are log
-    scaled in the arrival layout and raw in the magnitude layout.
+    scaled in the arrival layout and raw in the magnitude layout. A vocabulary built here is
+    written to the shared folder once, because every encoded column reads it.
     """
     rows = before_cutoff(patch_schema(txns), cutoff)
-    vocab = build_vocab(rows) if vocab is None else vocab
+    if vocab is None:
+        ensure_checkpoint_dir(txns.sparkSession)
+        vocab = build_vocab(rows).checkpoint()
     balance = None
     if accounts is not None:
         base = patch_schema(balance_source) if balance_source is not None else rows

@@ -13,7 +13,7 @@ from ..operators import examples as X
 from ..operators import vocab as Vc
 from ..plans import views as V
 from ..plans.dataset import build_dataset
-from ..session import scratch_path
+from ..session import ensure_checkpoint_dir, scratch_path
 from ..sources import sinks as S
 from .registry import query
 from .sqlviews import LEDGER_SHORT, TXN_LONG, TXN_SHORT, with_views
@@ -229,8 +229,9 @@ def _examples_sql(variant: str) -> str:
 
 
 def _examples(spark, sf, variant="arrival"):
+    ensure_checkpoint_dir(spark)
     return build_dataset(
-        V.txn_short(spark, sf), V.acct_events(spark, sf), _vocab(spark, sf), variant,
+        V.txn_short(spark, sf), V.acct_events(spark, sf), _vocab(spark, sf).checkpoint(), variant,
         MAX_DAYS, MAX_TXNS, MIN_DAYS,
     )[0]
 
