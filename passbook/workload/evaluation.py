@@ -327,8 +327,9 @@ def positives_in_train(spark, sf):
     "grp:s n_pos:i n_neg:i scale_pos_weight:f6 weight_pos:f6 weight_neg:f6",
     with_views(SCORES)
     + """, c AS (SELECT grp, sum(label) AS p, sum(1 - label) AS q FROM scores GROUP BY grp)
-      SELECT grp, p AS n_pos, q AS n_neg, q / CAST(p AS DOUBLE) AS scale_pos_weight,
-             (p + q) / CAST(2 * p AS DOUBLE) AS weight_pos, (p + q) / CAST(2 * q AS DOUBLE) AS weight_neg FROM c""",
+      SELECT grp, p AS n_pos, q AS n_neg, coalesce(q / CAST(nullif(p, 0) AS DOUBLE), 1) AS scale_pos_weight,
+             (p + q) / CAST(nullif(2 * p, 0) AS DOUBLE) AS weight_pos,
+             (p + q) / CAST(nullif(2 * q, 0) AS DOUBLE) AS weight_neg FROM c""",
 )
 def class_weights(spark, sf):
     return E.class_weights(V.scores(spark, sf), ["grp"])
@@ -490,3 +491,20 @@ def metric_seed_means(spark, sf):
         (F.col("o_totalprice") / 7).alias("lift_5"), (F.col("o_totalprice") / 13).alias("lift_10"),
     )
     return E.seed_means(m)
+
+
+@query(
+    "metrics_saved",
+    "flag:s T:i method:s auc:f8",
+    """SELECT o_orderpriority AS flag, o_custkey % 3 AS "T", o_orderstatus AS method, avg(o_totalprice) AS auc
+       FROM orders GROUP BY ALL""",
+)
+def metrics_saved(spark, sf):
+    """Metric rows written as one CSV file and read back."""
+    from ..session import scratch_path
+    from ..sources.sinks import save_metrics
+    from ..sources.tables import read_csv
+
+    path = scratch_path(spark, "metrics")
+    save_metrics(metric_seed_means(spark, sf), path)
+    return read_csv(spark, path)
