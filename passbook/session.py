@@ -30,9 +30,16 @@ def build_session(app: str = "passbook", master: str | None = None, **conf: str)
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a local folder only where none is set."""
+    """The shared folder the cluster names in ``spark.checkpoint.dir``.
+
+    Where it is unset, a session that runs in this one process gets a temporary folder; on a cluster, whose
+    machines could not see such a folder, it is an error.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        master = spark.conf.get("spark.master", "")
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
