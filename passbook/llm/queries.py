@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .attribution import line_tokens
 from .common import table
 from .dedup import exact_duplicates
+from .packing import Limits, pack_documents
 from .simhash import near_duplicates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +26,12 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+@query("op3_best_fit_packing")
+def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces and their places in sequences of 1024 tokens."""
+    return pack_documents(table(spark, sf_dir, "documents"), Limits(tokens=1024))
+
+
 @query(
     "op6_exact_dedup",
     r"""
@@ -51,3 +59,9 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_simhash_anchor_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its 3-word SimHash and its class of links within two bits."""
     return near_duplicates(table(spark, sf_dir, "documents"), words=3, max_bits=2)
+
+
+@query("op10_token_attribution")
+def op10_token_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every line of every document; a token across a line's end belongs to the line it starts in."""
+    return line_tokens(table(spark, sf_dir, "documents"), "first")
