@@ -5,11 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .attribution import line_tokens
 from .common import table
 from .dedup import exact_duplicates
 from .packing import Limits, pack_documents
+from .pii import find_spans, fit_span_model
 from .simhash import near_duplicates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,6 +34,16 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), Limits(tokens=1024))
 
 
+@query("op4_pii_weak_supervision")
+def op4_pii_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document: counts and digest of the base spans, and all spans."""
+    docs = table(spark, sf_dir, "documents")
+    found = find_spans(docs, fit_span_model(docs))
+    numbers = [f"n_{k}" for k in ("email", "ip", "card", "phone")]
+    digest = F.sha2(F.encode("base_spans", "UTF-8"), 256)
+    return found.select("doc_id", *numbers, digest.alias("base_sha256"), "spans")
+
+
 @query(
     "op6_exact_dedup",
     r"""
