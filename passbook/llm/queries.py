@@ -13,6 +13,7 @@ from .dedup import exact_duplicates
 from .packing import Limits, pack_documents
 from .pii import find_spans, fit_span_model
 from .simhash import near_duplicates
+from .toxicity import score, train
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -77,3 +78,13 @@ def op7_simhash_anchor_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_token_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every line of every document; a token across a line's end belongs to the line it starts in."""
     return line_tokens(table(spark, sf_dir, "documents"), "first")
+
+
+@query("op8_subsequence_toxicity")
+def op8_subsequence_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learnt from the labels of those outside the held-out fifth."""
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    machine = train(docs, table(spark, sf_dir, "labels").where(~held_out))
+    read = docs.select("doc_id", "text", F.coalesce(held_out, F.lit(False)).alias("held_out"))
+    return score(read, machine).select("doc_id", "held_out", "score", "predicted")
