@@ -9,11 +9,13 @@ from pyspark.sql import functions as F
 
 from .attribution import line_tokens
 from .common import table
+from .crosspolytope import nearest
 from .dedup import exact_duplicates
 from .packing import Limits, pack_documents
 from .pii import find_spans, fit_span_model
 from .simhash import near_duplicates
 from .toxicity import score, train
+from .warc import ENTITIES, HIDDEN, LANGUAGE, LINES, LINK, TAGS, TITLE, derivatives, responses
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -88,3 +90,85 @@ def op8_subsequence_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     machine = train(docs, table(spark, sf_dir, "labels").where(~held_out))
     read = docs.select("doc_id", "text", F.coalesce(held_out, F.lit(False)).alias("held_out"))
     return score(read, machine).select("doc_id", "held_out", "score", "predicted")
+
+
+@query("op5_cross_polytope_neighbours")
+def op5_cross_polytope_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of every twentieth vector, among all others."""
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _sql_decoded(text: str) -> str:
+    for name, sign in ENTITIES:
+        text = f"replace({text}, {_quoted(name)}, {_quoted(sign)})"
+    return text
+
+
+def _sql_line(text: str) -> str:
+    return rf"trim(regexp_replace({text}, '[ \t\r\n\f\x0b]+', ' ', 'g'), ' ')"
+
+
+def _sql_urn(name: str) -> str:
+    parts = ", ".join(f"substr(md5({name}), {a}, {n})" for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12)))
+    return f"'<urn:uuid:' || concat_ws('-', {parts}) || '>'"
+
+
+def _sql_text() -> str:
+    text = "payload"
+    for pattern, by in ((HIDDEN, "''"), (LINES, "chr(10)"), (TAGS, "''")):
+        text = f"regexp_replace({text}, {_quoted(pattern)}, {by}, 'g')"
+    text = rf"regexp_replace({_sql_decoded(text)}, '[ \t\r\f\x0b]+', ' ', 'g')"
+    return rf"trim(regexp_replace({text}, ' ?\n[ \n]*', chr(10), 'g'), ' ' || chr(10))"
+
+
+_CRLF = "chr(13) || chr(10)"
+_LINK = _sql_line(_sql_decoded("x"))
+OP9_SQL = rf"""
+WITH source AS (
+  SELECT page_id, coalesce(url, '') AS uri, coalesce(html, '') AS payload,
+         'sha256:' || sha256(coalesce(html, '')) AS source_digest
+  FROM pages
+), named AS (
+  SELECT *, {_sql_urn("'response|' || coalesce(CAST(page_id AS VARCHAR), '') || '|' || uri || '|' || source_digest")} AS refers_to,
+         regexp_extract(uri, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*', 0) AS origin,
+         regexp_extract(uri, '^[^?#]*', 0) AS path,
+         'HTTP/1.1 200 OK' || {_CRLF} || 'Content-Type: text/html; charset=utf-8' || {_CRLF} || 'Content-Length: '
+           || CAST(strlen(payload) AS VARCHAR) || {_CRLF} AS source_headers,
+         list_transform(regexp_extract_all(payload, {_quoted(LINK)}, 1), lambda x: {_LINK}) AS raw
+  FROM source
+), linked AS (
+  SELECT *, list_transform(raw, lambda l: CASE
+      WHEN regexp_matches(l, '^[A-Za-z][A-Za-z0-9+.-]*:') THEN l
+      WHEN starts_with(l, '//') THEN regexp_extract(uri, '^[A-Za-z0-9+.-]*:', 0) || l
+      WHEN starts_with(l, '/') THEN origin || l
+      WHEN starts_with(l, '#') OR starts_with(l, '?') THEN path || l
+      WHEN path = origin THEN origin || '/' || l
+      ELSE regexp_extract(path, '^.*/', 0) || l END) AS links,
+    {_sql_urn("'metadata|' || refers_to")} AS about_id, {_sql_urn("'conversion|' || refers_to")} AS text_id
+  FROM named
+), records AS (
+  SELECT *, 'metadata' AS record_type, about_id AS record_id, text_id AS concurrent_to,
+    'application/warc-fields' AS content_type,
+    'title: ' || {_sql_line(_sql_decoded(f"regexp_extract(payload, {_quoted(TITLE)}, 1)"))} || {_CRLF}
+      || 'language: ' || {_sql_line(f"regexp_extract(payload, {_quoted(LANGUAGE)}, 1)")} || {_CRLF}
+      || 'outlinks: ' || CAST(len(links) AS VARCHAR) || {_CRLF}
+      || coalesce(array_to_string(list_transform(links, lambda l: 'outlink: ' || l || {_CRLF}), ''), '') AS block
+  FROM linked
+  UNION ALL
+  SELECT *, 'conversion', text_id, about_id, 'text/plain; charset=utf-8', {_sql_text()} FROM linked
+)
+SELECT page_id, record_type, record_id, refers_to, uri AS refers_to_target_uri,
+       '1970-01-01T00:00:00Z' AS refers_to_date, concurrent_to, source_headers, source_digest, content_type,
+       CAST(strlen(block) AS BIGINT) AS content_length, 'sha256:' || sha256(block) AS block_digest, block
+FROM records
+"""
+
+
+@query("op9_warc_derivatives", OP9_SQL)
+def op9_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The metadata and conversion records of every page."""
+    return derivatives(responses(table(spark, sf_dir, "pages")))
