@@ -8,10 +8,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .attribution import line_tokens
+from .classlm import score_texts
 from .common import table
 from .crosspolytope import nearest
 from .dedup import exact_duplicates
 from .packing import Limits, pack_documents
+from .pieces import encode_sampled
 from .pii import find_spans, fit_span_model
 from .simhash import near_duplicates
 from .toxicity import score, train
@@ -31,6 +33,20 @@ def query(name: str, sql: str | None = None):
     return add
 
 
+@query("op1_sampled_pieces")
+def op1_sampled_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A sampled segmentation of every document: how many pieces, a checksum of the ids, and that they decode back."""
+    docs = table(spark, sf_dir, "documents")
+    return encode_sampled(docs, sharpness=1.0, seed=42).select("doc_id", "n_pieces", "ids_crc32", "lossless")
+
+
+@query("op2_class_ngram_scores")
+def op2_class_ngram_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's log10 probability under the class model learnt from those outside the held-out seventh."""
+    held_out = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 2
+    return score_texts(table(spark, sf_dir, "documents"), held_out)
+
+
 @query("op3_best_fit_packing")
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's pieces and their places in sequences of 1024 tokens."""
