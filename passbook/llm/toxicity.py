@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, slices
+from .common import fresh, saved, slices
 
 WIDTH, STRIDE = 12, 6
 SYMBOLS, SIGN = 40, 39
@@ -372,16 +372,17 @@ def score(docs: DataFrame, machine: Machine | None, text: str = "text") -> DataF
     if machine is None:
         return plain.withColumns({"score": F.lit(0.0), "predicted": F.lit(0)})
     shared = docs.sparkSession.sparkContext.broadcast(machine)
+    whole = fresh(plain, "_whole")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, float] = {}
-        for batch in slices(batches, "_text"):
-            margins = _document_margins(shared.value, batch.column("_text").to_pylist(), known)
+        for batch in slices(batches, whole):
+            margins = _document_margins(shared.value, batch.column(whole).to_pylist(), known)
             got = shared.value.probability(margins)
-            names = [n for n in batch.schema.names if n != "_text"]
+            names = [n for n in batch.schema.names if n != whole]
             columns = [*(batch.column(n) for n in names), pa.array(got), pa.array((got >= 0.5).astype("i4"))]
             yield pa.RecordBatch.from_arrays(columns, [*names, "score", "predicted"])
 
-    read = plain.withColumn("_text", F.coalesce(F.col(text), F.lit("")))
+    read = plain.withColumn(whole, F.coalesce(F.col(text), F.lit("")))
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema)
     return read.mapInArrow(run, f"{schema}, score double, predicted int")
