@@ -67,6 +67,7 @@ def two_views(examples: DataFrame, seed: int, max_days: int = 360) -> DataFrame:
 
 
 def assign_batches(rows: DataFrame, batch_size: int, seed: int, id_col: str = "account_id") -> DataFrame:
-    """Add ``batch_id``: seeded shuffle cut into batches of ``batch_size``."""
-    ranked = shuffle_rank(rows, [], [id_col], seed, "_rank")
-    return ranked.withColumn("batch_id", F.floor((F.col("_rank") - 1) / batch_size)).drop("_rank")
+    """Add ``batch_id``: seeded shuffle cut into batches of ``batch_size``. Ids are unique; only they are ranked."""
+    ranked = shuffle_rank(rows.select(id_col), [], [id_col], seed, "_rank")
+    batches = ranked.select(id_col, F.floor((F.col("_rank") - 1) / batch_size).alias("batch_id"))
+    return rows.join(batches, id_col)

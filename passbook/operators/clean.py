@@ -35,11 +35,13 @@ ACC_KEEP = ("id", "type", "status", "currency", "balance", "availableBalance", "
 
 
 def find_column(df: DataFrame, candidates: Sequence[str]) -> str | None:
-    """The first candidate the frame has."""
+    """The first candidate the frame has. A pattern that several columns match is an error."""
     for pattern in candidates:
-        for name in df.columns:
-            if fnmatchcase(name, pattern):
-                return name
+        found = [name for name in df.columns if fnmatchcase(name, pattern)]
+        if len(found) > 1:
+            raise ValueError(f"{pattern} matches several columns: {found}")
+        if found:
+            return found[0]
     return None
 
 
@@ -122,22 +124,25 @@ def filter_accounts(
     accounts: DataFrame | None,
     account_type: str | None = "Checking",
     direction: str | None = "D",
+    by: Sequence[str] = (),
 ) -> DataFrame:
     """Keep transactions of accounts of one type and of one direction.
 
-    The direction is filtered before the join, and with a type only matching accounts are
-    joined, so the join moves no row that is dropped later. Duplicate account ids do not fan
-    out: the account with the smallest type wins.
+    ``by`` names key columns that both sides have beside the account, such as the bank: equal ids of two banks
+    are then two accounts. The direction is filtered before the join, and with a type only matching
+    accounts are joined, so the join moves no row that is dropped later. Duplicate account ids do not
+    fan out: the account with the smallest type wins.
     """
     out = txns if direction is None else txns.filter(F.col("direction") == direction)
     if accounts is None:
         return out
     key = "id" if "id" in accounts.columns else "accountId"
-    types = accounts.groupBy(F.col(key).cast("string").alias("accountId")).agg(F.min("type").alias("type"))
+    keys = [*by, "accountId"]
+    types = accounts.groupBy(*by, F.col(key).cast("string").alias("accountId")).agg(F.min("type").alias("type"))
     typed = out.withColumn("accountId", F.col("accountId").cast("string"))
     if account_type is None:
-        return typed.join(types, "accountId", "left")
-    return typed.join(types.filter(F.col("type") == account_type), "accountId", "inner")
+        return typed.join(types, keys, "left")
+    return typed.join(types.filter(F.col("type") == account_type), keys, "inner")
 
 
 def kept_ratio(before: DataFrame, after: DataFrame) -> DataFrame:
@@ -153,13 +158,13 @@ def kept_ratio(before: DataFrame, after: DataFrame) -> DataFrame:
 def in_target_groups(txns: DataFrame, categories: DataFrame, groups: Sequence[str], column: str = "subCategoryId") -> DataFrame:
     """Transactions whose subcategory belongs to a target group."""
     wanted = categories.filter(F.col("group_id").isin(*groups)).select(F.col("subcategory_id").alias(column))
-    return txns.join(F.broadcast(wanted), column, "left_semi")
+    return txns.join(wanted, column, "left_semi")
 
 
 def add_category_names(txns: DataFrame, categories: DataFrame, column: str = "subCategoryId") -> DataFrame:
     """``sub_category_name`` from the category table, NULL when unknown."""
     names = categories.select(F.col("subcategory_id").alias(column), F.col("name").alias("sub_category_name"))
-    return txns.join(F.broadcast(names), column, "left")
+    return txns.join(names, column, "left")
 
 
 def restrict_accounts(txns: DataFrame, ids: DataFrame) -> DataFrame:

@@ -30,19 +30,3 @@ def tie_break(df: DataFrame, first: Sequence[Column], skip: Sequence[str] = ())
     """``first`` followed by every remaining column, so that the order is total."""
     rest = [c for c in df.columns if c not in skip]
     return [*first, *[F.col(c).asc_nulls_last() for c in rest]]
-
-
-BROADCAST_LIMIT = 64 * 1024 * 1024
-
-
-def estimated_bytes(df: DataFrame) -> int | None:
-    """The optimizer's upper estimate of a frame's size, without running a job."""
-    plan = getattr(df, "_jdf", None)
-    if plan is None:
-        return None
-    return int(str(plan.queryExecution().optimizedPlan().stats().sizeInBytes()))
-
-
-def broadcast_if_below(df: DataFrame, bytes_at_most: float | None, limit: int = BROADCAST_LIMIT) -> DataFrame:
-    """Mark for broadcast when the size bound is known and small; otherwise leave the join to Spark."""
-    return F.broadcast(df) if bytes_at_most is not None and bytes_at_most <= limit else df

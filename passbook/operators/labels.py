@@ -63,7 +63,7 @@ def detect_emerging(
         F.col("group_name").alias("category_group_name"),
     )
     return (
-        dated.join(F.broadcast(wanted), "subcategoryId")
+        dated.join(wanted, "subcategoryId")
         .withColumn(
             "months_since_start", calendar_months(F.col("account_start_date"), F.col("emerging_date"))
         )
@@ -130,7 +130,8 @@ def detect_skipped_payment(
     """One row per gap of at least the threshold between consecutive payments of a pattern.
 
     ``monthly_payments`` gives one more pattern type its own threshold. A pattern of exactly
-    three payments that are all far apart is a two-monthly one and is left out.
+    three payments that are all far apart is a two-monthly one and is left out. ``by`` are key columns of the
+    payments, such as the bank; patterns that lack them are joined by their id alone.
     """
     if gap_threshold_days < 1:
         raise ValueError("gap_threshold_days must be at least 1")
@@ -139,7 +140,8 @@ def detect_skipped_payment(
     types = list(pattern_types)
     if own_type and own_type not in types:
         types.append(own_type)
-    dim = patterns.groupBy(*by, "patternId").agg(F.min("patternTypeBusiness").alias("patternTypeBusiness"))
+    keys = [*(c for c in by if c in patterns.columns), "patternId"]
+    dim = patterns.groupBy(*keys).agg(F.min("patternTypeBusiness").alias("patternTypeBusiness"))
     if types:
         dim = dim.filter(F.col("patternTypeBusiness").isin(*types))
     gaps = payment_gaps(payment_days(txns, by), by)
@@ -154,7 +156,7 @@ def detect_skipped_payment(
     candidates = gaps.filter(
         (F.col("n_payments") >= min_transactions) & (F.col("gap_days") >= shortest) & ~two_monthly
     )
-    joined = candidates.join(dim, [*by, "patternId"], "inner" if types else "left")
+    joined = candidates.join(dim, keys, "inner" if types else "left")
     return joined.filter(F.col("gap_days") >= limit).select(
         *by, "user_name",
         F.col("_head.accountId").alias("accountId"),

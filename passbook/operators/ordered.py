@@ -17,10 +17,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
 from ..functions.hashing import stable_hash
-from .keys import broadcast_if_below, estimated_bytes
 
 ROWS_PER_CHUNK = 1_000_000
-CUT_OVERHEAD = 8  # Array and hash-table overhead per cut, with a margin for hash luck.
+SALTS = 64
+ROWS_PER_PIECE = 250_000
 
 
 def _cuts_at_or_below(cuts: Column, value: Column) -> Column:
@@ -54,18 +54,18 @@ def with_chunks(
     """Add ``_chunk``: the number of cuts of the row's group at or before it in ``order``.
 
     ``cut_source`` may be a cheaper frame with the same keys and order columns (for example
-    the rows before deduplication): any cuts give right results. The cuts are one row in
-    ``rows_per_chunk``, so the source's estimated size bounds theirs; they are broadcast only
-    while that bound is small, which saves shuffling the rows for this join.
+    the rows before deduplication): any cuts give right results. A group has few cuts (one row in
+    ``rows_per_chunk``), so they are repeated for every salt and its rows are joined by group and salt:
+    a group's rows never meet in one task, whatever its size.
     """
     place = F.struct(*order)
     source = (df if cut_source is None else cut_source).select(*keys, place.alias("_place"))
     marks = source.filter(F.pmod(F.xxhash64(*keys, "_place"), F.lit(rows_per_chunk)) == 0)
     cuts = marks.groupBy(*keys).agg(F.sort_array(F.collect_set("_place")).alias("_cuts"))
     if keys:
-        size = estimated_bytes(source)
-        bound = None if size is None else CUT_OVERHEAD * size / rows_per_chunk
-        placed = df.join(broadcast_if_below(cuts, bound), list(keys), "left")
+        spread = cuts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        salted = df.withColumn("_salt", F.pmod(F.xxhash64(place), F.lit(SALTS)).cast("int"))
+        placed = salted.join(spread, [*keys, "_salt"], "left").drop("_salt")
     else:
         placed = df.withColumn("_cuts", cuts.scalar())
     return placed.withColumn("_chunk", _cuts_at_or_below(F.col("_cuts"), place)).drop("_cuts")
@@ -180,11 +180,14 @@ def shuffle_rank(
 ) -> DataFrame:
     """1-based rank within ``keys`` in a seeded random order that any cluster reproduces.
 
-    The order is that of a hash text, whose leading digits cut every group into 4,096 even
-    chunks, so no cut points are needed.
+    The order is that of a hash text, whose leading digits cut every group into even pieces of about
+    ``ROWS_PER_PIECE`` rows or less, so no cut points are needed. All columns of ``df`` are moved, so pass ids
+    and join the rank to wide rows afterwards.
     """
+    rows = df.agg(F.count(F.lit(1))).scalar()
+    share = F.conv(F.substring("_hash", 1, 8), 16, 10).cast("double") / 2.0**32
     placed = df.withColumn("_hash", stable_hash(*[F.col(c) for c in id_cols], seed)).withColumn(
-        "_part", F.substring("_hash", 1, 3)
+        "_part", F.floor(share * F.ceil(rows / F.lit(float(ROWS_PER_PIECE))))
     )
     counts = placed.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_n"))
     across = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))

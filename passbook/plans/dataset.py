@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame
 
 from ..operators.balance import daily_balances, feature_vector, rolling_features
@@ -36,8 +38,11 @@ def build_dataset(
     balance = None
     if accounts is not None:
         base = patch_schema(balance_source) if balance_source is not None else rows
-        daily = daily_balances(base, account_alias(accounts))
-        balance = feature_vector(rolling_features(daily), log=variant == "arrival")
+        known = account_alias(accounts)
+        if known is None:
+            warnings.warn("the account table has no usable id column; examples are built without balances", stacklevel=2)
+        else:
+            balance = feature_vector(rolling_features(daily_balances(base, known)), log=variant == "arrival")
     if censor_subcat:
         rows = censor_subcategory(rows, censor_subcat)
     return build_examples(rows, vocab, balance, variant, max_days, max_txns, min_days), vocab

@@ -24,10 +24,13 @@ def generate_labels(
 ) -> dict[str, DataFrame | None]:
     """``emerging``, ``skipped`` and ``summary`` frames of banked transactions.
 
-    Filters come first: they decide where an account starts.
+    Filters come first: they decide where an account starts. With a ``bank`` in the transactions it is part of
+    every key, so banks may use the same ids. Accounts or patterns without a bank are joined by their id alone,
+    for ids that are told apart otherwise, but payments are still those of one bank.
     """
-    rows = filter_accounts(txns, accounts, filters.get("account_type"), filters.get("direction"))
     by = ["bank"] if "bank" in txns.columns else []
+    of = lambda df: [c for c in by if df is not None and c in df.columns]
+    rows = filter_accounts(txns, accounts, filters.get("account_type"), filters.get("direction"), of(accounts))
     emerging = detect_emerging(
         rows, categories, target_groups, parameters.get("primacy_period_months", 4), by=by
     )
@@ -41,9 +44,9 @@ def generate_labels(
             int(parameters.get("min_transactions", 4)),
             int(parameters.get("bimonthly_gap_threshold", 50)),
             monthly_payments,
-            by=[c for c in by if c in patterns.columns],
+            by=by,
         )
     out: dict[str, DataFrame | None] = {"emerging": emerging, "skipped": skipped, "summary": None}
-    if by and skipped is not None and "bank" in skipped.columns:
+    if by and skipped is not None:
         out["summary"] = label_summary(txns, emerging, skipped)
     return out

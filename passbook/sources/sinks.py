@@ -8,6 +8,8 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import scratch_path
+
 
 def write_by_bank(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).partitionBy("bank").parquet(path)
@@ -19,13 +21,19 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 
 def write_flags(df: DataFrame, path: str, fmt: str = "csv") -> bool:
-    """Write flags only when there are any; says whether it wrote."""
-    if df.isEmpty():
+    """Write flags only when there are any; says whether it wrote.
+
+    They are computed once, into the shared folder, and copied from there.
+    """
+    held = scratch_path(df.sparkSession, "flags")
+    df.write.parquet(held)
+    rows = df.sparkSession.read.schema(df.schema).parquet(held)
+    if rows.isEmpty():
         return False
     if fmt == "csv":
-        write_csv(df, path)
+        write_csv(rows, path)
     else:
-        df.write.mode("overwrite").format(fmt).save(path)
+        rows.write.mode("overwrite").format(fmt).save(path)
     return True
 
 
@@ -48,7 +56,7 @@ def save_table(df: DataFrame, path: str) -> None:
 
 def save_metrics(df: DataFrame, path: str) -> None:
     """Metric rows are few (one per run and method), so one CSV file."""
-    df.coalesce(1).write.mode("overwrite").csv(path, header=True)
+    df.repartition(1).write.mode("overwrite").csv(path, header=True)
 
 
 def read_flag_directories(spark: SparkSession, root: str) -> DataFrame:

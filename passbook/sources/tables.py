@@ -21,18 +21,21 @@ from ..operators.clean import (
 )
 
 
-def read_csv(spark: SparkSession, path: str) -> DataFrame:
+def read_csv(spark: SparkSession, path: str, line_breaks: bool = False) -> DataFrame:
     """Quoted CSV with header, every column as text, missing-value texts as NULL.
 
-    Ids stay text, so ``101`` never turns into ``101.0``.
+    Ids stay text, so ``101`` never turns into ``101.0``. Files are split among tasks. With ``line_breaks`` values
+    may hold line ends inside quotes; each file is then read by one task.
     """
-    raw = spark.read.csv(path, header=True, quote='"', escape='"', multiLine=True)
+    raw = spark.read.csv(path, header=True, quote='"', escape='"', multiLine=line_breaks)
     return missing_to_null(raw)
 
 
-def read_any(spark: SparkSession, path: str) -> DataFrame:
+def read_any(spark: SparkSession, path: str, line_breaks: bool = False) -> DataFrame:
     """Parquet by extension, otherwise CSV."""
-    return spark.read.parquet(path) if str(path).rstrip("/").endswith(".parquet") else read_csv(spark, path)
+    if str(path).rstrip("/").endswith(".parquet"):
+        return spark.read.parquet(path)
+    return read_csv(spark, path, line_breaks)
 
 
 def _typed(df: DataFrame, strict_dates: bool) -> DataFrame:
@@ -47,14 +50,14 @@ def _typed(df: DataFrame, strict_dates: bool) -> DataFrame:
     return df.withColumns(out) if out else df
 
 
-def load_transactions(spark: SparkSession, path: str) -> DataFrame:
+def load_transactions(spark: SparkSession, path: str, line_breaks: bool = False) -> DataFrame:
     """Transactions with standard ``date`` and ``amount``; a date that does not parse is an error."""
-    return _typed(canonical(read_any(spark, path), ["date", "amount"]), strict_dates=True)
+    return _typed(canonical(read_any(spark, path, line_breaks), ["date", "amount"]), strict_dates=True)
 
 
-def load_label_transactions(spark: SparkSession, path: str) -> DataFrame:
+def load_label_transactions(spark: SparkSession, path: str, line_breaks: bool = False) -> DataFrame:
     """Transactions for labelling: one row per id, and NULL for a date that does not parse."""
-    raw = canonical(read_any(spark, path), ["categoryGroupId", "subCategoryId"])
+    raw = canonical(read_any(spark, path, line_breaks), ["categoryGroupId", "subCategoryId"])
     return dedupe_by(_typed(raw, strict_dates=False), ["id"], ["date"])
 
 
@@ -67,8 +70,8 @@ def load_accounts(spark: SparkSession, path: str, columns: Sequence[str] | None
     return df.select(*columns) if columns else df
 
 
-def load_recurring_patterns(spark: SparkSession, path: str) -> DataFrame:
-    return read_any(spark, path).select("patternId", "patternTypeBusiness", "deviceId")
+def load_recurring_patterns(spark: SparkSession, path: str, line_breaks: bool = False) -> DataFrame:
+    return read_any(spark, path, line_breaks).select("patternId", "patternTypeBusiness", "deviceId")
 
 
 def union_all(frames: Sequence[DataFrame]) -> DataFrame:

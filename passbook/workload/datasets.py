@@ -18,8 +18,9 @@ from ..sources import sinks as S
 from .registry import query
 from .sqlviews import LEDGER_SHORT, TXN_LONG, TXN_SHORT, with_views
 
-# Caps small enough to bite on the test tables.
-MAX_DAYS, MAX_TXNS, MIN_DAYS = 20, 2, 25
+# The library's defaults; where a cap is what a query shows, it takes one that bites on the test tables.
+MAX_DAYS, MAX_TXNS, MIN_DAYS = 180, 20, 9
+FEW_DAYS, FEW_TXNS, MANY_DAYS = 20, 2, 25
 COLS = {"cat_group": "categoryGroupId", "cat_sub": "subCategoryId", "cat_cp": "counter_party"}
 
 VOCAB_SQL = """
@@ -138,30 +139,34 @@ def date_features_of_rows(spark, sf):
     )
 
 
-KEPT_SQL = f"""
+def _kept_sql(least: int, most: int) -> str:
+    return f"""
 act AS (SELECT DISTINCT "accountId", date FROM txn_short),
 kept AS (
   SELECT "accountId", date FROM act
-  QUALIFY count(*) OVER (PARTITION BY "accountId") >= {MIN_DAYS}
-      AND row_number() OVER (PARTITION BY "accountId" ORDER BY date DESC) <= {MAX_DAYS})"""
+  QUALIFY count(*) OVER (PARTITION BY "accountId") >= {least}
+      AND row_number() OVER (PARTITION BY "accountId" ORDER BY date DESC) <= {most})"""
+
+
+KEPT_SQL = _kept_sql(MIN_DAYS, MAX_DAYS)
 
 
 @query(
     "last_active_days",
     "accountId:s day:s",
-    with_views(TXN_SHORT, KEPT_SQL) + ' SELECT "accountId", date AS day FROM kept',
+    with_views(TXN_SHORT, _kept_sql(MANY_DAYS, FEW_DAYS)) + ' SELECT "accountId", date AS day FROM kept',
 )
 def last_active_days(spark, sf):
-    return X.kept_days(V.txn_short(spark, sf), MIN_DAYS, MAX_DAYS)
+    return X.kept_days(V.txn_short(spark, sf), MANY_DAYS, FEW_DAYS)
 
 
-def _top_sql(variant: str) -> str:
+def _top_sql(variant: str, most: int = MAX_TXNS) -> str:
     neg, order = ("<= 0", "ts, id") if variant == "arrival" else ("< 0", "abs(amount) DESC, id")
     return f"""
 top AS (
   SELECT *, row_number() OVER (PARTITION BY "accountId", date, stream ORDER BY {order}) AS rn
   FROM (SELECT *, CASE WHEN amount > 0 THEN 'pos' WHEN amount {neg} THEN 'neg' END AS stream FROM txn_short)
-  WHERE stream IS NOT NULL QUALIFY rn <= {MAX_TXNS}),
+  WHERE stream IS NOT NULL QUALIFY rn <= {most}),
 std AS (
   SELECT *, sign(amount) * (ln(1 + abs(amount)) - avg(ln(1 + abs(amount))) OVER s)
             / (stddev_pop(ln(1 + abs(amount))) OVER s + 1e-9) AS amount_std,
@@ -174,16 +179,16 @@ for _variant in ("arrival", "magnitude"):
     @query(
         f"top_of_stream_{_variant}",
         "id:s stream:s rn:i amount:f2",
-        with_views(TXN_SHORT, _top_sql(_variant)) + " SELECT id, stream, rn, amount FROM top",
+        with_views(TXN_SHORT, _top_sql(_variant, FEW_TXNS)) + " SELECT id, stream, rn, amount FROM top",
     )
     def top_of_stream(spark, sf, _v=_variant):
-        return X.top_of_stream(V.txn_short(spark, sf), MAX_TXNS, _v)
+        return X.top_of_stream(V.txn_short(spark, sf), FEW_TXNS, _v)
 
 
 @query(
     "standardized_amounts",
     "id:s amount_std:f4",
-    with_views(TXN_SHORT, _top_sql("magnitude").replace(f"rn <= {MAX_TXNS}", "rn <= 20"))
+    with_views(TXN_SHORT, _top_sql("magnitude"))
     + " SELECT id, amount_std FROM std",
 )
 def standardized_amounts(spark, sf):
@@ -193,11 +198,11 @@ def standardized_amounts(spark, sf):
 @query(
     "stream_volume",
     "accountId:s date:s stream:s log_total_volume:f6 n_txns:i",
-    with_views(TXN_SHORT, _top_sql("arrival"))
+    with_views(TXN_SHORT, _top_sql("arrival", FEW_TXNS))
     + ' SELECT DISTINCT "accountId", date, stream, log_total_volume, n_txns FROM std',
 )
 def stream_volume(spark, sf):
-    top = X.top_of_stream(V.txn_short(spark, sf), MAX_TXNS, "arrival")
+    top = X.top_of_stream(V.txn_short(spark, sf), FEW_TXNS, "arrival")
     return top.groupBy("accountId", "date", "stream").agg(
         F.log1p(F.sum(F.abs("amount"))).alias("log_total_volume"), F.count(F.lit(1)).alias("n_txns")
     )
@@ -211,6 +216,9 @@ def _log_sql(c: str) -> str:
     return f'coalesce(CASE WHEN r."{c}" < 0 THEN -ln(1 + abs(r."{c}")) ELSE ln(1 + abs(r."{c}")) END, 0)'
 
 
+BALANCES = ("start", "end", "min", "max", "avg", "std", "starting")
+
+
 def _examples_sql(variant: str) -> str:
     bal = (lambda c: _log_sql(c)) if variant == "arrival" else (lambda c: f'coalesce(r."{c}", 0)')
     return (
@@ -219,7 +227,9 @@ def _examples_sql(variant: str) -> str:
              month(s.date) AS month, CASE WHEN isodow(s.date) >= 6 THEN 1 ELSE 0 END AS is_weekend,
              s.stream, s.rn, s.n_txns, g.token_id AS cat_group, u.token_id AS cat_sub, c.token_id AS cat_cp,
              {_f32('s.amount_std')} AS amount_std, {_f32('s.log_total_volume')} AS log_total_volume,
-             isodow(s.date) - 1 AS dow, {_f32(bal('end'))} AS bal_end, {_f32(bal('starting'))} AS bal_starting
+             isodow(s.date) - 1 AS dow, day(s.date) - 1 AS dom, month(s.date) - 1 AS mon,
+             CAST(date_diff('day', DATE '2020-01-01', s.date) / CAST(365 AS DOUBLE) AS FLOAT) AS years,
+             {", ".join(f"{_f32(bal(c))} AS bal_{c}" for c in BALANCES)}
            FROM std s JOIN kept k ON s."accountId" = k."accountId" AND s.date = k.date
            JOIN rolled_short r ON s."accountId" = r."accountId" AND s.date = r.date
            JOIN vocab g ON g.feature = 'cat_group' AND g.token = s."categoryGroupId"
@@ -238,7 +248,7 @@ def _examples(spark, sf, variant="arrival"):
 
 EXAMPLE_SHAPE = (
     "account_id:s day_offset:i month:i is_weekend:i stream:s rn:i n_txns:i cat_group:i cat_sub:i cat_cp:i "
-    "amount_std:f4 log_total_volume:f4 dow:i bal_end:f3 bal_starting:f3"
+    "amount_std:f4 log_total_volume:f4 dow:i dom:i mon:i years:f5 " + " ".join(f"bal_{c}:f3" for c in BALANCES)
 )
 
 
@@ -247,9 +257,8 @@ def _flat_examples(ex):
     return rows.withColumns(
         {
             "amount_std": F.col("amounts"),
-            "dow": F.col("dates")[0],
-            "bal_end": F.col("balance")[1],
-            "bal_starting": F.col("balance")[6],
+            **{name: F.col("dates")[i] for i, name in enumerate(("dow", "dom", "mon", "years"))},
+            **{f"bal_{c}": F.col("balance")[i] for i, c in enumerate(BALANCES)},
         }
     )
 

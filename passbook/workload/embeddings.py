@@ -16,16 +16,19 @@ BATCH, SEED = 64, 3
 
 
 def _pairs(spark, sf):
-    """Vector, its neighbour and the next neighbour."""
+    """Vector, its neighbour and the next neighbour; the first follow the last."""
     v = V.vecs(spark, sf)
-    after = lambda k, name: v.select((F.col("vec_id") - k).alias("id"), F.col("embedding").alias(name))
+    n = v.agg(F.max("vec_id") + 1).scalar()
+    after = lambda k, name: v.select(F.pmod(F.col("vec_id") - k, n).alias("id"), F.col("embedding").alias(name))
     a = v.select(F.col("vec_id").alias("id"), F.col("embedding").alias("a"))
     return a.join(after(1, "b"), "id").join(after(2, "hard"), "id")
 
 
 PAIRS_SQL = f"""
 v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
-p0 AS (SELECT x.id, x.e AS a, y.e AS b, z.e AS hard FROM v x JOIN v y ON y.id = x.id + 1 JOIN v z ON z.id = x.id + 2),
+size AS (SELECT max(id) + 1 AS n FROM v),
+p0 AS (SELECT x.id, x.e AS a, y.e AS b, z.e AS hard FROM v x JOIN v y ON y.id = (x.id + 1) % (SELECT n FROM size)
+       JOIN v z ON z.id = (x.id + 2) % (SELECT n FROM size)),
 p AS (SELECT *, (row_number() OVER (ORDER BY md5(id || '|{SEED}'), id) - 1) // {BATCH} AS batch_id FROM p0),
 sims AS (
   SELECT x.batch_id, x.id AS i, y.id AS j, list_cosine_similarity(x.a, y.b) AS c FROM p x JOIN p y ON x.batch_id = y.batch_id)"""
@@ -212,16 +215,19 @@ def pca_projection(spark, sf):
 
 
 def _labelled(spark, sf):
-    """Labelled documents with an embedding and 13 features: six counts and seven others."""
+    """Labelled documents with a vector (zeros where there is none) and 13 features: six counts and seven others."""
     lab, doc = V.table(spark, sf, "labels"), V.table(spark, sf, "documents")
     text = F.col("text")
     count = lambda pattern: F.regexp_count(text, F.lit(pattern)).cast("double")
     six = [F.col("n_chars").cast("double"), count(r"\S+"), count(r"\n"), count(r"[0-9]"), count(r"[A-Z]"), count(r"[.,]")]
-    tail = [F.col("embedding")[i].cast("double") for i in range(7)]
+    tail = [F.col("vector")[i].cast("double") for i in range(7)]
     emb = V.vecs(spark, sf).select(F.col("vec_id").alias("doc_id"), "embedding")
-    return lab.join(doc, "doc_id").join(emb, "doc_id").select(
+    width = emb.agg(F.max(F.size("embedding"))).scalar()
+    zeros = F.array_repeat(F.lit(0.0), width).cast(emb.schema["embedding"].dataType)
+    rows = lab.join(doc, "doc_id").join(emb, "doc_id", "left").withColumn("vector", F.coalesce("embedding", zeros))
+    return rows.select(
         F.col("doc_id").cast("string").alias("id"), F.col("quality").cast("int").alias("label"),
-        "embedding", F.array(*six, *tail).alias("features"),
+        F.col("vector").alias("embedding"), F.array(*six, *tail).alias("features"),
     )
 
 
@@ -232,13 +238,10 @@ def _train_test(spark, sf):
     return both.filter("split = 'train'").drop("split"), both.filter("split = 'test'").drop("split")
 
 
-TREES = 10
-
-
 @query("boosted_trees_scores", "method:s id:s label:i score:f6")
 def boosted_trees_scores(spark, sf):
     train, test = _train_test(spark, sf)
-    return K.score_methods(train, test, 42, ["GBT_Emb", "GBT_Feat", "GBT_Hybrid", "GBT_Bal"], TREES)
+    return K.score_methods(train, test, 42, ["GBT_Emb", "GBT_Feat", "GBT_Hybrid", "GBT_Bal"])
 
 
 @query("balanced_logistic_scores", "method:s id:s label:i score:f6")
@@ -256,11 +259,11 @@ def label_issues(spark, sf):
 @query("cleaned_label_scores", "method:s id:s label:i score:f6")
 def cleaned_label_scores(spark, sf):
     train, test = _train_test(spark, sf)
-    return K.score_methods(train, test, 42, ["PUL_Feat"])
+    return K.score_methods(train, test, 42, ["PUL_Feat", "PUL_Emb"])
 
 
 @query("method_table", "method:s auc:f6 n_pos:i n_total:i lift_5:f6 lift_10:f6 conf_10:f6")
 def method_table(spark, sf):
     train, test = _train_test(spark, sf)
-    scored = K.score_methods(train, test, 42, ["GBT_Bal", "Linear_Emb", "PUL_Emb"], TREES)
+    scored = K.score_methods(train, test, 42)
     return K.method_table(scored, ["method"])

@@ -8,7 +8,7 @@ from ..functions.stats import f1_score, hypergeometric_confidence, ratio_or_zero
 from ..operators import evaluate as E
 from ..operators import points as P
 from ..plans import views as V
-from .datasets import _examples, _examples_sql
+from .datasets import BALANCES, _examples, _examples_sql
 from .labels import CATEGORIES_SQL, _emerging_sql, detect_emerging
 from .registry import query
 from .sqlviews import ACCT, SCORES, TXN_LONG, TXN_SHORT, with_views
@@ -120,7 +120,8 @@ def sliced_examples(spark, sf):
 
 @query(
     "baseline_features",
-    "account_id:s txn_count:i n_days:i total_debit:f3 total_credit:f3 avg_debit:f4 n_large:i bal_end:f3 bal_starting:f3",
+    "account_id:s txn_count:i n_days:i total_debit:f3 total_credit:f3 avg_debit:f4 n_large:i "
+    + " ".join(f"bal_{c}:f3" for c in BALANCES),
     "WITH rows AS ("
     + _examples_sql("arrival")
     + """), cut AS (SELECT account_id, max(day_offset) - 5 AS at, min(day_offset) AS first FROM rows GROUP BY account_id),
@@ -130,7 +131,9 @@ def sliced_examples(spark, sf):
              coalesce(sum(amount_std) FILTER (amount_std > 0), 0) AS total_credit,
              coalesce(avg(amount_std) FILTER (amount_std < 0), 0) AS avg_debit,
              count(*) FILTER (amount_std < -500) AS n_large,
-             arg_max(bal_end, day_offset) AS bal_end, arg_max(bal_starting, day_offset) AS bal_starting
+             """
+    + ", ".join(f"arg_max(bal_{c}, day_offset) AS bal_{c}" for c in BALANCES)
+    + """
       FROM (SELECT * REPLACE (CAST(amount_std AS DOUBLE) AS amount_std) FROM kept_rows) GROUP BY account_id""",
 )
 def baseline_features(spark, sf):
@@ -140,7 +143,7 @@ def baseline_features(spark, sf):
     names = ["txn_count", "n_days", "total_debit", "total_credit", "avg_debit", "n_large"]
     return f.select(
         "account_id", *[F.col("features")[i].alias(n) for i, n in enumerate(names)],
-        F.col("features")[7].alias("bal_end"), F.col("features")[12].alias("bal_starting"),
+        *[F.col("features")[6 + i].alias(f"bal_{c}") for i, c in enumerate(BALANCES)],
     )
 
 
@@ -160,17 +163,18 @@ def baseline_features_raw(spark, sf):
 
 @query(
     "last_balance_vector",
-    "account_id:s bal_end:f3 bal_starting:f3",
+    "account_id:s " + " ".join(f"bal_{c}:f3" for c in BALANCES),
     "WITH rows AS ("
     + _examples_sql("arrival")
-    + ") SELECT account_id, arg_max(bal_end, day_offset) AS bal_end, arg_max(bal_starting, day_offset) AS bal_starting "
-    "FROM rows GROUP BY account_id",
+    + ") SELECT account_id, "
+    + ", ".join(f"arg_max(bal_{c}, day_offset) AS bal_{c}" for c in BALANCES)
+    + " FROM rows GROUP BY account_id",
 )
 def last_balance_vector(spark, sf):
     from ..operators.examples import explode_examples
 
     last = P.last_balance_vector(explode_examples(_examples(spark, sf)))
-    return last.select("account_id", F.col("balance")[1].alias("bal_end"), F.col("balance")[6].alias("bal_starting"))
+    return last.select("account_id", *[F.col("balance")[i].alias(f"bal_{c}") for i, c in enumerate(BALANCES)])
 
 
 SPLIT_SQL = """

@@ -267,6 +267,65 @@ def label_summary_by_bank(spark, sf):
     return _banked(spark, sf)["summary"]
 
 
+def _shared(spark, sf):
+    """The label run of banks that use the same account, user and pattern ids; patterns carry no bank."""
+    local = (F.col("accountId").cast("long") % 50).cast("string")
+    pattern = lambda number: F.concat(number, F.lit(":"), F.split("patternId", ":")[1])
+    txns = V.txn_banked(spark, sf)
+    bank_of = txns.select("accountId", "bank").distinct()
+    accounts = V.acct(spark, sf).join(bank_of, "accountId").withColumn("accountId", local)
+    first = (F.split("patternId", ":")[0].cast("long") % 50).cast("string")
+    patterns = V.patterns(spark, sf).withColumn("patternId", pattern(first))
+    txns = txns.withColumns({"user_name": F.concat(F.lit("U"), local), "patternId": pattern(local), "accountId": local})
+    return generate_labels(txns, accounts, patterns, cat.default_categories(spark))
+
+
+_LOCAL = 'CAST("accountId" AS BIGINT) % 50'
+_SHARED_SQL = with_views(
+    TXN_LONG, BANKED, ACCT, PATTERNS, CATEGORIES_SQL,
+    f"""
+txn_shared AS (
+  SELECT * REPLACE (CAST({_LOCAL} AS VARCHAR) AS "accountId", 'U' || ({_LOCAL}) AS user_name,
+                    ({_LOCAL}) || ':' || split_part("patternId", ':', 2) AS "patternId") FROM txn_banked),
+acct_shared AS (
+  SELECT bank, CAST({_LOCAL} AS VARCHAR) AS "accountId", min(type) AS type
+  FROM acct JOIN (SELECT DISTINCT "accountId", bank FROM txn_banked) USING ("accountId") GROUP BY ALL),
+patterns_shared AS (
+  SELECT (CAST(split_part("patternId", ':', 1) AS BIGINT) % 50) || ':' || split_part("patternId", ':', 2) AS "patternId",
+         min("patternTypeBusiness") AS "patternTypeBusiness" FROM patterns GROUP BY 1)""",
+    _emerging_sql("txn_shared", "bank").replace('JOIN acct a USING ("accountId")', 'JOIN acct_shared a USING (bank, "accountId")'),
+    _skipped_sql("filtered", "bank").replace("JOIN patterns p", "JOIN patterns_shared p"),
+)
+
+
+@query("emerging_flags_shared_ids", "bank:s " + EMERGING_SHAPE, _SHARED_SQL + " SELECT * FROM emerging")
+def emerging_flags_shared_ids(spark, sf):
+    return _shared(spark, sf)["emerging"]
+
+
+@query("skipped_flags_shared_ids", "bank:s " + SKIPPED_SHAPE, _SHARED_SQL + " SELECT * FROM skipped")
+def skipped_flags_shared_ids(spark, sf):
+    return _shared(spark, sf)["skipped"]
+
+
+@query(
+    "label_summary_shared_ids",
+    "bank:s users:i emerging_flags:i skipped_flags:i total_flags:i",
+    _SHARED_SQL
+    + """, per_bank AS (
+        SELECT bank, count(DISTINCT user_name) AS users,
+               (SELECT count(*) FROM emerging e WHERE e.bank = t.bank) AS emerging_flags,
+               (SELECT count(*) FROM skipped s WHERE s.bank = t.bank) AS skipped_flags
+        FROM txn_shared t GROUP BY bank),
+      both_levels AS (
+        SELECT * FROM per_bank
+        UNION ALL SELECT 'TOTAL', sum(users), sum(emerging_flags), sum(skipped_flags) FROM per_bank)
+      SELECT *, emerging_flags + skipped_flags AS total_flags FROM both_levels""",
+)
+def label_summary_shared_ids(spark, sf):
+    return _shared(spark, sf)["summary"]
+
+
 @query(
     "flag_names",
     "name:s flag:s n:i",

@@ -57,7 +57,7 @@ raw AS (
     with_views(TXN_LONG) + RAW_SQL + """ SELECT id, "accountId", date || ' 00:00:00' AS date, amount, description FROM raw""",
 )
 def load_transactions_csv(spark, sf):
-    return T.load_transactions(spark, _stored_csv(spark, _raw_txns(spark, sf), "txns"))
+    return T.load_transactions(spark, _stored_csv(spark, _raw_txns(spark, sf), "txns"), line_breaks=True)
 
 
 @query(
@@ -82,7 +82,7 @@ def load_transactions_parquet(spark, sf):
 def load_label_transactions(spark, sf):
     raw = _raw_txns(spark, sf).withColumnsRenamed({"transactionDate": "date", "transactionAmount": "amount"})
     odd = raw.withColumn("date", F.when(F.col("id").cast("long") % 5 == 0, "not a date").otherwise(F.col("date")))
-    return T.load_label_transactions(spark, _stored_csv(spark, odd.unionAll(odd), "labels"))
+    return T.load_label_transactions(spark, _stored_csv(spark, odd.unionAll(odd), "labels"), line_breaks=True)
 
 
 @query(

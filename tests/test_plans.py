@@ -10,7 +10,7 @@ from __spark_entry__ import queries
 from passbook.operators import balance as B
 from passbook.operators import clean as C
 from passbook.operators import examples as X
-from passbook.operators.ordered import with_chunks
+from passbook.operators.ordered import rank_rows, with_chunks
 from passbook.plans import views as V
 
 
@@ -57,8 +57,15 @@ def test_scan_reads_only_needed_columns_and_pushes_the_cutoff(spark, sf_dir):
     assert "LessThan(l_shipdate" in plan
 
 
-def test_chunk_cuts_do_not_shuffle_the_rows(spark, sf_dir):
-    """The cuts are small by the optimizer's estimate, so the row side keeps its partitioning."""
-    rows = V.txn_short(spark, sf_dir)
-    plan = plan_of(with_chunks(rows, ["accountId"], ["ts", "id"]))
-    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+def test_chunk_cuts_never_move_rows_by_the_group_alone(spark, sf_dir):
+    """The input is a join and one group holds most rows: its rows are dealt by group and salt or chunk, its marks alone
+    by group."""
+    rows = V.txn_long(spark, sf_dir).join(V.acct(spark, sf_dir).select("accountId", "type"), "accountId")
+    skewed = rows.withColumn("group", F.when(F.hash("id") % 10 == 0, F.col("type")).otherwise("hot"))
+    for df in (with_chunks(skewed, ["group"], ["date", "id"]), rank_rows(skewed, ["group"], ["date", "id"])):
+        lines = plan_of(df).splitlines()
+        for line, below in zip(lines, lines[1:]):
+            if "Exchange hashpartitioning(group" in line and "_salt" not in line and "_chunk" not in line:
+                assert "partial_collect_set" in below or "partial_sum" in below or "HashAggregate" in below, (line, below)
+    ranks = [r["rank"] for r in rank_rows(skewed, ["group"], ["date", "id"], rows_per_chunk=50).filter("group = 'hot'").collect()]
+    assert sorted(ranks) == list(range(1, len(ranks) + 1))
