@@ -10,6 +10,7 @@ import base64
 import re
 from array import array
 from functools import lru_cache
+from itertools import accumulate
 
 import numpy as np
 import tiktoken
@@ -69,13 +70,16 @@ def encode_bytes(text: str, ranks_path: str) -> bytes:
 def _span_chunks(ranks_path: str) -> _Chunks:
     coder = bpe(ranks_path)
 
+    sizes_of = [len(coder.decode_single_token_bytes(i)) for i in range(coder.n_vocab)]
+
     def spans(chunk: str) -> bytes:
         """For each token the first character that it has bytes of, and the one after the last."""
-        ids = coder.encode_ordinary(chunk)
-        sizes = [len(coder.decode_single_token_bytes(i)) for i in ids]
-        ends = np.cumsum(sizes)
-        begun = np.cumsum((np.frombuffer(chunk.encode(), np.uint8) & 0xC0) != 0x80)
-        return np.stack([begun[ends - sizes] - 1, begun[ends - 1]], axis=1).astype("<i4").tobytes()
+        sizes = [sizes_of[i] for i in coder.encode_ordinary(chunk)]
+        ends = list(accumulate(sizes))
+        if chunk.isascii():
+            return array("i", [x for end, n in zip(ends, sizes) for x in (end - n, end)]).tobytes()
+        owner = [i for i, c in enumerate(chunk) for _ in range(1 + (c > "\x7f") + (c > "\u07ff") + (c > "\uffff"))]
+        return array("i", [x for end, n in zip(ends, sizes) for x in (owner[end - n], owner[end - 1] + 1)]).tobytes()
 
     return _Chunks(spans)
 
