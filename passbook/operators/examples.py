@@ -155,21 +155,21 @@ def day_dates(days: Column) -> Column:
     return F.transform(days, lambda d: d["day_offset"])
 
 
-def explode_examples(examples: DataFrame) -> DataFrame:
-    """Examples back to one row per transaction, for joins and audits."""
-    days = examples.select("account_id", F.inline("days"))
+def explode_examples(examples: DataFrame, carried: Sequence[str] = ()) -> DataFrame:
+    """Examples back to one row per transaction, for joins and audits; ``carried`` columns are repeated on each."""
+    days = examples.select(*carried, "account_id", F.inline("days"))
     streams = days.select(
-        "account_id", "day_offset", "month", "is_weekend",
+        *carried, "account_id", "day_offset", "month", "is_weekend",
         F.inline(F.array(*[F.struct(F.lit(s).alias("stream"), F.col(s).alias("s")) for s in STREAMS])),
     ).filter(F.col("s").isNotNull())
     has_balance = "balance" in [f.name for f in streams.schema["s"].dataType.fields]
     names = ["cat_group", "cat_sub", "cat_cp", "amounts", "dates", *(["balance"] if has_balance else [])]
     return streams.select(
-        "account_id", "day_offset", "month", "is_weekend", "stream",
+        *carried, "account_id", "day_offset", "month", "is_weekend", "stream",
         F.col("s.n_txns").alias("n_txns"), F.col("s.log_total_volume").alias("log_total_volume"),
         F.posexplode(F.arrays_zip(*[F.col(f"s.{n}").alias(n) for n in names])),
     ).select(
-        "account_id", "day_offset", "month", "is_weekend", "stream", "n_txns", "log_total_volume",
+        *carried, "account_id", "day_offset", "month", "is_weekend", "stream", "n_txns", "log_total_volume",
         (F.col("pos") + 1).alias("rn"), *[F.col(f"col.{n}").alias(n) for n in names],
     )
 

@@ -4,13 +4,16 @@ from __future__ import annotations
 
 import warnings
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..operators.balance import daily_balances, feature_vector, rolling_features
 from ..operators.clean import account_alias, before_cutoff, censor_subcategory, patch_schema
 from ..operators.examples import build_examples
 from ..operators.vocab import build_vocab
 from ..session import ensure_checkpoint_dir
+from ..sources.sinks import read_flag_directories
 
 
 def build_dataset(
@@ -46,3 +49,42 @@ def build_dataset(
     if censor_subcat:
         rows = censor_subcategory(rows, censor_subcat)
     return build_examples(rows, vocab, balance, variant, max_days, max_txns, min_days), vocab
+
+
+def build_flag_examples(
+    flags_root: str,
+    out: str,
+    accounts: DataFrame | None,
+    vocab: DataFrame,
+    variant: str = "arrival",
+    max_days: int = 180,
+    max_txns: int = 20,
+    min_days: int = 9,
+) -> list[str]:
+    """Examples of every ``<flags_root>/flag=<name>`` directory, written as ``<out>/flag=<name>`` by one job.
+
+    Flags that ``out`` already has are left as they are, so a run can be resumed; the flags built are returned. An
+    account that several flags have is built once for each.
+    """
+    spark = vocab.sparkSession
+    rows = read_flag_directories(spark, flags_root)
+    named = lambda df: {r.flag for r in df.select(F.col("flag").cast("string")).distinct().collect()}
+    try:
+        done = named(spark.read.parquet(out))
+    except AnalysisException:
+        done = set()
+    open_flags = sorted(named(rows) - done)
+    if not open_flags:
+        return []
+    rows = rows.filter(F.col("flag").cast("string").isin(*open_flags))
+    both = lambda df: df.withColumn("accountId", F.concat_ws("|", F.col("flag").cast("string"), "accountId"))
+    known = None if accounts is None else account_alias(accounts)
+    if known is not None:
+        known = known.withColumn("accountId", F.col("accountId").cast("string"))
+        pairs = rows.select("flag", F.col("accountId").cast("string").alias("accountId")).distinct()
+        known = both(known.join(pairs, "accountId")).drop("flag")
+    built = build_dataset(both(rows).drop("flag"), known, vocab, variant, max_days, max_txns, min_days)[0]
+    parts = F.split("account_id", r"\|", 2)
+    built = built.withColumns({"flag": parts[0], "account_id": parts[1]})
+    built.write.mode("append").partitionBy("flag").parquet(out)
+    return open_flags

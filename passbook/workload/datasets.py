@@ -12,7 +12,7 @@ from ..operators import clean as C
 from ..operators import examples as X
 from ..operators import vocab as Vc
 from ..plans import views as V
-from ..plans.dataset import build_dataset
+from ..plans.dataset import build_dataset, build_flag_examples
 from ..session import ensure_checkpoint_dir, scratch_path
 from ..sources import sinks as S
 from .registry import query
@@ -252,8 +252,8 @@ EXAMPLE_SHAPE = (
 )
 
 
-def _flat_examples(ex):
-    rows = X.explode_examples(ex)
+def _flat_examples(ex, *carried):
+    rows = X.explode_examples(ex, carried)
     return rows.withColumns(
         {
             "amount_std": F.col("amounts"),
@@ -278,6 +278,24 @@ def examples_stored(spark, sf):
     return _flat_examples(spark.read.parquet(path))
 
 
+@query(
+    "examples_by_flag",
+    "flag:s " + EXAMPLE_SHAPE,
+    f"""SELECT 'F' || (CAST(account_id AS BIGINT) % 3) AS flag, * FROM ({_examples_sql("arrival")})""",
+)
+def examples_by_flag(spark, sf):
+    """One dataset per flag. The first run has one flag only; the second finds it done and builds the others."""
+    ensure_checkpoint_dir(spark)
+    vocab = _vocab(spark, sf).checkpoint()
+    flag = F.concat(F.lit("F"), (F.col("accountId").cast("long") % 3).cast("string"))
+    txns = V.txn_short(spark, sf).withColumn("flag", flag)
+    root, out = scratch_path(spark, "flagged"), scratch_path(spark, "flag-examples")
+    for rows in (txns.filter("flag = 'F1'"), txns.filter("flag != 'F1'")):
+        rows.write.mode("append").partitionBy("flag").parquet(root)
+        build_flag_examples(root, out, V.acct_events(spark, sf), vocab, "arrival", MAX_DAYS, MAX_TXNS, MIN_DAYS)
+    return _flat_examples(spark.read.parquet(out), "flag")
+
+
 @query(
     "example_shapes",
     "account_id:s n_days:i n_pos:i n_neg:i empty_pos:i empty_neg:i",
