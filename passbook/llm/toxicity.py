@@ -4,7 +4,7 @@ A text is a bag of windows of at most ``WIDTH`` characters: its words (long ones
 single characters with the white space between them taken out. The kernel of two windows sums, over all
 subsequences of 3 and 4 characters within a bounded span, the product of their decayed weights, so a word still
 matches with characters put in, left out or replaced at some places. Characters are folded: A-Z are lowered, digits and
-signs that stand for letters become them, other signs match nothing.
+signs that stand for letters become them, other signs are passed over.
 
 A machine is trained on windows, while labels belong to documents: a toxic document has at least one
 toxic window, others have none. Training starts from the windows whose substrings are over-represented in toxic
@@ -67,10 +67,14 @@ def words_of(text: str) -> list[str]:
 
 
 def windows(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Symbols of each window, and the number of the word that it is from. Every word has one window at least."""
+    """Symbols of each window, and the number of the word that it is from. Every word has one window at least,
+    one of signs alone an empty one."""
     sizes = np.array([len(w) for w in words], np.int64)
     points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4")
-    symbols = np.append(TABLE[np.where(points < 1 << 16, points, 0)], np.zeros(WIDTH, np.uint8))
+    symbols = TABLE[np.where(points < 1 << 16, points, 0)]
+    read = symbols != SIGN
+    sizes = np.bincount(np.repeat(np.arange(len(words)), sizes), read, len(words)).astype(np.int64)
+    symbols = np.append(symbols[read], np.zeros(WIDTH, np.uint8))
     many = 1 + np.maximum(0, -(-(sizes - WIDTH) // STRIDE))
     word = np.repeat(np.arange(len(words)), many)
     number = np.arange(len(word)) - np.repeat(np.cumsum(many) - many, many)
@@ -154,18 +158,21 @@ def fit(positive: list[str], negative: list[str], landmarks: int = 256, strength
     root = vec[:, keep] / np.sqrt(lam[keep])
     # kernels of the training windows with the landmarks, by their shared subsequences
     wins, word = windows(positive + negative)
-    k = np.zeros((len(wins), len(index)))
-    for n, tuples in TUPLES.items():
-        place = np.full(SYMBOLS**n, -1, np.int64)
-        for (m, code), j in index.items():
-            if m == n:
-                place[code] = j
-        powers = [wins.T * SYMBOLS**p for p in range(n - 1, -1, -1)]
-        for c in tuples:
-            j = place[sum(powers[p][c[p]] for p in range(n))]
-            hit = np.flatnonzero(j >= 0)
-            k[hit, j[hit]] += DECAY ** (c[-1] - c[0] + 1 - n)
-    z = k @ phi.T @ root
+    places = {n: np.full(SYMBOLS**n, -1, np.int32) for n in SPANS}
+    for (n, code), j in index.items():
+        places[n][code] = j
+    kernels = []
+    for i in range(0, len(wins), 500):
+        part = wins[i : i + 500]
+        k = np.zeros((len(part), len(index)))
+        for n, tuples in TUPLES.items():
+            powers = [part.T * SYMBOLS**p for p in range(n - 1, -1, -1)]
+            for c in tuples:
+                j = places[n][sum(powers[p][c[p]] for p in range(n))]
+                hit = np.flatnonzero(j >= 0)
+                k[hit, j[hit]] += DECAY ** (c[-1] - c[0] + 1 - n)
+        kernels.append(k @ phi.T)
+    z = np.concatenate(kernels) @ root
     y = np.where(word < len(positive), 1.0, -1.0)
     # a long positive word has windows without the telling part: only its best window has to be positive
     w, b = _machine(z, y, strength)
