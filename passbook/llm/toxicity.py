@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .common import fresh, saved, slices
 
 WIDTH, STRIDE = 12, 6
-SYMBOLS, SIGN = 40, 39
+SYMBOLS, SIGN, FRONT = 40, 39, 38
 DECAY = 0.7
 #: Subsequence lengths and the longest stretch that each may span.
 SPANS = {3: 5, 4: 8}
@@ -39,14 +39,19 @@ SPANS = {3: 5, 4: 8}
 STAND_INS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"}
 APART = re.compile(r"(?<!\S)(?:\S[ \t-\r]){3,}\S(?!\S)")
 REMEMBERED = 500_000
+#: Length of the substrings that training starts from, and how many are used at most.
+GRAM, MOST_GRAMS = 5, 20_000
+#: Documents of a class that suffice to fit on.
+ENOUGH = 200
 
 
 def _symbols() -> np.ndarray:
-    """The symbol of each character of the basic plane: 1-26 letters, 27-38 other letters by their number, 39 signs."""
+    """The symbol of each character of the basic plane: 1-26 letters, 27-37 other letters by their number, 39 signs. 38 is
+    the front of a word."""
     out = np.full(1 << 16, SIGN, np.uint8)
     for i in range(128, 1 << 16):
         if chr(i).isalpha():
-            out[i] = 27 + ord(chr(i).lower()[0]) % 12
+            out[i] = 27 + ord(chr(i).lower()[0]) % 11
     for i in range(26):
         out[ord("a") + i] = out[ord("A") + i] = 1 + i
     for sign, letter in STAND_INS.items():
@@ -71,7 +76,8 @@ def windows(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     one of signs alone an empty one."""
     sizes = np.array([len(w) for w in words], np.int64)
     points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4")
-    symbols = TABLE[np.where(points < 1 << 16, points, 0)]
+    symbols = np.insert(TABLE[np.where(points < 1 << 16, points, 0)], np.cumsum(sizes) - sizes, FRONT)
+    sizes = sizes + 1
     read = symbols != SIGN
     sizes = np.bincount(np.repeat(np.arange(len(words)), sizes), read, len(words)).astype(np.int64)
     symbols = np.append(symbols[read], np.zeros(WIDTH, np.uint8))
@@ -135,9 +141,12 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.shift, -30, 30)))
 
 
-def fit(positive: list[str], negative: list[str], landmarks: int = 256, strength: float = 1.0) -> Machine:
+def fit(
+    positive: list[str], negative: list[str], landmarks: int = 256, strength: float = 1.0, counts: list[int] | None = None
+) -> Machine:
     """Fit the machine on windows of words: Nyström features from landmarks of both classes, then a linear machine with
-    squared hinge loss, classes weighted alike. ``positive`` and ``negative`` come with the most telling first."""
+    squared hinge loss, classes weighted alike. ``positive`` and ``negative`` come with the most telling first; ``counts`` weighs the
+    positive ones."""
     half = landmarks // 2
     chosen = positive[:half] + negative[:half]
     parts = [subsequences(w) for w in windows(chosen)[0]]
@@ -175,13 +184,14 @@ def fit(positive: list[str], negative: list[str], landmarks: int = 256, strength
     z = np.concatenate(kernels) @ root
     y = np.where(word < len(positive), 1.0, -1.0)
     # a long positive word has windows without the telling part: only its best window has to be positive
-    w, b = _machine(z, y, strength)
+    weight = np.where(y > 0, np.append(counts or np.ones(len(positive)), np.ones(len(negative)))[word], 1.0)
+    w, b = _machine(z, y, weight, strength)
     for _ in range(2):
         m = z @ w + b
         best = np.full(len(positive) + len(negative), -np.inf)
         np.maximum.at(best, word, m)
         use = (y < 0) | (m >= best[word])
-        w, b = _machine(z[use], y[use], strength)
+        w, b = _machine(z[use], y[use], weight[use], strength)
     flat = phi.T @ (root @ w)
     tables = {n: np.zeros(SYMBOLS**n, np.float32) for n in SPANS}
     for (n, code), j in index.items():
@@ -189,10 +199,11 @@ def fit(positive: list[str], negative: list[str], landmarks: int = 256, strength
     return Machine(tables, float(b))
 
 
-def _machine(z: np.ndarray, y: np.ndarray, strength: float, steps: int = 30) -> tuple[np.ndarray, float]:
+def _machine(z: np.ndarray, y: np.ndarray, weight: np.ndarray, strength: float, steps: int = 30) -> tuple[np.ndarray, float]:
     """Linear machine with squared hinge loss by Newton's method."""
     x = np.column_stack([z, np.ones(len(z))])
-    share = np.where(y > 0, 0.5 / max((y > 0).sum(), 1), 0.5 / max((y < 0).sum(), 1)) * len(y) * strength
+    both = [max(weight[y > 0].sum(), 1e-9), max(weight[y < 0].sum(), 1e-9)]
+    share = weight * np.where(y > 0, 0.5 / both[0], 0.5 / both[1]) * len(y) * strength
     w = np.zeros(x.shape[1])
     ridge = np.eye(len(w))
     ridge[-1, -1] = 1e-6
@@ -244,24 +255,24 @@ def train(
     text: str = "text",
     key: str = "doc_id",
 ) -> Machine | None:
-    """Train on at most ``most`` documents of each class. Half of them fit the machine, the other half the probability.
-    None if a class has no document."""
+    """Train on at most ``most`` documents of each class. Half of them fit the machine, the other half the probability;
+    all do both where a half of a class is less than ``ENOUGH``. None if a class has no document."""
     held = saved(sample_labelled(docs, labels, most, label, text, key), "labelled")
     n = {(r._half, r._y): r.n for r in held.groupBy("_half", "_y").agg(F.count("*").alias("n")).collect()}
     if not (n.get((0, 0)) or n.get((1, 0))) or not (n.get((0, 1)) or n.get((1, 1))):
         return None
-    split = all(n.get((h, y), 0) >= 5 for h in (0, 1) for y in (0, 1))
+    split = all(n.get((h, y), 0) >= ENOUGH for h in (0, 1) for y in (0, 1))
     fitting = held.where("_half = 0") if split else held
     grams = _telling_grams(fitting)
     machine = None
     negative: dict[str, float] = {}
     for _ in range(rounds):
-        positive, worst = _pick(fitting, machine, grams)
+        positive, times, worst = _pick(fitting, machine, grams)
         for word, margin in worst:
             negative[word] = margin
         if not positive:
             return None
-        machine = fit(positive, sorted(negative, key=lambda w: (-negative[w], w)), landmarks)
+        machine = fit(positive, sorted(negative, key=lambda w: (-negative[w], w)), landmarks, counts=times)
     rest = _best_margins(held.where("_half = 1") if split else held, machine)
     pairs = np.array([[r.margin, r.y, r.n] for r in rest.collect()], float)
     # equal margins are counted, and margins are rounded, so this is bounded
@@ -270,19 +281,19 @@ def train(
 
 
 def _grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of the substrings of four symbols, one row for each window's place; -1 where there is none."""
+    """Codes of the substrings of ``GRAM`` symbols, one row for each window's place; -1 where there is none."""
     wins, word = windows(words)
-    code = np.zeros((len(wins), WIDTH - 3), np.int64)
+    code = np.zeros((len(wins), WIDTH - GRAM + 1), np.int64)
     bad = np.zeros_like(code, bool)
-    for i in range(4):
-        part = wins[:, i : WIDTH - 3 + i]
+    for i in range(GRAM):
+        part = wins[:, i : WIDTH - GRAM + 1 + i]
         code = code * SYMBOLS + part
         bad |= (part == 0) | (part == SIGN)
     return np.where(bad, -1, code), word
 
 
 def _telling_grams(docs: DataFrame) -> dict[int, float]:
-    """The substrings that occur in more toxic documents than chance explains, with their log-odds. At most 40^4."""
+    """The substrings that occur in more toxic documents than chance explains, with their log-odds."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = (Counter(), Counter())
@@ -298,24 +309,29 @@ def _telling_grams(docs: DataFrame) -> dict[int, float]:
     sums = saved(counted.groupBy("code").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")), "grams")
     total = sums.where("code = -2").first()
     lift = F.log((F.col("pos") + 0.5) / (total.pos + 1)) - F.log((F.col("neg") + 0.5) / (total.neg + 1))
-    # in one toxic document of 200 at least, so rare junk does not count
-    rows = sums.where((F.col("code") >= 0) & (F.col("pos") >= max(2, total.pos // 200))).withColumn("lift", lift)
-    return {r.code: r.lift for r in rows.where("lift > 1.5").select("code", "lift").collect()}
+    # in one toxic document of 200 at least, and five deviations over what all documents would give by chance
+    chance = (F.col("pos") + F.col("neg")) * (total.pos / max(total.pos + total.neg, 1))
+    rows = sums.where((F.col("code") >= 0) & (F.col("pos") >= max(3, total.pos // 200))).withColumn("lift", lift)
+    telling = rows.where((F.col("lift") > 1.5) & (F.col("pos") - chance > 5 * F.sqrt(chance + 0.5)))
+    return {r.code: r.lift for r in telling.orderBy(F.desc("lift"), "code").limit(MOST_GRAMS).select("code", "lift").collect()}
 
 
 def _pick(
     docs: DataFrame, machine: Machine | None, grams: dict[int, float], most: int = 3000
-) -> tuple[list[str], list[tuple[str, float]]]:
-    """Words to fit on: the best words of the toxic documents, and of the clean ones the worst and some others."""
+) -> tuple[list[str], list[int], list[tuple[str, float]]]:
+    """Words to fit on: the best words of the toxic documents and in how many they are; of the clean ones the worst and
+    some others."""
+    known = np.array(sorted(grams), np.int64)
+    lifts = np.array([grams[c] for c in sorted(grams)] + [0.0])
 
     def rate(words: list[str]) -> np.ndarray:
         if machine:
             return machine.word_margins(words)
         code, word = _grams(words)
-        lifts = np.zeros(SYMBOLS**4 + 1)
-        lifts[list(grams)] = list(grams.values())
         out = np.zeros(len(words))
-        np.maximum.at(out, word, lifts[code].max(axis=1))
+        if len(known):
+            at = np.minimum(np.searchsorted(known, code), len(known) - 1)
+            np.maximum.at(out, word, np.where(known[at] == code, lifts[at], 0.0).max(axis=1))
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -342,8 +358,8 @@ def _pick(
     worst = clean.orderBy(F.desc("rate"), "word").limit(most // 2).collect()
     other = clean.orderBy(F.xxhash64("word"), "word").limit(most).collect()
     held = {r.word for r in worst[: most // 2] if r.n > 2}  # a word that clean documents share is not toxic
-    positive = [r.word for r in toxic if r.word not in held]
-    return positive, [(r.word, r.rate if machine else 0.0) for r in [*worst, *other]]
+    positive = [r for r in toxic if r.word not in held]
+    return [r.word for r in positive], [r.n for r in positive], [(r.word, r.rate if machine else 0.0) for r in [*worst, *other]]
 
 
 def _document_margins(machine: Machine, texts: list[str], known: dict[str, float]) -> np.ndarray:
