@@ -110,8 +110,10 @@ def _sequence(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def _with_ends(classes: np.ndarray, sizes: np.ndarray, end: int) -> np.ndarray:
     """The classes of all rows with ``end`` before, between and after them."""
-    out = np.full(len(classes) + len(sizes) + 1, end, np.int64)
-    out[np.arange(len(classes)) + np.repeat(np.arange(len(sizes)), sizes) + 1] = classes
+    out = np.full(len(classes) + len(sizes) + 1, end, np.int32)
+    inside = np.ones(len(out), bool)
+    inside[0] = inside[np.cumsum(sizes + 1)] = False
+    out[inside] = classes
     return out
 
 
@@ -122,11 +124,13 @@ def context_counts(encoded: DataFrame, classes, first: int, last: int, k: int) -
     names = [f"{s}{c}" for s in "lr" for c in range(width)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of, sums = classes.value, np.zeros((2, (last - first) * width), np.int64)
+        # the classes of an end (-2) and of a word without a number (-1) come before those of numbered words
+        of = np.append(np.array([k + 1, k], np.int32), classes.value.astype(np.int32))
+        sums = np.zeros((2, (last - first) * width), np.int64)
         for batch in batches:
             ids, sizes = _sequence(batch.column("ids"))
-            word = _with_ends(ids, sizes, -1)
-            group = _with_ends(np.where(ids >= 0, of[np.maximum(ids, 0)], k), sizes, k + 1)
+            word = _with_ends(np.maximum(ids, -1), sizes, -2)
+            group = of[word + 2]
             at = np.flatnonzero((word >= first) & (word < last))
             own = (word[at] - first) * width
             for side, by in ((0, -1), (1, 1)):
@@ -269,7 +273,7 @@ def score_texts(
     held_out: Column,
     k: int = 16,
     core: int = 8192,
-    most: int = 250_000,
+    most: int = 150_000,
     passes: int = 5,
     text: str = "text",
     key: str = "doc_id",

@@ -21,7 +21,7 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     What is read later no longer depends on any executor that wrote it.
     """
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
