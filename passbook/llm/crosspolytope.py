@@ -109,7 +109,8 @@ def _meet(index: DataFrame, queries: DataFrame, keep: int) -> DataFrame:
     right = queries.join(many, ["table", "bucket"]).withColumn("_part", F.pmod(F.xxhash64("rep"), F.col("_parts")))
     right = right.groupBy("table", "bucket", "_part").agg(pack.alias("asked")).join(blocks, ["table", "bucket"])
     right = right.withColumn("_block", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-    both = left.join(right.drop("_blocks"), ["table", "bucket", "_block"]).select("entries", "asked")
+    # blocks hold more than the optimizer expects: never broadcast them
+    both = left.hint("merge").join(right.drop("_blocks"), ["table", "bucket", "_block"]).select("entries", "asked")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -131,6 +131,8 @@ def links(distinct: DataFrame, max_bits: int = 2) -> DataFrame:
     left = distinct.mapInArrow(homes, "anchor bigint, a bigint")
     right = distinct.mapInArrow(replicas, "anchor bigint, b bigint")
     close = (F.col("a") < F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits)
+    # replicas look small to the optimizer, which does not know how many a fingerprint has: never broadcast them
+    right = right.hint("merge")
     return left.alias("l").join(right.alias("r"), (F.col("l.anchor") == F.col("r.anchor")) & close).select("a", "b")
 
 
