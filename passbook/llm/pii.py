@@ -68,6 +68,9 @@ PRIORS = np.array(
     ]
 )
 PRIOR_VOTES = 50
+#: Spans of a kind above which only the proportions of their patterns count, so that more of the same text gives the same
+#: model; with fewer the priors weigh more.
+BASIS = 1000
 FEATURES = ("format", "valid", "listed", "cue", "other", "joined", "separated", "base")
 
 
@@ -222,6 +225,7 @@ def estimate(counts: list[tuple[int, int, int, int]], rounds: int = 100, least:
         rows = [r for r in counts if r[0] == kind]
         hot = np.eye(3)[np.array([_votes(r[1]) for r in rows], int).reshape(-1, len(LABELERS))]
         n = np.array([r[3] for r in rows], float)
+        n *= min(1.0, BASIS / max(n.sum(), 1.0))
         strict = np.array([r[2] >> (len(FEATURES) - 1) & 1 for r in rows], int)
         pseudo = (PRIORS + 0.005) * PRIOR_VOTES
         table, p, post = pseudo / pseudo.sum(-1, keepdims=True), np.array([0.5, 0.9]), np.zeros(len(rows))
@@ -248,7 +252,6 @@ def estimate(counts: list[tuple[int, int, int, int]], rounds: int = 100, least:
 def _logistic(x: np.ndarray, target: np.ndarray, n: np.ndarray, ridge: float = 0.1) -> np.ndarray:
     """Newton's method on soft targets."""
     w = np.zeros(x.shape[1])
-    n = np.minimum(n, 1e4)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         gradient = x.T @ (n * (target - p)) - ridge * w

@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -89,3 +90,10 @@ def test_odd_rows(spark, model):
     empty = frame.limit(0)
     assert find_spans(empty, fit_span_model(empty)).count() == 0
     assert fit_span_model(frame.select(F.lit(None).cast("string").alias("text"))).spans("1.2.3.4")[0] == [(1, 0, 7)]
+
+
+def test_more_copies_of_a_corpus_give_the_same_model():
+    parts = (("call +1 (269) 555-3296", 10), ("isbn 978-3-16-148410-0 ", 600), ("card 378282246310005 ", 30), ("a1b97e25e5c1059743005344d08a6b96b1", 3))
+    votes = [((s[0], *describe(t, *s, False)), n) for t, n in parts for s in proposals(t, [])]
+    small, large = (estimate([(*v, n * times) for v, n in votes]) for times in (100, 100_000))
+    assert np.abs(small.weights - large.weights).max() < 1e-6
