@@ -61,9 +61,11 @@ def load_label_transactions(spark: SparkSession, path: str, line_breaks: bool =
     return dedupe_by(_typed(raw, strict_dates=False), ["id"], ["date"])
 
 
-def load_accounts(spark: SparkSession, path: str, columns: Sequence[str] | None = None) -> DataFrame:
+def load_accounts(
+    spark: SparkSession, path: str, columns: Sequence[str] | None = None, line_breaks: bool = False
+) -> DataFrame:
     """Accounts, all columns or a projection."""
-    df = read_any(spark, path)
+    df = read_any(spark, path, line_breaks)
     casts = {c: F.col(c).cast("double") for c in ("balance", "availableBalance", "estimatedPendingAmount")
              if dict(df.dtypes).get(c) == "string"}
     df = df.withColumns(casts) if casts else df
@@ -103,14 +105,14 @@ def join_banks(
 
 
 def load_joint_bank_data(
-    spark: SparkSession, configs: Sequence[Mapping[str, str]], cutoff: str | None = None
+    spark: SparkSession, configs: Sequence[Mapping[str, str]], cutoff: str | None = None, line_breaks: bool = False
 ) -> tuple[DataFrame, DataFrame | None]:
     """``join_banks`` over files: entries with ``name``, ``txn_file``, ``acc_file``, ``cutoff_date``."""
     banks = []
     for c in configs:
-        entry: dict[str, object] = {"name": c["name"], "txns": load_transactions(spark, c["txn_file"])}
+        entry: dict[str, object] = {"name": c["name"], "txns": load_transactions(spark, c["txn_file"], line_breaks)}
         if c.get("acc_file"):
-            entry["accounts"] = load_accounts(spark, c["acc_file"])
+            entry["accounts"] = load_accounts(spark, c["acc_file"], line_breaks=line_breaks)
         if "cutoff_date" in c:
             entry["cutoff_date"] = c["cutoff_date"]
         banks.append(entry)

@@ -45,6 +45,17 @@ def test_two_banks_with_colliding_ids(spark, tmp_path):
     assert T.load_joint_bank_data(spark, banks, "2024-01-03")[0].count() == 3
 
 
+def test_line_breaks_inside_quotes(spark, tmp_path):
+    acc = _write(tmp_path / "acc.csv", '"id","name","balance"\n"1","two\nlines","3.5"\n"2","one","4"\n')
+    got = T.load_accounts(spark, acc, line_breaks=True).orderBy("id").collect()
+    assert [(r.id, r.name, r.balance) for r in got] == [("1", "two\nlines", 3.5), ("2", "one", 4.0)]
+    txn = _write(tmp_path / "t.csv", '"id","accountId","description","date","amount"\n"7","1","a\nb","2024-01-02","5"\n')
+    banks = [{"name": "B", "txn_file": txn, "acc_file": acc}]
+    txns, accounts = T.load_joint_bank_data(spark, banks, line_breaks=True)
+    assert [(r.accountId, r.description, r.amount) for r in txns.collect()] == [("B_1", "a\nb", 5.0)]
+    assert sorted(r.accountId for r in accounts.collect()) == ["B_1", "B_2"]
+
+
 def test_consolidation_filters(spark):
     schema = "id string, accountId string, amount double, status string, isForeignCurrency boolean"
     rows = [("1", "a", 1.0, "Cleared", None), ("2", "a", 0.0, "Cleared", False), ("3", "a", None, "Cleared", False), ("4", "a", 1.0, "Pending", False), ("5", "a", 1.0, "Cleared", True)]
