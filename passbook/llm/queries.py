@@ -12,7 +12,10 @@ from .classlm import score_texts
 from .common import table
 from .crosspolytope import nearest
 from .dedup import exact_duplicates
+from .lines import drop_common_lines
+from .negatives import hard_negatives
 from .packing import Limits, pack_documents
+from .phrases import collocations
 from .pieces import encode_sampled
 from .pii import find_spans, fit_span_model
 from .simhash import near_duplicates
@@ -114,6 +117,102 @@ def op5_cross_polytope_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame
     return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
 
 
+LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+@query(
+    "op11_phrase_collocations",
+    rf"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         unnest(list_transform(string_split_regex({LOWERED}, '[.,;:!?\x0A-\x0D]'),
+                               lambda p: list_filter(string_split_regex(p, '[\x20\x09]+'), lambda w: w <> ''))) AS w
+  FROM documents
+), totals AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM pieces GROUP BY lang),
+sized AS (SELECT lang, w, unnest([1, 2, 3, 4]) AS size FROM pieces),
+runs AS (
+  SELECT lang, size, unnest(list_transform(range(1, len(w) - size + 2), lambda i: array_to_string(w[i:i + size - 1], ' '))) AS phrase
+  FROM sized WHERE len(w) >= size
+), often AS (SELECT lang, size, phrase, count(*) AS f FROM runs GROUP BY ALL HAVING count(*) >= 30),
+parted AS (SELECT lang, size, phrase, f AS a, string_split(phrase, ' ') AS w FROM often WHERE size > 1),
+starts AS (SELECT lang, size, w, a, unnest(range(1, size)) AS i FROM parted),
+inner_runs AS (
+  SELECT lang, a, array_to_string(w[i:i + m - 1], ' ') AS phrase
+  FROM (SELECT *, unnest(range(2, size)) AS m FROM starts) WHERE i + m - 1 <= size
+), longer AS (SELECT lang, phrase, max(a) AS most FROM inner_runs GROUP BY ALL),
+left_over AS (
+  SELECT p.* FROM parted p LEFT JOIN longer USING (lang, phrase)
+  WHERE most IS NULL OR CAST(most AS HUGEINT) * 100 < CAST(a AS HUGEINT) * 80
+), cuts AS (
+  SELECT *, array_to_string(w[1:k], ' ') AS head, array_to_string(w[k + 1:], ' ') AS tail
+  FROM (SELECT *, unnest(range(1, size)) AS k FROM left_over)
+), halves AS (
+  SELECT c.lang, c.phrase, c.a, c.k, h.f AS l, t.f AS r,
+         CAST(CAST(c.a AS HUGEINT) * 2000000 // (CAST(h.f AS HUGEINT) + t.f) AS BIGINT) AS score
+  FROM cuts c JOIN often h ON h.lang = c.lang AND h.phrase = c.head JOIN often t ON t.lang = c.lang AND t.phrase = c.tail
+), weakest AS (
+  SELECT * FROM halves QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM weakest JOIN totals USING (lang)
+QUALIFY rank <= 2000
+""",
+)
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each language's 2000 phrases of 2 to 4 words that hold together most firmly."""
+    return collocations(table(spark, sf_dir, "documents"), longest=4, least=30, top=2000).drop("first_key", "first_byte")
+
+
+@query(
+    "op12_line_dedup",
+    rf"""
+WITH lines AS (
+  SELECT doc_id, unnest(string_split({LOWERED}, chr(10))) AS key, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+         unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS place
+  FROM documents
+), keyed AS (SELECT doc_id, place, line, trim(key, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS key FROM lines),
+common AS (SELECT key FROM keyed WHERE key <> '' GROUP BY key HAVING count(DISTINCT doc_id) >= 10),
+marked AS (SELECT k.*, c.key IS NOT NULL AS gone FROM keyed k LEFT JOIN common c USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY place) FILTER (NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY doc_id
+""",
+)
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines that ten documents or more share: counts, and a digest of what stays."""
+    kept = drop_common_lines(table(spark, sf_dir, "documents"), min_docs=10, min_chars=1)
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("kept_text", "UTF-8"), 256).alias("kept_sha256"))
+
+
+@query(
+    "op13_hard_negatives",
+    """
+WITH rows AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), pairs AS (
+  SELECT a.vec_id AS anchor_id, b.vec_id, a.label = b.label AS alike, CAST(list_inner_product(a.e, b.e) AS BIGINT) AS score
+  FROM rows a JOIN rows b ON a.vec_id <> b.vec_id WHERE a.vec_id % 100 = 0
+), positives AS (
+  SELECT * FROM pairs WHERE alike QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+)
+SELECT p.anchor_id, p.vec_id AS positive_id,
+       CAST(row_number() OVER (PARTITION BY p.anchor_id, p.vec_id ORDER BY n.score DESC, n.vec_id) AS INTEGER) AS rank,
+       n.vec_id AS negative_id, p.score AS positive_score, n.score AS negative_score
+FROM positives p JOIN pairs n ON n.anchor_id = p.anchor_id AND NOT n.alike
+ AND 80 * p.score <= 100 * n.score AND 100 * n.score <= 100 * p.score
+QUALIFY rank <= 5
+""",
+)
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first five rows of another label in the window below each of the first five positives of every anchor."""
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, sf_dir, "embeddings").withColumn("label", label)
+    return hard_negatives(rows, F.col("vec_id") % 100 == 0, positives=5, negatives=5, low=80, high=100)
+
+
 def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
