@@ -11,8 +11,8 @@ from passbook.llm.queries import ORACLES, QUERIES
 TEXT_TABLES = ("documents", "embeddings", "pages", "labels")
 
 
-def test_all_ten_and_the_pipeline_are_registered():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+def test_all_thirteen_and_the_pipeline_are_registered():
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
     assert {*QUERIES, "pipeline"} <= set(queries())
     assert set(ORACLES) <= set(oracle_sql())
 
@@ -87,14 +87,15 @@ def test_stages_on_odd_rows(spark, sf_dir, tmp_path, stored):
 
 def test_pipeline_against_brute_force(spark, sf_dir):
     """Each stage's decisions, taken again one document at a time from what its predecessor kept."""
-    from test_copies import brute_classes, brute_exact, brute_fingerprint
+    from test_copies import brute_exact
+    from test_jaccard import brute_roots
 
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     scores = {r.doc_id: r.predicted for r in QUERIES["op8_subsequence_toxicity"](spark, sf_dir).collect()}
     kept = sorted(((r.doc_id, r.text) for r in docs.collect() if not scores[r.doc_id]), key=lambda r: r[0])
     stay = {r[0] for r in brute_exact(kept) if r[3]}
     kept = [r for r in kept if r[0] in stay]
-    roots = brute_classes([brute_fingerprint(t, 3) for _, t in kept])
+    roots = brute_roots([t for _, t in kept], 5, 0.8)
     kept = [r for i, r in enumerate(kept) if roots[i] == i]
     out = corpus_pipeline.run(spark, sf_dir)
     assert {r.doc_id for r in out.select("doc_id").distinct().collect()} == {r[0] for r in kept}
