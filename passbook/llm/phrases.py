@@ -32,6 +32,8 @@ KIND[[0x20, 0x09]] = 1
 KIND[list(b".,;:!?\n\v\f\r")] = 2
 #: Text of a slice; bytes hashed at a time (longer words are hashed as a whole).
 SLICE, BLOCK = 8 << 20, 1 << 19
+#: Words compared byte by byte at a time.
+COMPARED = 1 << 16
 #: Bits of a map for each fingerprint in it, and its greatest size (16 MB).
 BITS_EACH, MAP_BITS = 32, 27
 #: A bit map is gathered in pieces of so many bits.
@@ -97,8 +99,8 @@ class Words:
         _, first, ids = np.unique(self.hash, return_index=True, return_inverse=True)
         length = self.end - self.start
         same = length == length[first][ids]
-        for i in range(0, len(self), BLOCK):
-            part = np.flatnonzero(same[i : i + BLOCK]) + i
+        for i in range(0, len(self), COMPARED):
+            part = np.flatnonzero(same[i : i + COMPARED]) + i
             n = length[part]
             step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
             here = self.bytes[np.repeat(self.start[part], n) + step]
@@ -254,11 +256,12 @@ def _texts(texts: DataFrame, longest: int, known, key: str, bits: int) -> DataFr
 def frequent_phrases(
     docs: DataFrame, longest: int = 4, least: int = 30, text: str = "text", lang: str = "lang", key: str = "doc_id", bits: int = 64
 ) -> tuple[DataFrame, DataFrame]:
-    """``lang, words, phrase, n, first_key, first_byte`` of all phrases of 1 to ``longest`` words that occur at least
+    """``lang, words, phrase, n, some_key, some_byte`` of all phrases of 1 to ``longest`` words that occur at least
     ``least`` times in a language, and ``lang, n``: how many words a language has.
 
     Texts are split at ``.,;:!?`` and line ends into pieces, pieces at blanks and tabs into words, A-Z lowered. A phrase lies
-    in one piece; overlapping occurrences all count. ``first_key`` and ``first_byte`` point to one occurrence.
+    in one piece; overlapping occurrences all count. ``some_key`` and ``some_byte`` point to an occurrence, which
+    may be another one in another run.
     """
     texts = docs.select(key, F.coalesce(F.col(lang), F.lit("und")).alias("_lang"), binary_text(text).alias("_text"))
     context = docs.sparkSession.sparkContext
@@ -275,11 +278,9 @@ def frequent_phrases(
             known = context.broadcast(bit_map(often.where(F.col("words") == n)))
             maps[n] = known
     found = _texts(texts, longest, maps, key, bits)
-    pointer = F.min(F.struct("_key", "_byte")).alias("_first")
-    summed = found.groupBy("lang", "words", "phrase").agg(F.sum("n").alias("n"), pointer).where(F.col("n") >= least)
-    return saved(
-        summed.select("lang", "words", "phrase", "n", F.col("_first._key").alias("first_key"), F.col("_first._byte").alias("first_byte")), "phrases"
-    ), totals
+    pointer = (F.first("_key").alias("some_key"), F.first("_byte").alias("some_byte"))
+    summed = found.groupBy("lang", "words", "phrase").agg(F.sum("n").alias("n"), *pointer)
+    return saved(summed.where(F.col("n") >= least), "phrases"), totals
 
 
 def _exact(column: str | Column) -> Column:
@@ -297,7 +298,7 @@ def collocations(
     key: str = "doc_id",
     bits: int = 64,
 ) -> DataFrame:
-    """``lang, rank, phrase, a, l, r, n, score, first_key, first_byte``: each language's ``top`` phrases of 2 to
+    """``lang, rank, phrase, a, l, r, n, score, some_key, some_byte``: each language's ``top`` phrases of 2 to
     ``longest`` words.
 
     ``a`` is how often the phrase occurs (at least ``least`` times), ``n`` how many words the language has. Cut in two after
@@ -345,7 +346,7 @@ def collocations(
     weakest = halves.groupBy("lang", "phrase", "a").agg(F.min(F.struct(score.alias("score"), "k", "l", "r")).alias("cut"))
     order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
     ranked = weakest.select("lang", "phrase", "a", "cut.*").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top)
-    pointers = found.select("lang", "phrase", "first_key", "first_byte")
+    pointers = found.select("lang", "phrase", "some_key", "some_byte")
     # as many rows as languages, one a language
     named = ranked.join(totals, "lang").join(pointers, ["lang", "phrase"])
-    return named.select("lang", F.col("rank").cast("bigint").alias("rank"), "phrase", "a", "l", "r", "n", "score", "first_key", "first_byte")
+    return named.select("lang", F.col("rank").cast("bigint").alias("rank"), "phrase", "a", "l", "r", "n", "score", "some_key", "some_byte")

@@ -160,7 +160,7 @@ QUALIFY rank <= 2000
 )
 def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each language's 2000 phrases of 2 to 4 words that hold together most firmly."""
-    return collocations(table(spark, sf_dir, "documents"), longest=4, least=30, top=2000).drop("first_key", "first_byte")
+    return collocations(table(spark, sf_dir, "documents"), longest=4, least=30, top=2000).drop("some_key", "some_byte")
 
 
 @query(

@@ -76,7 +76,7 @@ def test_empty_table_and_pointers(spark):
     for r in rows:
         texts.setdefault(r[0], []).append((r[1] or "").encode())
     for r in found.collect():
-        start = [t[r.first_byte :].decode("utf-8", "replace") for t in texts[r.first_key]]
+        start = [t[r.some_byte :].decode("utf-8", "replace") for t in texts[r.some_key]]
         assert any(" ".join(pieces(s)[0][: r.words]) == r.phrase for s in start)
     want = Counter()
     for r in rows:
