@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.stats import f1_score, hypergeometric_confidence, ratio_or_zero
+from ..session import stored
 from .ordered import ROWS_PER_CHUNK, prefix_sums, shuffle_rank
 
 # Fixed values.
@@ -40,23 +41,97 @@ def train_test_split(
     )
 
 
+def drawn_at(size: Column | int) -> Column:
+    """Whether a train account is among the negatives drawn at ``size``; sizes up to 0 draw all. Draws are the first
+    places of one seeded order, so a size is a threshold and needs no copy of the rows."""
+    size = F.lit(int(size)) if isinstance(size, int) else size
+    return (size <= 0) | (F.col("n_train") <= size) | (F.col("train_rank") <= size)
+
+
+def _sizes_drawn(sizes: Sequence[int]) -> Column:
+    return F.filter(F.array(*[F.lit(int(s)) for s in sizes]), drawn_at)
+
+
 def subsample_negatives(split: DataFrame, sizes: Sequence[int]) -> DataFrame:
     """Train accounts kept per ``negatives_in_training`` size; -1 keeps all."""
-    size = F.explode(F.array(*[F.lit(int(s)) for s in sizes])).alias("negatives_in_training")
-    rows = split.filter(F.col("split") == "train").select("*", size)
-    n = F.col("negatives_in_training")
-    return rows.filter((n <= 0) | (F.col("n_train") <= n) | (F.col("train_rank") <= n))
+    kept = split.filter(F.col("split") == "train")
+    return kept.select("*", F.explode(_sizes_drawn(sizes)).alias("negatives_in_training"))
 
 
 def flag_list(events: DataFrame) -> Column:
     """All flags as one array; their number is bounded by the category table."""
-    return events.select("flag").distinct().agg(F.sort_array(F.collect_list("flag"))).scalar()
+    return events.agg(F.array_sort(F.collect_set("flag"))).scalar()
+
+
+def account_flags(events: DataFrame) -> DataFrame:
+    """``account_id, flags``: the sorted flags of every account that has any."""
+    return events.groupBy("account_id").agg(F.array_sort(F.collect_set("flag")).alias("flags"))
+
+
+def with_flags(rows: DataFrame, events: DataFrame) -> DataFrame:
+    """Each row with the flags of its account, an empty array where it has none."""
+    none = F.array().cast("array<string>")
+    return rows.join(account_flags(events), "account_id", "left").withColumn("flags", F.coalesce("flags", none))
 
 
 def negatives_per_flag(rows: DataFrame, events: DataFrame) -> DataFrame:
     """Each row once per flag its account does not have."""
-    spread = rows.withColumn("flag", F.explode(flag_list(events)))
-    return spread.join(events.select("account_id", "flag"), ["account_id", "flag"], "left_anti")
+    spread = F.explode(F.array_except(flag_list(events), "flags")).alias("flag")
+    return with_flags(rows, events).select(*rows.columns, spread)
+
+
+def key_sets(split: DataFrame, positives: DataFrame, negatives: DataFrame, events: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What every run is chosen from, one row per account, seed and horizon (and flag, for positives).
+
+    ``candidates`` may be negatives and carry the flags that they must not be tested for; ``known`` are positives. Both
+    have ``split``, ``train_rank`` and ``n_train``, so a run is a filter over them (``of_run``), and nothing is repeated for
+    flags or sizes.
+    """
+    candidates = with_flags(split.join(negatives, "account_id"), events)
+    return candidates, split.join(positives, "account_id")
+
+
+def usable_runs(
+    candidates: DataFrame,
+    known: DataFrame,
+    sizes: Sequence[int],
+    min_rows: int = MIN_TRAIN_ROWS,
+    min_positives: int = MIN_TRAIN_POSITIVES,
+) -> DataFrame:
+    """``seed, negatives_in_training, flag, T, n, n_pos`` of the runs whose training set is large enough.
+
+    A run's negatives are all that are drawn less those that have the flag; both are counted per size in one pass, and
+    only the flags that accounts have are spread.
+    """
+    counts = [F.count(F.when(drawn_at(s), 1)).alias(f"_n{i}") for i, s in enumerate(sizes)]
+    names = [f"_n{i}" for i in range(len(sizes))]
+    train = candidates.filter("split = 'train'")
+    drawn = train.groupBy("seed", "T").agg(*counts)
+    flagged = train.withColumn("flag", F.explode("flags")).groupBy("seed", "T", "flag").agg(*counts)
+    flagged = flagged.withColumnsRenamed({n: f"{n}f" for n in names})
+    found = known.filter("split = 'train'").groupBy("seed", "T", "flag").agg(F.count(F.lit(1)).alias("n_pos"))
+    per_size = F.array(
+        *[
+            F.struct(F.lit(int(s)).alias("size"), (F.coalesce(n, F.lit(0)) - F.coalesce(f"{n}f", F.lit(0))).alias("n_neg"))
+            for s, n in zip(sizes, names)
+        ]
+    )
+    both = found.join(drawn, ["seed", "T"], "left").join(flagged, ["seed", "T", "flag"], "left")
+    rows = both.select("seed", "flag", "T", "n_pos", F.inline(per_size)).select(
+        "seed", F.col("size").alias("negatives_in_training"), "flag", "T", (F.col("n_pos") + F.col("n_neg")).alias("n"), "n_pos"
+    )
+    return rows.filter((F.col("n") >= min_rows) & (F.col("n_pos") >= min_positives))
+
+
+def of_run(candidates: DataFrame, known: DataFrame, seed: int, flag: str, horizon: int, size: int | None) -> DataFrame:
+    """The labelled rows of one run: its training rows, or with ``size`` None the test rows."""
+    part = "test" if size is None else "train"
+    here = (F.col("seed") == seed) & (F.col("T") == horizon) & (F.col("split") == part)
+    negative = here & ~F.array_contains("flags", flag)
+    if size is not None:
+        negative = negative & drawn_at(size)
+    pos = known.filter(here & (F.col("flag") == flag)).withColumn("label", F.lit(1)).drop("flag")
+    return pos.unionByName(candidates.filter(negative).drop("flags").withColumn("label", F.lit(0)))
 
 
 def training_rows(
@@ -68,38 +143,31 @@ def training_rows(
     min_rows: int = MIN_TRAIN_ROWS,
     min_positives: int = MIN_TRAIN_POSITIVES,
 ) -> DataFrame:
-    """Labelled training keys per run, without runs that are too small.
+    """Labelled training keys of all runs in one table, without runs that are too small.
 
     ``positives`` are ``(account_id, flag, T)`` and ``negatives`` ``(account_id, T)`` with a usable
-    cutoff. Negatives are drawn before accounts that have the flag are taken out.
+    cutoff. Negatives are drawn before accounts that have the flag are taken out. The key sets are written to
+    the shared folder once; a row is only repeated for the runs that it is in.
     """
-    size = F.explode(F.array(*[F.lit(int(s)) for s in sizes])).alias("negatives_in_training")
-    train = split.filter(F.col("split") == "train").select("account_id", "seed")
-    pos = positives.join(train, "account_id").select(
-        "account_id", "seed", size, "flag", "T", F.lit(1).alias("label")
-    )
-    drawn = subsample_negatives(split, sizes).select("account_id", "seed", "negatives_in_training")
-    neg = negatives_per_flag(drawn.join(negatives, "account_id"), events).select(
-        "account_id", "seed", "negatives_in_training", "flag", "T", F.lit(0).alias("label")
-    )
-    rows = pos.unionByName(neg)
-    usable = (
-        rows.groupBy(*RUN_KEYS)
-        .agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("p"))
-        .filter((F.col("n") >= min_rows) & (F.col("p") >= min_positives))
-    )
-    # At most seeds x sizes x horizons x flags rows, all of them lists of settings.
-    return rows.join(F.broadcast(usable.select(*RUN_KEYS)), list(RUN_KEYS), "left_semi")
+    candidates, known = (stored(k, "keys") for k in key_sets(split, positives, negatives, events))
+    runs = usable_runs(candidates, known, sizes, min_rows, min_positives)
+    # at most seeds x sizes x horizons x flags entries, all of them lists of settings
+    runs = stored(runs.select(*RUN_KEYS, "n", "n_pos"), "runs")
+    per_seed = runs.groupBy("seed", "T").agg(F.collect_list(F.struct("negatives_in_training", "flag")).alias("_runs"))
+    train = candidates.filter("split = 'train'").join(F.broadcast(per_seed), ["seed", "T"])
+    mine = F.filter("_runs", lambda r: drawn_at(r["negatives_in_training"]) & ~F.array_contains("flags", r["flag"]))
+    neg = train.select("account_id", "seed", "T", F.inline(mine)).withColumn("label", F.lit(0))
+    pos = known.filter("split = 'train'").join(F.broadcast(runs), ["seed", "T", "flag"]).withColumn("label", F.lit(1))
+    columns = ["account_id", "seed", "negatives_in_training", "flag", "T", "label"]
+    return pos.select(*columns).unionByName(neg.select(*columns))
 
 
 def test_rows(split: DataFrame, positives: DataFrame, negatives: DataFrame, events: DataFrame) -> DataFrame:
     """Labelled test keys per ``(seed, flag, T)``: every test account, positives at their event."""
-    test = split.filter(F.col("split") == "test").select("account_id", "seed")
-    pos = positives.join(test, "account_id").select("account_id", "seed", "flag", "T", F.lit(1).alias("label"))
-    neg = negatives_per_flag(test.join(negatives, "account_id"), events).select(
-        "account_id", "seed", "flag", "T", F.lit(0).alias("label")
-    )
-    return pos.unionByName(neg)
+    candidates, known = key_sets(split.filter("split = 'test'"), positives, negatives, events)
+    columns = ["account_id", "seed", "flag", "T", "label"]
+    neg = candidates.withColumn("flag", F.explode(F.array_except(flag_list(events), "flags"))).withColumn("label", F.lit(0))
+    return known.withColumn("label", F.lit(1)).select(*columns).unionByName(neg.select(*columns))
 
 
 def class_weights(rows: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import WindowSpec
 
 from ..functions.hashing import stable_hash
+from ..session import stored
 
 ROWS_PER_CHUNK = 1_000_000
 SALTS = 64
@@ -182,13 +183,13 @@ def shuffle_rank(
 
     The order is that of a hash text, whose leading digits cut every group into even pieces of about
     ``ROWS_PER_PIECE`` rows or less, so no cut points are needed. All columns of ``df`` are moved, so pass ids
-    and join the rank to wide rows afterwards.
+    and join the rank to wide rows afterwards. ``df`` is read once: with its hashes it is written to the shared folder,
+    and counts, pieces and ranks are made from there.
     """
-    rows = df.agg(F.count(F.lit(1))).scalar()
+    placed = stored(df.withColumn("_hash", stable_hash(*[F.col(c) for c in id_cols], seed)), "hashed")
     share = F.conv(F.substring("_hash", 1, 8), 16, 10).cast("double") / 2.0**32
-    placed = df.withColumn("_hash", stable_hash(*[F.col(c) for c in id_cols], seed)).withColumn(
-        "_part", F.floor(share * F.ceil(rows / F.lit(float(ROWS_PER_PIECE))))
-    )
+    pieces = max(1, -(-placed.count() // ROWS_PER_PIECE))
+    placed = placed.withColumn("_part", F.floor(share * F.lit(float(pieces))))
     counts = placed.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_n"))
     across = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
     before = across.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)

@@ -10,7 +10,7 @@ from ..operators import evaluate as E
 from ..operators import models as K
 from ..plans import views as V
 from .registry import query
-from .sqlviews import TXN_SHORT, with_views
+from .sqlviews import SCORES, TXN_SHORT, with_views
 
 BATCH, SEED = 64, 3
 
@@ -250,8 +250,43 @@ def balanced_logistic_scores(spark, sf):
     return K.score_methods(train, test, 42, ["Linear_Emb"])
 
 
-@query("label_issues", "id:s label:i score:f6 issue:i")
+ISSUES_SQL = """
+limits AS (SELECT grp, avg(score) FILTER (label = 1) AS pos, avg(1 - score) FILTER (label = 0) AS neg FROM scores GROUP BY grp),
+likely AS (
+  SELECT s.*, CASE WHEN score >= pos AND 1 - score >= neg THEN CAST(score > 0.5 AS INTEGER)
+                   WHEN score >= pos THEN 1 WHEN 1 - score >= neg THEN 0 END AS guess,
+         CASE label WHEN 1 THEN 1 - 2 * score ELSE 2 * score - 1 END AS margin
+  FROM scores s JOIN limits USING (grp)),
+joint AS (
+  SELECT grp, label, count(*) AS n, greatest(count(*) FILTER (guess = label), 1) AS kept, count(*) FILTER (guess = 1 - label) AS moved
+  FROM likely GROUP BY ALL),
+noise AS (SELECT *, least(CAST(round_even(n * moved / CAST(kept + moved AS DOUBLE), 0) AS BIGINT), n - 1) AS prune FROM joint)"""
+
+
+@query(
+    "noise_counts",
+    "grp:s label:i n:i kept:i moved:i prune:i",
+    with_views(SCORES, ISSUES_SQL) + " SELECT * FROM noise",
+)
+def noise_counts(spark, sf):
+    return K.noise_counts(V.scores(spark, sf), ["grp"])
+
+
+@query(
+    "label_issues",
+    "grp:s id:s label:i score:f6 issue:i",
+    with_views(SCORES, ISSUES_SQL)
+    + """ SELECT l.grp, id, l.label, score, CAST(prune > 0 AND CAST(score > 0.5 AS INTEGER) <> l.label
+             AND (SELECT count(*) FROM likely x WHERE x.grp = l.grp AND x.label = l.label AND x.margin > l.margin) < prune AS INTEGER) AS issue
+           FROM likely l JOIN noise n ON n.grp = l.grp AND n.label = l.label""",
+)
 def label_issues(spark, sf):
+    """Rows pruned by noise rate among scores that every engine has alike."""
+    return K.label_issues(V.scores(spark, sf), ["grp"]).withColumn("issue", F.col("issue").cast("int"))
+
+
+@query("label_issues_out_of_fold", "id:s label:i score:f6 issue:i")
+def label_issues_out_of_fold(spark, sf):
     rows = K.feature_sets(_labelled(spark, sf))
     return K.label_issues(K.out_of_fold(rows, "feat", 42)).withColumn("issue", F.col("issue").cast("int"))
 

@@ -5,11 +5,16 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.stats import f1_score, hypergeometric_confidence, ratio_or_zero
+from ..operators import clean as C
 from ..operators import evaluate as E
+from ..operators import labels as L
 from ..operators import points as P
+from ..plans import evaluation as J
 from ..plans import views as V
+from ..session import scratch_path, stored
+from ..sources import categories as cat
 from .datasets import BALANCES, _examples, _examples_sql
-from .labels import CATEGORIES_SQL, _emerging_sql, detect_emerging
+from .labels import CATEGORIES_SQL, GROUPS, _emerging_sql
 from .registry import query
 from .sqlviews import ACCT, SCORES, TXN_LONG, TXN_SHORT, with_views
 
@@ -209,7 +214,6 @@ def train_val_split(spark, sf):
   SELECT 'train' AS split, floor(n * CAST(0.9 AS DOUBLE)) AS n FROM c
   UNION ALL SELECT 'val', n - floor(n * CAST(0.9 AS DOUBLE)) FROM c""")
 def train_val_split_saved(spark, sf):
-    from ..session import scratch_path
     from ..sources.sinks import save_table
 
     path = scratch_path(spark, "split")
@@ -248,10 +252,16 @@ flags AS (SELECT DISTINCT flag FROM fl)"""
 _BASE = (TXN_LONG, ACCT, CATEGORIES_SQL, _emerging_sql("txn_long"), FLAGS_SQL)
 
 
+def _ledger(spark, sf):
+    """Transactions written once, and what the evaluation reads from them: events, calendars."""
+    txns = stored(V.txn_long(spark, sf), "transactions")
+    found = L.detect_emerging(C.filter_accounts(txns, V.acct(spark, sf)), cat.default_categories(spark), GROUPS, 3)
+    events = found.select(F.col("accountId").alias("account_id"), F.col("flag_name").alias("flag")).distinct()
+    return txns, stored(events, "events"), stored(P.calendars(txns), "calendars")
+
+
 def _events(spark, sf):
-    return detect_emerging(spark, sf).select(
-        F.col("accountId").alias("account_id"), F.col("flag_name").alias("flag")
-    ).distinct()
+    return _ledger(spark, sf)[1]
 
 
 @query(
@@ -266,10 +276,10 @@ def negatives_per_flag(spark, sf):
 
 
 def _keys(spark, sf):
-    events = _events(spark, sf)
+    _, events, calendars = _ledger(spark, sf)
     positives = events.withColumn("T", F.explode(F.array(*[F.lit(t) for t in HORIZONS])))
-    negatives = P.negative_cutoffs(_calendars(spark, sf), HORIZONS).filter("status = 'kept'").select("account_id", "T")
-    return events, positives, negatives
+    negatives = P.negative_cutoffs(calendars, HORIZONS).filter("status = 'kept'").select("account_id", "T")
+    return calendars.select("account_id"), events, positives, negatives
 
 
 TRAIN_SQL = """
@@ -287,36 +297,100 @@ train_ok AS (
 
 @query(
     "training_rows",
+    "account_id:s seed:i negatives_in_training:i flag:s T:i label:i",
+    with_views(*_BASE, CAL_SQL, SPLIT_SQL, DRAWN_SQL, TRAIN_SQL)
+    + ' SELECT r.* FROM train_rows r SEMI JOIN train_ok USING (seed, negatives_in_training, flag, "T")',
+)
+def training_rows(spark, sf):
+    accounts, events, pos, neg = _keys(spark, sf)
+    return E.training_rows(E.train_test_split(accounts, SEEDS), pos, neg, events, SIZES)
+
+
+@query(
+    "usable_runs",
     "seed:i negatives_in_training:i flag:s T:i n:i n_pos:i",
     with_views(*_BASE, CAL_SQL, SPLIT_SQL, DRAWN_SQL, TRAIN_SQL) + " SELECT * FROM train_ok",
 )
-def training_rows(spark, sf):
-    events, pos, neg = _keys(spark, sf)
-    rows = E.training_rows(E.train_test_split(_accounts(spark, sf), SEEDS), pos, neg, events, SIZES)
-    return rows.groupBy("seed", "negatives_in_training", "flag", "T").agg(
-        F.count(F.lit(1)).alias("n"), F.sum("label").alias("n_pos")
-    )
+def usable_runs(spark, sf):
+    accounts, events, pos, neg = _keys(spark, sf)
+    return E.usable_runs(*E.key_sets(E.train_test_split(accounts, SEEDS), pos, neg, events), SIZES)
+
+
+TEST_SQL = """
+test_rows AS (
+  SELECT f.account_id, s.seed, f.flag, h."T", 1 AS label
+  FROM fl f JOIN split s ON s.account_id = f.account_id AND s.split = 'test', hz h
+  UNION ALL
+  SELECT s.account_id, s.seed, g.flag, c."T", 0
+  FROM split s JOIN cutoffs c ON c.account_id = s.account_id AND c.status = 'kept', flags g
+  WHERE s.split = 'test' AND NOT EXISTS (SELECT 1 FROM fl f WHERE f.account_id = s.account_id AND f.flag = g.flag))"""
 
 
 @query(
     "test_rows",
     "account_id:s seed:i flag:s T:i label:i",
-    with_views(*_BASE, CAL_SQL, SPLIT_SQL)
-    + """ SELECT f.account_id, s.seed, f.flag, h."T", 1 AS label
-          FROM fl f JOIN split s ON s.account_id = f.account_id AND s.split = 'test', hz h
-          UNION ALL
-          SELECT s.account_id, s.seed, g.flag, c."T", 0
-          FROM split s JOIN cutoffs c ON c.account_id = s.account_id AND c.status = 'kept', flags g
-          WHERE s.split = 'test'
-            AND NOT EXISTS (SELECT 1 FROM fl f WHERE f.account_id = s.account_id AND f.flag = g.flag)""",
+    with_views(*_BASE, CAL_SQL, SPLIT_SQL, TEST_SQL) + " SELECT * FROM test_rows",
 )
 def test_rows(spark, sf):
-    events, pos, neg = _keys(spark, sf)
-    return E.test_rows(E.train_test_split(_accounts(spark, sf), SEEDS), pos, neg, events)
+    accounts, events, pos, neg = _keys(spark, sf)
+    return E.test_rows(E.train_test_split(accounts, SEEDS), pos, neg, events)
+
+
+def _vectors(txns):
+    """An account's vectors: number, sum and mean of amounts; and its transactions by day of the week, with their number."""
+    n = F.count(F.lit(1))
+    days = [F.count(F.when(F.dayofweek("date") == d, 1)) for d in range(1, 8)]
+    double = lambda *c: F.array(*[x.cast("double") for x in c])
+    return txns.groupBy(F.col("accountId").alias("account_id")).agg(
+        double(n, F.sum("amount") / 1e6, F.avg("amount") / 1e5).alias("embedding"), double(n, *days).alias("features")
+    )
+
+
+VECTOR_SQL = """
+vectors AS (
+  SELECT "accountId" AS account_id, CAST(count(*) AS DOUBLE) AS e0, sum(amount) / 1e6 AS e1, avg(amount) / 1e5 AS e2,
+         count(*) FILTER (dayofweek(date) = 0) AS sundays, count(*) FILTER (dayofweek(date) = 6) AS saturdays
+  FROM txn_long GROUP BY ALL)"""
+
+
+def _evaluation_inputs(spark, sf):
+    txns, events, calendars = _ledger(spark, sf)
+    vectors = stored(_vectors(txns), "vectors")
+    positives = events.withColumn("T", F.explode(F.array(*[F.lit(t) for t in HORIZONS]))).join(vectors, "account_id")
+    negatives = P.negative_cutoffs(calendars, HORIZONS).filter("status = 'kept'").select("account_id", "T")
+    return calendars.select("account_id"), positives, negatives.join(vectors, "account_id"), events
 
 
 @query(
-    "positives_in_train",
+    "evaluation_rows",
+    "kind:s account_id:s seed:i T:i split:s train_rank:i n_train:i flags:s e0:f6 e1:f6 e2:f6 sundays:i saturdays:i",
+    with_views(*_BASE, CAL_SQL, SPLIT_SQL, VECTOR_SQL)
+    + """, keyed AS (
+       SELECT 'negative' AS kind, c.account_id, "T", (SELECT string_agg(flag, ',' ORDER BY flag) FROM fl f WHERE f.account_id = c.account_id) AS flags
+       FROM cutoffs c WHERE status = 'kept'
+       UNION ALL SELECT 'positive', account_id, "T", flag FROM fl, hz)
+     SELECT kind, k.account_id, seed, "T", split, CASE WHEN split = 'train' THEN r END AS train_rank, n_train,
+            coalesce(flags, '') AS flags, e0, e1, e2, sundays, saturdays
+     FROM keyed k JOIN split USING (account_id) JOIN vectors USING (account_id)""",
+)
+def evaluation_rows(spark, sf):
+    """The stored rows that every run of the evaluation is a filter of, with their vectors."""
+    accounts, positives, negatives, events = _evaluation_inputs(spark, sf)
+    out = scratch_path(spark, "evaluation-rows")
+    candidates, known = J.evaluation_rows(E.train_test_split(accounts, SEEDS), positives, negatives, events, out)
+    both = candidates.withColumns({"kind": F.lit("negative"), "flags": F.array_join("flags", ",")}).unionByName(
+        known.withColumnRenamed("flag", "flags").withColumn("kind", F.lit("positive"))
+    )
+    numbers = {f"e{i}": F.col("embedding")[i] for i in range(3)} | {"sundays": F.col("features")[1], "saturdays": F.col("features")[7]}
+    return both.withColumns(numbers)
+
+
+def _count_score(train, test, seed, methods, trees):
+    """A score that needs no fit: how many transactions the account has."""
+    return test.select(F.lit("Count").alias("method"), "id", "label", (F.col("embedding")[0] / 64).alias("score"))
+
+
+@query("positives_in_train",
     "account_id:s seed:i flag:s",
     with_views(*_BASE, SPLIT_SQL)
     + " SELECT f.account_id, seed, flag FROM fl f JOIN split s ON s.account_id = f.account_id WHERE split = 'train'",
@@ -388,17 +462,22 @@ at_k AS (
 _F1 = "CASE WHEN prec + rec > 0 THEN 2 * prec * rec / (prec + rec) ELSE 0 END"
 
 
+LIFT_NAMES = {
+    "lift": ("prec / prevalence", "f6"), "conf": ("confidence", "f5"), "recall": ("rec", "f6"), "precision": ("prec", "f6"),
+    "f1": (_F1, "f6"), "n_found": ("found", "i"), "depth": ("rank", "i"),
+}
+LIFT_SHAPE = " ".join(f"{n}_{k}:{kind}" for n, (_, kind) in LIFT_NAMES.items() for k in E.LIFT_KS)
+LIFT_PICKS = ", ".join(
+    f"max(CASE WHEN n_pos > 0 THEN {value} ELSE 0 END) FILTER (k_pct = {k}) AS {n}_{k}" for n, (value, _) in LIFT_NAMES.items() for k in E.LIFT_KS
+)
+LIFT_KS_SQL = "[" + ", ".join(f"{float(k)}" for k in E.LIFT_KS) + "]::DOUBLE[]"
+
+
 @query(
     "lift_table",
-    "grp:s n_pos:i n_total:i prevalence:f6 lift_1:f6 lift_5:f6 lift_20:f6 conf_5:f5 conf_20:f5 recall_10:f6 "
-    "precision_10:f6 f1_10:f6 n_found_3:i depth_3:i",
-    with_views(SCORES, RANKED_SQL, _at_k_sql("[1.0, 3.0, 5.0, 10.0, 20.0]::DOUBLE[]"))
-    + f""" SELECT grp, any_value(n_pos) AS n_pos, any_value(n_total) AS n_total, any_value(prevalence) AS prevalence,
-       max(prec / prevalence) FILTER (k_pct = 1) AS lift_1, max(prec / prevalence) FILTER (k_pct = 5) AS lift_5,
-       max(prec / prevalence) FILTER (k_pct = 20) AS lift_20, max(confidence) FILTER (k_pct = 5) AS conf_5,
-       max(confidence) FILTER (k_pct = 20) AS conf_20, max(rec) FILTER (k_pct = 10) AS recall_10,
-       max(prec) FILTER (k_pct = 10) AS precision_10, max({_F1}) FILTER (k_pct = 10) AS f1_10,
-       max(found) FILTER (k_pct = 3) AS n_found_3, max(rank) FILTER (k_pct = 3) AS depth_3
+    "grp:s n_pos:i n_total:i prevalence:f6 " + LIFT_SHAPE,
+    with_views(SCORES, RANKED_SQL, _at_k_sql(LIFT_KS_SQL))
+    + f""" SELECT grp, any_value(n_pos) AS n_pos, any_value(n_total) AS n_total, any_value(prevalence) AS prevalence, {LIFT_PICKS}
      FROM at_k GROUP BY grp""",
 )
 def lift_table(spark, sf):
@@ -505,10 +584,32 @@ def metric_seed_means(spark, sf):
 )
 def metrics_saved(spark, sf):
     """Metric rows written as one CSV file and read back."""
-    from ..session import scratch_path
     from ..sources.sinks import save_metrics
     from ..sources.tables import read_csv
 
     path = scratch_path(spark, "metrics")
     save_metrics(metric_seed_means(spark, sf), path)
     return read_csv(spark, path)
+
+
+@query(
+    "evaluation_job",
+    "seed:i negatives_in_training:i flag:s T:i method:s auc:f8 n_pos:i n_total:i prevalence:f6 " + LIFT_SHAPE,
+    with_views(*_BASE, CAL_SQL, SPLIT_SQL, DRAWN_SQL, TRAIN_SQL, TEST_SQL, VECTOR_SQL)
+    + """, scores AS (
+        SELECT concat_ws('|', o.seed, negatives_in_training, o.flag, o."T") AS grp, account_id AS id, label, e0 / 64 AS score
+        FROM test_rows t JOIN train_ok o ON o.seed = t.seed AND o.flag = t.flag AND o."T" = t."T" JOIN vectors USING (account_id)),"""
+    + RANKED_SQL + "," + _at_k_sql(LIFT_KS_SQL) + "," + AUC_SQL
+    + f""", s AS (SELECT grp, sum(label) AS p, sum(1 - label) AS q, sum(rk) FILTER (label = 1) AS rs FROM r GROUP BY grp),
+      auc AS (SELECT grp, CASE WHEN p > 0 AND q > 0 THEN (rs - p * (p + 1) / 2) / (p * q) ELSE 0.5 END AS auc FROM s),
+      wide AS (SELECT grp, any_value(n_pos) AS n_pos, any_value(n_total) AS n_total, any_value(prevalence) AS prevalence, {LIFT_PICKS}
+               FROM at_k GROUP BY grp)
+      SELECT o.seed, o.negatives_in_training, o.flag, o."T", 'Count' AS method, auc, wide.* EXCLUDE (grp)
+      FROM train_ok o JOIN wide ON wide.grp = concat_ws('|', o.seed, o.negatives_in_training, o.flag, o."T") JOIN auc USING (grp)""",
+)
+def evaluation_job(spark, sf):
+    """The whole evaluation with a score that needs no fit: every run's metrics."""
+    accounts, positives, negatives, events = _evaluation_inputs(spark, sf)
+    return J.run_evaluation(
+        accounts, positives, negatives, events, seeds=SEEDS, sizes=SIZES, methods=["Count"], score=_count_score
+    )

@@ -155,3 +155,76 @@ def test_evaluation_run_end_to_end(spark):
     assert all(r.auc > 0.9 and r.n_pos + 0 < r.n_total == 90 for r in out)
     none = run_evaluation(rows.select("account_id"), positives, negatives, events, seeds=[1], sizes=[-1], methods=["Linear_Emb"], min_rows=10_000)
     assert none is None
+
+
+def _inputs(spark, n=300):
+    rows = _labelled(spark, n).withColumnRenamed("id", "account_id")
+    flag = F.lit("F").alias("flag")
+    events = rows.filter("label = 1").select("account_id", flag)
+    one = F.lit(1).alias("T")
+    return rows.select("account_id"), rows.filter("label = 1").select("account_id", flag, one, "embedding", "features"), rows.select("account_id", one, "embedding", "features"), events
+
+
+def test_a_stopped_evaluation_goes_on(spark, tmp_path):
+    """Runs that were finished are not scored again; changed rows are."""
+    calls = []
+
+    def score(train, test, seed, methods, trees):
+        calls.append(seed)
+        if len(calls) == 3:
+            raise RuntimeError("stopped")
+        return test.select(F.lit("M").alias("method"), "id", "label", F.col("embedding")[0].alias("score"))
+
+    go = lambda inputs: run_evaluation(
+        *inputs, seeds=[1, 2], sizes=[150, -1], methods=["M"], out=str(tmp_path / "e"), workers=1, score=score
+    )
+    inputs = _inputs(spark)
+    with pytest.raises(RuntimeError):
+        go(inputs)
+    first = go(inputs).collect()
+    assert len(calls) == 3 + 2 and len(first) == 4
+    assert sorted(map(str, go(inputs).collect())) == sorted(map(str, first)) and len(calls) == 5
+    go((*inputs[:3], inputs[3].filter("account_id != '000'")))
+    assert len(calls) == 9
+
+
+def brute_issues(rows):
+    mean = lambda v: sum(v) / len(v)
+    pos, neg = mean([p for _, y, p in rows if y]), mean([1 - p for _, y, p in rows if not y])
+    out = set()
+    for label in (0, 1):
+        mine = [(i, p) for i, y, p in rows if y == label]
+        guess = lambda p: (int(p > 0.5) if p >= pos and 1 - p >= neg else 1 if p >= pos else 0 if 1 - p >= neg else None)
+        moved, kept = sum(guess(p) == 1 - label for _, p in mine), max(1, sum(guess(p) == label for _, p in mine))
+        prune = min(round(len(mine) * moved / (kept + moved)), len(mine) - 1)
+        margin = lambda p: 1 - 2 * p if label else 2 * p - 1
+        out |= {i for i, p in mine if sum(margin(q) > margin(p) for _, q in mine) < prune and int(p > 0.5) != label}
+    return out
+
+
+@pytest.mark.parametrize("steps", [1000, 7])
+def test_planted_noise_is_pruned(spark, steps):
+    """One label in ten is wrong. As many go as the calibrated counts say: most of the wrong ones and few others. Ties at the cut go together."""
+    rng = random.Random(steps)
+    rows, wrong = [], set()
+    for i in range(600):
+        y = int(rng.random() < 0.3)
+        p = min(max(rng.gauss(0.8 if y else 0.2, 0.1), 0.0), 1.0)
+        if rng.random() < 0.1:
+            y, _ = 1 - y, wrong.add(str(i))
+        rows.append((str(i), y, round(p * steps) / steps))
+    got = {r.id for r in K.label_issues(spark.createDataFrame(rows, "id string, label int, score double")).filter("issue").collect()}
+    assert got == brute_issues(rows)
+    assert len(got & wrong) >= 0.8 * len(wrong) and len(got - wrong) <= 0.02 * len(rows)
+
+
+def test_linear_model_ends_at_the_optimum(spark):
+    rows = K.feature_sets(_labelled(spark))
+    got = K.fit_linear(rows, "emb")
+    data = rows.select("label", "embedding").collect()
+    x, y = np.array([r.embedding for r in data]), np.array([r.label for r in data])
+    w = np.where(y == 1, len(y) / (2 * y.sum()), len(y) / (2 * (len(y) - y.sum())))
+    p = 1 / (1 + np.exp(-(x @ np.array(got.weights) + got.intercept)))
+    assert np.allclose(x.T @ (w * (p - y)) + np.array(got.weights), 0, atol=1e-6) and abs((w * (p - y)).sum()) < 1e-6
+    one = K.fit_linear(rows.filter("label = 1"), "emb")
+    assert {r.score for r in K.predict(one, rows).collect()} == {1.0}
