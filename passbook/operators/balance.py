@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import signed_log
+from ..session import stored
 from .keys import first_in_group, require_columns, tie_break
 from .ordered import ROWS_PER_CHUNK, add_running, chunk_totals
 
@@ -55,27 +56,67 @@ def dedupe_transactions(txns: DataFrame) -> DataFrame:
     return first_in_group(typed, ["accountId", "id"], order)
 
 
-def _flip_test() -> Column:
-    """Aggregate: true when nearly all debits are positive or nearly all credits negative."""
-    def share(direction: str, wrong: Column) -> Column:
-        is_dir = F.col("direction") == direction
-        return F.avg(F.when(is_dir, F.when(wrong, 1.0).otherwise(0.0)))
+def _sign_counts() -> list[Column]:
+    """Aggregates: rows of either direction, and how many of them have the other one's sign."""
+    debit, credit = F.col("direction") == "D", F.col("direction") == "C"
+    count = lambda c: F.count(F.when(c, 1))
+    return [
+        count(debit).alias("n_debit"), count(debit & (F.col("amount") > 0)).alias("debit_wrong"),
+        count(credit).alias("n_credit"), count(credit & (F.col("amount") < 0)).alias("credit_wrong"),
+    ]
 
-    debits = share("D", F.col("amount") > 0) > FLIP_SHARE
-    credits = share("C", F.col("amount") < 0) > FLIP_SHARE
-    return F.coalesce(debits, F.lit(False)) | F.coalesce(credits, F.lit(False))
+
+SIGN_COUNTS = ("n_debit", "debit_wrong", "n_credit", "credit_wrong")
+
+
+def _flip(n: dict[str, Column]) -> Column:
+    """True when nearly all debits are positive or nearly all credits negative."""
+    share = lambda wrong, rows: F.coalesce(wrong / F.when(rows > 0, rows) > FLIP_SHARE, F.lit(False))
+    return share(n["debit_wrong"], n["n_debit"]) | share(n["credit_wrong"], n["n_credit"])
+
+
+def with_flip(rows: DataFrame, counted: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Add ``_flip`` to ``rows``, from a table that carries the sign counts (of days, or of anything else)."""
+    flips = counted.groupBy(*by).agg(_flip({c: F.sum(c) for c in SIGN_COUNTS}).alias("_flip"))
+    return rows.join(flips, list(by), "left") if by else rows.withColumn("_flip", flips.scalar())
+
+
+def _signed(column: str) -> Column:
+    return F.when(F.col("_flip"), -F.col(column)).otherwise(F.col(column))
 
 
 def normalize_signs(txns: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Flip every amount when the sign convention is reversed, per ``by`` group or overall."""
-    if by:
-        flips = txns.groupBy(*by).agg(_flip_test().alias("_flip"))
-        marked = txns.join(flips, list(by), "left")
-    else:
-        marked = txns.withColumn("_flip", txns.agg(_flip_test().alias("_flip")).scalar())
-    return marked.withColumn("amount", F.when(F.col("_flip"), -F.col("amount")).otherwise(F.col("amount"))).drop(
-        "_flip"
-    )
+    marked = with_flip(txns, txns.groupBy(*by).agg(*_sign_counts()), by)
+    return marked.withColumn("amount", _signed("amount")).drop("_flip")
+
+
+def ledger_days(txns: DataFrame, sign_by: Sequence[str] = ()) -> DataFrame:
+    """The state that all daily balances are made of: one row per account and day (and ``sign_by``) with the sum of its
+    amounts and its sign counts.
+
+    Transactions are read once, deduplicated and summed; the days are written to the shared folder. Whether signs are
+    flipped, which accounts there are and which day is the last all follow from them, as a flip of a sum is the sum of
+    flips.
+    """
+    keep = [*TXN_REQUIRED, *[c for c in sign_by if c not in TXN_REQUIRED]]
+    rows = dedupe_transactions(txns.select(*keep))
+    return stored(rows.groupBy("accountId", "date", *sign_by).agg(F.sum("amount").alias("day_sum"), *_sign_counts()), "days")
+
+
+def _day_sums(
+    txns: DataFrame, accounts: DataFrame, include_pending: bool, sign_by: Sequence[str]
+) -> tuple[DataFrame, DataFrame]:
+    """``accountId, date, day_sum`` with signs put right and pending amounts added, and the snapshots. Reads each input
+    once."""
+    state, snaps = ledger_days(txns, sign_by), stored(latest_snapshot(accounts), "snapshots")
+    days = with_flip(state, state, sign_by).select("accountId", "date", _signed("day_sum").alias("day_sum"))
+    if include_pending and "estimatedPendingAmount" in accounts.columns:
+        waiting = pending_rows(state, snaps).select("accountId", "date", F.col("amount").alias("day_sum"))
+        days = days.unionByName(waiting)
+    # a day has several rows where signs are counted by group, or where an amount is pending
+    days = days.groupBy("accountId", "date").agg(F.sum("day_sum").alias("day_sum"))
+    return days, snaps.select("accountId", "availableBalance", "balanceDateTime")
 
 
 def pending_rows(txns: DataFrame, snapshots: DataFrame) -> DataFrame:
@@ -95,16 +136,6 @@ def pending_rows(txns: DataFrame, snapshots: DataFrame) -> DataFrame:
     )
 
 
-def _prepared(
-    txns: DataFrame, accounts: DataFrame, include_pending: bool, sign_by: Sequence[str]
-) -> tuple[DataFrame, DataFrame]:
-    snaps = latest_snapshot(accounts)
-    rows = normalize_signs(dedupe_transactions(txns), sign_by)
-    if include_pending and "estimatedPendingAmount" in accounts.columns:
-        rows = rows.unionByName(pending_rows(txns, snaps), allowMissingColumns=True)
-    return rows, snaps.select("accountId", "availableBalance", "balanceDateTime")
-
-
 def opening_balances(totals: DataFrame, snaps: DataFrame, total: str, order: Sequence[str]) -> DataFrame:
     """``opening`` balance before each day (or part of a day): snapshot - history + what came before.
 
@@ -124,8 +155,7 @@ def opening_balances(totals: DataFrame, snaps: DataFrame, total: str, order: Seq
 
 def historical_sums(txns: DataFrame, accounts: DataFrame, include_pending: bool = True) -> DataFrame:
     """Per account: sum of amounts up to the snapshot day, and the balance before everything."""
-    rows, snaps = _prepared(txns, accounts, include_pending, ())
-    days = rows.groupBy("accountId", "date").agg(F.sum("amount").alias("day_sum"))
+    days, snaps = _day_sums(txns, accounts, include_pending, ())
     hist = F.when(F.col("date") <= F.col("balanceDateTime"), F.col("day_sum"))
     return (
         days.join(snaps, "accountId", "left")
@@ -147,14 +177,18 @@ def running_balance(
 ) -> DataFrame:
     """``balance_after`` for every transaction, in ``(accountId, date, id)`` order.
 
-    NULL where the account has no snapshot or the row has no amount.
+    NULL where the account has no snapshot or the row has no amount. Each input is read once: the deduplicated rows
+    are written to the shared folder, and signs, pending rows, cuts and totals are made from there.
     """
-    rows, snaps = _prepared(txns, accounts, include_pending, sign_by)
+    rows, snaps = stored(dedupe_transactions(txns), "ledger"), stored(latest_snapshot(accounts), "snapshots")
+    raw_ids = rows.select("accountId", "date", "id")
+    rows = with_flip(rows, rows.groupBy(*sign_by).agg(*_sign_counts()), sign_by)
+    rows = rows.withColumn("amount", _signed("amount")).drop("_flip")
+    if include_pending and "estimatedPendingAmount" in accounts.columns:
+        rows = rows.unionByName(pending_rows(raw_ids, snaps), allowMissingColumns=True)
+    snaps = snaps.select("accountId", "availableBalance", "balanceDateTime")
     # Undated rows come last, in a day of their own.
     day = F.coalesce(F.datediff("date", F.lit("1970-01-01").cast("date")), F.lit(2**31 - 1))
-    raw_ids = txns.select(
-        account_key().alias("accountId"), F.to_date("date").alias("date"), F.col("id").cast("string").alias("id")
-    )
     chunked, totals = chunk_totals(
         rows.withColumn("_day", day),
         ["accountId"],
@@ -184,12 +218,11 @@ def daily_balances(
     """Closing balance per account and active day, plus the latest day of the whole data.
 
     The close of a day is its opening balance plus the day's sum, so only per-day sums are
-    shuffled, never the ordered transactions.
+    shuffled, never the ordered transactions. Each input is read once.
     """
-    keep = [*TXN_REQUIRED, *[c for c in sign_by if c not in TXN_REQUIRED]]
-    rows, snaps = _prepared(txns.select(*keep), accounts, include_pending, sign_by)
-    days = rows.groupBy("accountId", "date").agg(F.sum("amount").alias("day_sum"))
-    running_date = rows.agg(F.max("date").alias("d")).scalar()
+    days, snaps = _day_sums(txns, accounts, include_pending, sign_by)
+    days = stored(days, "signed-days")
+    running_date = days.agg(F.max("date").alias("d")).scalar()
     return (
         opening_balances(days, snaps, "day_sum", ["date"])
         .filter(F.col("date").isNotNull())
@@ -234,47 +267,91 @@ def starting_balance_on(probes: DataFrame, daily: DataFrame, strict: bool = Fals
     return keyed.join(answers, ["_acc", "_day"], "left").drop("_acc", "_day")
 
 
-def window_stats(
-    probes: DataFrame,
-    daily: DataFrame,
-    start: str = "start_date",
-    end: str = "end_date",
-    bucket_days: int = 32,
-) -> DataFrame:
+#: Blocks of 2 ** LEVELS days, the largest ones, span 90 years.
+LEVELS = 15
+
+
+def day_blocks(daily: DataFrame) -> DataFrame:
+    """Summaries of the days of every account, in blocks of 1, 2, 4, ... days that start at multiples of their length:
+    ``n, mean, dev`` (squared deviations from it), ``low, high, first, last``. Two summaries merge into one."""
+    day = F.datediff("date", F.lit("1970-01-01").cast("date"))
+    spread = daily.select(
+        F.col("accountId").alias("_acc"), day.alias("_day"), F.col("balance").alias("_bal"),
+        F.explode(F.sequence(F.lit(0), F.lit(LEVELS))).alias("_level"),
+    ).withColumn("_block", F.expr("shiftright(_day, _level)"))
+    return spread.groupBy("_acc", "_level", "_block").agg(
+        F.count("_bal").alias("n"), F.avg("_bal").alias("mean"), (F.var_pop("_bal") * F.count("_bal")).alias("dev"),
+        F.min("_bal").alias("low"), F.max("_bal").alias("high"),
+        F.min_by("_bal", "_day").alias("first"), F.max_by("_bal", "_day").alias("last"), F.min("_day").alias("start"), F.max("_day").alias("end"),
+    )
+
+
+def _range_blocks(start: Column, end: Column) -> Column:
+    """The fewest blocks that make up the days from ``start`` to ``end``: at most two of a length, except the longest."""
+    def step(acc: Column, level: Column) -> Column:
+        lo, hi = acc["lo"], acc["hi"]
+        block = lambda at: F.array(F.struct(level.alias("_level"), at.alias("_block")))
+        none = F.slice(block(lo), 1, 0)
+        odd_lo, odd_hi = (lo < hi) & (lo.bitwiseAND(1) == 1), hi.bitwiseAND(1) == 1
+        after = F.when(odd_lo, lo + 1).otherwise(lo)
+        odd_hi = odd_hi & (after < hi)
+        before = F.when(odd_hi, hi - 1).otherwise(hi)
+        taken = F.concat(acc["taken"], F.when(odd_lo, block(lo)).otherwise(none), F.when(odd_hi, block(hi - 1)).otherwise(none))
+        return F.struct(F.shiftright(after, 1).alias("lo"), F.shiftright(before, 1).alias("hi"), taken.alias("taken"))
+
+    number = lambda c: F.datediff(c, F.lit("1970-01-01").cast("date"))
+    empty = F.slice(F.array(F.struct(F.lit(0).alias("_level"), number(start).alias("_block"))), 1, 0)
+    first = F.struct(number(start).alias("lo"), (number(end) + 1).alias("hi"), empty.alias("taken"))
+    small = F.aggregate(F.sequence(F.lit(0), F.lit(LEVELS - 1)), first, step)
+    rest = F.when(
+        small["lo"] < small["hi"],
+        F.transform(F.sequence(small["lo"], small["hi"] - 1), lambda at: F.struct(F.lit(LEVELS).alias("_level"), at.alias("_block"))),
+    ).otherwise(empty)
+    return F.concat(small["taken"], rest)
+
+
+def _merged(parts: Column) -> Column:
+    """One summary of several: means and deviations by their counts, first and last by their days."""
+    def merge(a: Column, b: Column) -> Column:
+        n = a["n"] + b["n"]
+        apart = b["mean"] - a["mean"]
+        return F.when(b["n"] == 0, a).when(a["n"] == 0, b).otherwise(
+            F.struct(
+                n.alias("n"), (a["mean"] + apart * b["n"] / n).alias("mean"),
+                (a["dev"] + b["dev"] + apart * apart * a["n"] * b["n"] / n).alias("dev"),
+                F.least(a["low"], b["low"]).alias("low"), F.greatest(a["high"], b["high"]).alias("high"),
+                F.when(a["start"] <= b["start"], a["first"]).otherwise(b["first"]).alias("first"),
+                F.when(a["end"] >= b["end"], a["last"]).otherwise(b["last"]).alias("last"),
+                F.least(a["start"], b["start"]).alias("start"), F.greatest(a["end"], b["end"]).alias("end"),
+            )
+        )
+
+    return F.aggregate(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), F.get(parts, 0), merge)
+
+
+def window_stats(probes: DataFrame, daily: DataFrame, start: str = "start_date", end: str = "end_date") -> DataFrame:
     """Balance statistics over ``[start, end]`` for each probe; all NULL when the range is empty.
 
-    Both sides meet on ``(account, day bucket)``: the daily side has at most ``bucket_days`` rows
-    per key, and equal probes are answered once.
+    A range is put together from mergeable summaries of blocks of days: of n days at most 2 log2 n, however long it is,
+    and one of 90 years and more another block per 90 years. Probe blocks and day blocks meet on their number, and
+    equal probes are answered once.
     """
     keyed = (
         probes.withColumn("_acc", account_key())
         .withColumn("_from", F.to_date(start))
         .withColumn("_to", F.to_date(end))
     )
-    number = lambda c: F.datediff(c, F.lit("1970-01-01").cast("date"))
-    bucket = lambda c: F.floor(number(c) / bucket_days).cast("int")
-    asked = keyed.select("_acc", "_from", "_to").distinct()
-    spread = asked.filter(F.col("_from") <= F.col("_to")).withColumn(
-        "_bucket", F.explode(F.sequence(bucket(F.col("_from")), bucket(F.col("_to"))))
-    )
-    known = daily.select(
-        F.col("accountId").alias("_acc"),
-        bucket(F.col("date")).alias("_bucket"),
-        F.col("date").alias("_day"),
-        F.col("balance").alias("_bal"),
-    )
-    hits = spread.join(known, ["_acc", "_bucket"]).filter(F.col("_day").between(F.col("_from"), F.col("_to")))
-    stats = (
-        hits.groupBy("_acc", "_from", "_to")
-        .agg(
-            F.min_by("_bal", "_day").alias("start_balance"),
-            F.max_by("_bal", "_day").alias("end_balance"),
-            F.min("_bal").alias("min_balance"),
-            F.max("_bal").alias("max_balance"),
-            F.avg("_bal").alias("avg_balance"),
-            F.stddev_pop("_bal").alias("balance_volatility"),
-        )
-        .withColumn("balance_change", F.col("end_balance") - F.col("start_balance"))
+    asked = keyed.select("_acc", "_from", "_to").distinct().filter(F.col("_from") <= F.col("_to"))
+    spread = asked.select("_acc", "_from", "_to", F.inline(_range_blocks(F.col("_from"), F.col("_to"))))
+    parts = F.struct("n", "mean", "dev", "low", "high", "first", "last", "start", "end")
+    hits = spread.join(day_blocks(daily), ["_acc", "_level", "_block"])
+    merged = hits.groupBy("_acc", "_from", "_to").agg(F.collect_list(parts).alias("_parts")).withColumn("_all", _merged(F.col("_parts")))
+    stats = merged.select(
+        "_acc", "_from", "_to",
+        F.col("_all.first").alias("start_balance"), F.col("_all.last").alias("end_balance"),
+        F.col("_all.low").alias("min_balance"), F.col("_all.high").alias("max_balance"), F.col("_all.mean").alias("avg_balance"),
+        F.sqrt(F.col("_all.dev") / F.col("_all.n")).alias("balance_volatility"),
+        (F.col("_all.last") - F.col("_all.first")).alias("balance_change"),
     )
     return keyed.join(stats, ["_acc", "_from", "_to"], "left").drop("_acc", "_from", "_to")
 

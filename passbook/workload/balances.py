@@ -113,6 +113,10 @@ def _daily(spark, sf):
     return B.daily_balances(V.txn_long(spark, sf), V.acct(spark, sf))
 
 
+#: Days that the ranges of balance_window_stats look back, by turns: a quarter, three years, all of it, one day.
+LENGTHS = (90, 1000, 2600, 0)
+
+
 def _probes(spark, sf):
     o = V.table(spark, sf, "orders")
     day = F.date_add(F.to_date("o_orderdate"), (F.col("o_orderkey") % 20).cast("int"))
@@ -120,7 +124,7 @@ def _probes(spark, sf):
         F.col("o_orderkey").alias("probe"),
         F.col("o_custkey").alias("accountId"),
         day.alias("date"),
-        F.date_sub(day, 90).alias("start_date"),
+        F.date_sub(day, LENGTHS[0]).alias("start_date"),
         day.alias("end_date"),
     )
 
@@ -168,11 +172,13 @@ def starting_balance_as_of(spark, sf):
              min(balance) AS min_balance, max(balance) AS max_balance, avg(balance) AS avg_balance,
              stddev_pop(balance) AS balance_volatility
            FROM probes p LEFT JOIN daily d
-             ON p."accountId" = d."accountId" AND d.date BETWEEN p.date - 90 AND p.date
+             ON p."accountId" = d."accountId" AND d.date BETWEEN p.date - [90, 1000, 2600, 0][p.probe % 4 + 1] AND p.date
            GROUP BY probe""",
 )
 def balance_window_stats(spark, sf):
-    return B.window_stats(_probes(spark, sf), _daily(spark, sf))
+    """Ranges of a day, a quarter and of years."""
+    back = F.get(F.array(*[F.lit(n) for n in LENGTHS]), (F.col("probe") % 4).cast("int"))
+    return B.window_stats(_probes(spark, sf).withColumn("start_date", F.date_sub("end_date", back)), _daily(spark, sf))
 
 
 def _daily_short(spark, sf):

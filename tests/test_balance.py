@@ -148,3 +148,34 @@ def test_rolling_features_against_brute_force(spark, partitions):
         std = math.sqrt(sum((w - mean) ** 2 for w in win) / len(win))
         assert (r.start, r.end, r.min, r.max) == (win[0], win[-1], min(win), max(win))
         assert r.avg == pytest.approx(mean) and r.std == pytest.approx(std, abs=1e-9)
+
+
+def test_long_ranges_are_few_blocks(spark):
+    """Ranges from a day to a century, before and after 1970, against plain loops; each is at most 2 log2 n blocks."""
+    import random
+    import statistics
+
+    rng = random.Random(3)
+    day0 = dt.date(1955, 1, 1)
+    days = sorted(rng.sample(range(40_000), 1500))
+    balance = {d: round(rng.uniform(-1e6, 1e6), 2) for d in days}
+    daily = spark.createDataFrame([("A", day0 + dt.timedelta(d), b) for d, b in balance.items()], "accountId string, date date, balance double")
+    asked = [(i, "a", day0 + dt.timedelta(s), day0 + dt.timedelta(s + n)) for i, (s, n) in enumerate(
+        [(rng.randrange(40_000), rng.choice([0, 1, 30, 400, 9000, 39_000])) for _ in range(80)] + [(0, 60_000), (days[0], 0), (5, -1)]
+    )]
+    probes = spark.createDataFrame(asked, "i int, accountId string, start_date date, end_date date")
+    got = {r.i: r for r in B.window_stats(probes, daily).collect()}
+    assert len(got) == len(asked)
+    for i, _, start, end in asked:
+        inside = [balance[d] for d in days if start <= day0 + dt.timedelta(d) <= end]
+        r = got[i]
+        if not inside:
+            assert r.start_balance is None and r.avg_balance is None
+            continue
+        assert (r.start_balance, r.end_balance, r.min_balance, r.max_balance) == (inside[0], inside[-1], min(inside), max(inside))
+        assert r.avg_balance == pytest.approx(statistics.fmean(inside), abs=1e-6)
+        assert r.balance_volatility == pytest.approx(statistics.pstdev(inside), abs=1e-6)
+    blocks = probes.filter("start_date <= end_date").select(
+        F.size(B._range_blocks(F.col("start_date"), F.col("end_date"))).alias("n"), F.datediff("end_date", "start_date").alias("d")
+    )
+    assert all(r.n <= 2 * max(1, (r.d + 1).bit_length()) for r in blocks.collect())

@@ -7,11 +7,16 @@ import pytest
 from pyspark.sql import functions as F
 
 from __spark_entry__ import queries
+from passbook import session
 from passbook.operators import balance as B
 from passbook.operators import clean as C
+from passbook.operators import evaluate as E
 from passbook.operators import examples as X
+from passbook.operators import ordered as O
 from passbook.operators.ordered import rank_rows, with_chunks
+from passbook.plans import evaluation as J
 from passbook.plans import views as V
+from passbook.workload import evaluation as W
 
 
 def plan_of(df) -> str:
@@ -69,3 +74,32 @@ def test_chunk_cuts_never_move_rows_by_the_group_alone(spark, sf_dir):
                 assert "partial_collect_set" in below or "partial_sum" in below or "HashAggregate" in below, (line, below)
     ranks = [r["rank"] for r in rank_rows(skewed, ["group"], ["date", "id"], rows_per_chunk=50).filter("group = 'hot'").collect()]
     assert sorted(ranks) == list(range(1, len(ranks) + 1))
+
+
+def counted(monkeypatch, build):
+    """How often ``build`` reads each test table, in the jobs it starts and in the plan it returns."""
+    files, stored = [], session.stored
+
+    def watched(df, name):
+        files.append(plan_of(df))
+        return stored(df, name)
+
+    for module in (B, E, O, W, J):
+        monkeypatch.setattr(module, "stored", watched)
+    files.append(plan_of(build()))
+    return lambda name: sum(p.count(f"/{name}.parquet") for p in files)
+
+
+@pytest.mark.parametrize(
+    "name,table,most",
+    [
+        ("daily_balances", "orders", 1), ("running_balance", "orders", 1), ("historical_sums", "orders", 1),
+        ("starting_balance_as_of", "orders", 3), ("balance_window_stats", "orders", 3), ("rolling_balance_features", "events", 2),
+        ("training_rows", "orders", 1), ("test_rows", "orders", 1), ("evaluation_rows", "orders", 1),
+    ],
+)
+def test_tables_are_read_once(spark, sf_dir, monkeypatch, name, table, most):
+    """The ledger is read once. Probes are made of the same table here and read twice, to ask and to answer; so are the
+    accounts of the events."""
+    scans = counted(monkeypatch, lambda: queries()[name](spark, sf_dir))
+    assert 1 <= scans(table) <= most
