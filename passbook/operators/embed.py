@@ -21,7 +21,8 @@ from .clean import dedupe_by
 TEMPERATURE = 0.07
 MAIN_TYPES = ("Checking", "Savings", "Credit Card", "Loan")
 MIN_SAMPLES = 100
-MAX_BATCH = 8192
+#: Rows of a block of the similarity matrix.
+BLOCK = 1024
 
 
 def mean_pool(rows: DataFrame, keys: Sequence[str], vector: str, out: str = "pooled") -> DataFrame:
@@ -76,56 +77,110 @@ def sample_rows(df: DataFrame, n: int, seed: int, id_col: str = "id") -> DataFra
 
 
 def _unit(rows: pd.Series) -> np.ndarray:
-    m = np.array(rows.tolist(), dtype=float)
+    m = np.array(rows.tolist(), dtype=float).reshape(len(rows), -1)
     return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
 
 
-def _log_sum_exp(logits: np.ndarray) -> np.ndarray:
-    top = logits.max(axis=1, keepdims=True)
-    return (top + np.log(np.exp(logits - top).sum(axis=1, keepdims=True)))[:, 0]
+def _blocks(pairs: DataFrame, batch_size: int, seed: int, id_col: str) -> DataFrame:
+    """``_id, batch_id, _block`` and the vectors: batches cut into blocks of about ``BLOCK`` rows by a hash of the id."""
+    if batch_size < 1:
+        raise ValueError("batch_size must be at least 1")
+    vectors = [c for c in ("a", "b", "hard") if c in pairs.columns]
+    dealt = assign_batches(pairs.select(id_col, *vectors), batch_size, seed, id_col)
+    sizes = dealt.groupBy("batch_id").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("_blocks"))
+    cut = F.pmod(F.xxhash64(id_col, F.lit(seed)), F.col("_blocks")).cast("int")
+    return dealt.join(sizes, "batch_id").withColumn("_block", cut)
 
 
-def batched(pairs: DataFrame, batch_size: int, seed: int, id_col: str = "id") -> DataFrame:
-    """Shuffle into batches of at most ``batch_size`` rows, the bound the metrics below rely on."""
-    if not 0 < batch_size <= MAX_BATCH:
-        raise ValueError(f"batch_size must be between 1 and {MAX_BATCH}")
-    return assign_batches(pairs, batch_size, seed, id_col)
-
-
-def batch_similarities(pairs: DataFrame, batch_size: int, seed: int, id_col: str = "id") -> DataFrame:
-    """Cosine similarity of each anchor ``a`` with every ``b`` of its batch, as one array per anchor.
+def block_states(
+    pairs: DataFrame, batch_size: int, seed: int, temperature: float = 1.0, id_col: str = "id", top: int = 0
+) -> DataFrame:
+    """Per ``side`` (``a`` rows, ``b`` columns), batch and id: what one block of the batch's similarity matrix adds.
 
-    One row per anchor leaves the task, never one per pair.
+    Each pair of blocks of a batch is one key and one matrix product; a batch may be the whole table. Of a product only a
+    state for each row and column leaves the task: ``most`` (largest logit), ``mass`` (sum of exponentials relative to it),
+    ``best`` and ``total`` of the similarities, ``own`` (the row's own pair, where it is in the block), and the ``top``
+    nearest. States of one id add up to that of its whole row (``merged_states``).
     """
-    kind = dict(pairs.dtypes)[id_col]
-
-    def similar(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(id_col)
-        sims = _unit(pdf["a"]) @ _unit(pdf["b"]).T
+    rows = _blocks(pairs, batch_size, seed, id_col)
+    kind, hard = dict(pairs.dtypes)[id_col], "hard" in pairs.columns
+    every = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
+    more = F.col("hard") if hard else F.lit(None).cast("array<double>")
+    sides = [
+        rows.select("batch_id", F.col("_block").alias("_i"), every.alias("_j"), id_col, F.col("a").alias("_v"), more.alias("hard"), F.lit("a").alias("_side")),
+        rows.select("batch_id", every.alias("_i"), F.col("_block").alias("_j"), id_col, F.col("b").alias("_v"), more.alias("hard"), F.lit("b").alias("_side")),
+    ]
+
+    def states(side, key, sims, ids, own, others, extra=None):
+        logits = sims / temperature
+        shown = logits if extra is None else np.column_stack([logits, extra / temperature])
+        most = shown.max(axis=1)
+        near = [[] for _ in ids]
+        if top:
+            order = np.lexsort((np.broadcast_to(np.arange(len(others)), sims.shape), -sims), axis=1)[:, :top]
+            near = [[{"id": others[j], "s": float(sims[i, j])} for j in row] for i, row in enumerate(order.tolist())]
         return pd.DataFrame(
-            {"batch_id": pdf["batch_id"], id_col: pdf[id_col], "own": np.diag(sims), "sims": list(sims)}
+            {
+                "batch_id": key[0], "side": side, id_col: ids, "n": len(others), "most": most,
+                "mass": np.exp(shown - most[:, None]).sum(axis=1), "best": sims.max(axis=1), "total": sims.sum(axis=1),
+                "own": own, "near": near,
+            }
         )
 
-    schema = f"batch_id long, {id_col} {kind}, own double, sims array<double>"
-    return batched(pairs, batch_size, seed, id_col).groupBy("batch_id").applyInPandas(similar, schema)
+    def meet(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        one, other = (pdf[pdf["_side"] == s].sort_values(id_col) for s in "ab")
+        if not len(one) or not len(other):
+            return pd.DataFrame(columns=names)
+        ids, others = one[id_col].tolist(), other[id_col].tolist()
+        a, b = _unit(one["_v"]), _unit(other["_v"])
+        sims = a @ b.T
+        same = key[1] == key[2]
+        own = np.diag(sims) if same else np.full(len(ids), np.nan)
+        extra = (a * _unit(one["hard"])).sum(axis=1) if hard and same else None
+        rows = states("a", key, sims, ids, own, others, extra)
+        return rows if hard else pd.concat([rows, states("b", key, sims.T, others, own if same else np.full(len(others), np.nan), ids)])
+
+    schema = (
+        f"batch_id long, side string, {id_col} {kind}, n long, most double, mass double, best double, total double, own double, "
+        f"near array<struct<id:{kind},s:double>>"
+    )
+    names = ["batch_id", "side", id_col, "n", "most", "mass", "best", "total", "own", "near"]
+    return sides[0].unionByName(sides[1]).groupBy("batch_id", "_i", "_j").applyInPandas(meet, schema)
+
+
+def merged_states(states: DataFrame, id_col: str = "id", top: int = 0) -> DataFrame:
+    """One state per side, batch and id: ``n, log_mass`` (log of the sum of exponentials), ``best, total, own, near``."""
+    own = F.max(F.when(~F.isnan("own"), F.col("own"))).alias("own")
+    merged = states.groupBy("batch_id", "side", id_col).agg(
+        F.sum("n").alias("n"), F.max("most").alias("_most"), F.collect_list(F.struct("most", "mass")).alias("_parts"),
+        F.max("best").alias("best"), F.sum("total").alias("total"), own, F.flatten(F.collect_list("near")).alias("near"),
+    )
+    mass = F.aggregate("_parts", F.lit(0.0), lambda s, p: s + p["mass"] * F.exp(p["most"] - F.col("_most")))
+    first = F.array_sort(
+        "near",
+        lambda x, y: F.when(x["s"] > y["s"], -1).when(x["s"] < y["s"], 1).when(x["id"] < y["id"], -1).when(x["id"] > y["id"], 1).otherwise(0),
+    )
+    return merged.select(
+        "batch_id", "side", id_col, "n", (F.col("_most") + F.log(mass)).alias("log_mass"), "best", "total", "own",
+        F.slice(first, 1, top).alias("near") if top else F.col("near"),
+    )
+
+
+def batch_similarities(pairs: DataFrame, batch_size: int, seed: int, id_col: str = "id", top: int = 5) -> DataFrame:
+    """Cosine similarities of each anchor ``a`` with the ``b`` of its batch: ``own``, how many there are (``n``), the
+    ``best``, their ``total`` and the ``top`` nearest (``near``: id and similarity). No row holds a whole batch."""
+    found = merged_states(block_states(pairs.select(id_col, "a", "b"), batch_size, seed, 1.0, id_col, top), id_col, top)
+    return found.filter("side = 'a'").drop("side", "log_mass")
 
 
 def info_nce(
     pairs: DataFrame, batch_size: int, seed: int, temperature: float = TEMPERATURE, id_col: str = "id"
 ) -> DataFrame:
-    """Symmetric contrastive loss per batch between vectors ``a`` and ``b`` of the same row."""
-
-    def loss(pdf: pd.DataFrame) -> pd.DataFrame:
-        logits = _unit(pdf["a"]) @ _unit(pdf["b"]).T / temperature
-        own = np.diag(logits)
-        both = (_log_sum_exp(logits) - own).mean() + (_log_sum_exp(logits.T) - own).mean()
-        return pd.DataFrame({"batch_id": [int(pdf["batch_id"].iloc[0])], "n": [len(pdf)], "loss": [both / 2]})
-
-    return (
-        batched(pairs, batch_size, seed, id_col)
-        .groupBy("batch_id")
-        .applyInPandas(loss, "batch_id long, n long, loss double")
-    )
+    """Symmetric contrastive loss per batch between vectors ``a`` and ``b`` of the same row. A batch may be of any size."""
+    found = merged_states(block_states(pairs.select(id_col, "a", "b"), batch_size, seed, temperature, id_col), id_col)
+    loss = F.avg(F.col("log_mass") - F.col("own") / temperature)
+    sides = found.groupBy("batch_id", "side").agg(F.count(F.lit(1)).alias("n"), loss.alias("loss"))
+    return sides.groupBy("batch_id").agg(F.max("n").alias("n"), F.avg("loss").alias("loss"))
 
 
 def info_nce_hard(
@@ -137,19 +192,9 @@ def info_nce_hard(
     """
     if "hard" not in pairs.columns:
         return info_nce(pairs, batch_size, seed, temperature, id_col)
-
-    def loss(pdf: pd.DataFrame) -> pd.DataFrame:
-        a = _unit(pdf["a"])
-        logits = a @ _unit(pdf["b"]).T / temperature
-        extra = (a * _unit(pdf["hard"])).sum(axis=1, keepdims=True) / temperature
-        value = (_log_sum_exp(np.hstack([logits, extra])) - np.diag(logits)).mean()
-        return pd.DataFrame({"batch_id": [int(pdf["batch_id"].iloc[0])], "n": [len(pdf)], "loss": [value]})
-
-    return (
-        batched(pairs, batch_size, seed, id_col)
-        .groupBy("batch_id")
-        .applyInPandas(loss, "batch_id long, n long, loss double")
-    )
+    found = merged_states(block_states(pairs.select(id_col, "a", "b", "hard"), batch_size, seed, temperature, id_col), id_col)
+    loss = F.avg(F.col("log_mass") - F.col("own") / temperature)
+    return found.groupBy("batch_id").agg(F.count(F.lit(1)).alias("n"), loss.alias("loss"))
 
 
 def mean_loss(losses: DataFrame) -> DataFrame:

@@ -51,33 +51,45 @@ def vector_arithmetic(spark, sf):
 
 @query(
     "batch_similarities",
-    "id:i batch_id:i own:f6 n:i best:f6 total:f6",
+    "id:i batch_id:i own:f6 n:i best:f6 total:f5 first:i second:f6",
     with_views(PAIRS_SQL)
-    + """ SELECT i AS id, batch_id, max(c) FILTER (i = j) AS own, count(*) AS n, max(c) AS best, sum(c) AS total
-          FROM sims GROUP BY ALL""",
+    + """, placed AS (SELECT *, row_number() OVER (PARTITION BY i ORDER BY round(c, 9) DESC, j) AS place FROM sims)
+      SELECT i AS id, batch_id, max(c) FILTER (i = j) AS own, count(*) AS n, max(c) AS best, sum(c) AS total,
+             max(j) FILTER (place = 1) AS first, max(c) FILTER (place = 2) AS second FROM placed GROUP BY ALL""",
 )
 def batch_similarities(spark, sf):
-    s = M.batch_similarities(_pairs(spark, sf), BATCH, SEED)
-    return s.select(
-        "id", "batch_id", "own", F.size("sims").alias("n"), F.array_max("sims").alias("best"),
-        F.aggregate("sims", F.lit(0.0), lambda acc, x: acc + x).alias("total"),
-    )
+    s = M.batch_similarities(_pairs(spark, sf), BATCH, SEED, top=3)
+    return s.withColumns({"first": F.col("near")[0]["id"], "second": F.get("near", F.lit(1))["s"]})
 
 
-@query(
-    "info_nce",
-    "batch_id:i n:i loss:f6",
-    with_views(PAIRS_SQL)
-    + """, rows_ AS (SELECT batch_id, i, ln(sum(exp(c / 0.07))) - max(c / 0.07) FILTER (i = j) AS l FROM sims GROUP BY ALL),
-      cols_ AS (SELECT batch_id, j, ln(sum(exp(c / 0.07))) - max(c / 0.07) FILTER (i = j) AS l FROM sims GROUP BY ALL)
+def _nce_sql(source: str) -> str:
+    return f"""rows_ AS (SELECT batch_id, i, ln(sum(exp(c / 0.07))) - max(c / 0.07) FILTER (i = j) AS l FROM {source} GROUP BY ALL),
+      cols_ AS (SELECT batch_id, j, ln(sum(exp(c / 0.07))) - max(c / 0.07) FILTER (i = j) AS l FROM {source} GROUP BY ALL)
       SELECT r.batch_id, r.n, (r.l + c.l) / 2 AS loss
       FROM (SELECT batch_id, count(*) AS n, avg(l) AS l FROM rows_ GROUP BY batch_id) r
-      JOIN (SELECT batch_id, avg(l) AS l FROM cols_ GROUP BY batch_id) c ON r.batch_id = c.batch_id""",
-)
+      JOIN (SELECT batch_id, avg(l) AS l FROM cols_ GROUP BY batch_id) c ON r.batch_id = c.batch_id"""
+
+
+@query("info_nce", "batch_id:i n:i loss:f6", with_views(PAIRS_SQL, _nce_sql("sims")))
 def info_nce(spark, sf):
     return M.info_nce(_pairs(spark, sf), BATCH, SEED)
 
 
+@query(
+    "info_nce_one_batch",
+    "batch_id:i n:i loss:f6",
+    with_views(
+        PAIRS_SQL,
+        "whole AS (SELECT 0 AS batch_id, x.id AS i, y.id AS j, list_cosine_similarity(x.a, y.b) AS c FROM p0 x, p0 y)",
+        _nce_sql("whole"),
+    ),
+)
+def info_nce_one_batch(spark, sf):
+    """The whole table as one batch."""
+    pairs = _pairs(spark, sf)
+    return M.info_nce(pairs, pairs.count(), SEED)
+
+
 @query(
     "info_nce_hard_negatives",
     "batch_id:i n:i loss:f6",

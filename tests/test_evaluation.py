@@ -104,6 +104,21 @@ def test_contrastive_losses_against_brute_force(spark):
         M.info_nce(df, 0, 1)
 
 
+def test_losses_do_not_depend_on_blocks(spark, monkeypatch):
+    """A batch of many blocks, at a temperature whose exponentials overflow without the running maximum."""
+    monkeypatch.setattr(M, "BLOCK", 7)
+    df, (a, b, h) = _pairs(spark, 60, 0.8)
+    assert M.info_nce(df, 60, 1).first().loss == pytest.approx(_nce(a, b))
+    assert M.info_nce_hard(df, 60, 1).first().loss == pytest.approx(_nce(a, b, h=h))
+    cold = M.info_nce(df, 60, 1, 1e-4).first().loss
+    unit = lambda m: m / np.linalg.norm(m, axis=1, keepdims=True)
+    z = unit(a) @ unit(b).T / 1e-4
+    assert cold == pytest.approx(((z.max(axis=1) - np.diag(z)).mean() + (z.max(axis=0) - np.diag(z)).mean()) / 2)
+    near = {r.id: [(x.id, x.s) for x in r.near] for r in M.batch_similarities(df, 60, 1, top=4).collect()}
+    sims = unit(a) @ unit(b).T
+    assert {i: [j for j, _ in v] for i, v in near.items()} == {i: np.argsort(-sims[i], kind="stable")[:4].tolist() for i in range(60)}
+
+
 def test_pca_and_silhouette(spark, sf_dir):
     v = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     rows = v.orderBy("vec_id").collect()
