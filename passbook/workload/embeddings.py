@@ -221,7 +221,42 @@ def cosine_silhouette(spark, sf):
     return M.cosine_silhouette(V.vecs(spark, sf), "embedding", "label", list(range(10)))
 
 
-@query("pca_projection", "vec_id:i label:i pc1:f6 pc2:f6")
+def _squared_sql(name: str, source: str) -> str:
+    """The first axis of a symmetric matrix (one row, a list of lists ``m``): squared and scaled until one axis is left."""
+    return f"""{name}_powers AS (
+       SELECT 0 AS k, m FROM {source}
+       UNION ALL
+       SELECT k + 1, list_transform(m2, lambda row: list_transform(row, lambda x: x / list_sum(list_transform(range(1, len(m2) + 1), lambda i: m2[i][i]))))
+       FROM (SELECT k, list_transform(m, lambda a: list_transform(m, lambda b: list_dot_product(a, b))) AS m2 FROM {name}_powers WHERE k < 24)),
+     {name}_column AS (
+       SELECT m[list_position(list_transform(range(1, len(m) + 1), lambda i: m[i][i]), list_max(list_transform(range(1, len(m) + 1), lambda i: m[i][i])))] AS c
+       FROM {name}_powers WHERE k = 24),
+     {name}_unit AS (SELECT list_transform(c, lambda x: x / sqrt(list_dot_product(c, c))) AS u FROM {name}_column),
+     {name} AS (SELECT list_transform(u, lambda x: x * sign(u[list_position(list_transform(u, lambda y: abs(y)),
+                  list_max(list_transform(u, lambda y: abs(y))))])) AS u FROM {name}_unit)"""
+
+
+PCA_SQL = (
+    """WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+     flat AS (SELECT vec_id, unnest(e) AS x, generate_subscripts(e, 1) AS d FROM v),
+     means AS (SELECT d, avg(x) AS mean FROM flat GROUP BY d),
+     centred AS (SELECT vec_id, d, x - mean AS x FROM flat JOIN means USING (d)),
+     rows_ AS (SELECT vec_id, list(x ORDER BY d) AS c FROM centred GROUP BY vec_id),
+     cov AS (SELECT a.d AS i, b.d AS j, sum(a.x * b.x) / (SELECT count(*) - 1 FROM v) AS x FROM centred a JOIN centred b USING (vec_id) GROUP BY ALL),
+     cov_rows AS (SELECT i, list(x ORDER BY j) AS r FROM cov GROUP BY i),
+     matrix AS (SELECT list(r ORDER BY i) AS m FROM cov_rows),"""
+    + _squared_sql("one", "matrix")
+    + """, left_over AS (
+       SELECT list_transform(range(1, len(m) + 1), lambda i: list_transform(range(1, len(m) + 1), lambda j:
+                m[i][j] - u[i] * u[j] * list_dot_product(u, list_transform(m, lambda r: list_dot_product(r, u))))) AS m
+       FROM matrix, one),"""
+    + _squared_sql("two", "left_over")
+    + """ SELECT v.vec_id, label, list_dot_product(c, one.u) AS pc1, list_dot_product(c, two.u) AS pc2
+       FROM v JOIN rows_ USING (vec_id), one, two"""
+)
+
+
+@query("pca_projection", "vec_id:i label:i pc1:f6 pc2:f6", PCA_SQL)
 def pca_projection(spark, sf):
     return M.pca(V.vecs(spark, sf), "embedding")
 
@@ -256,7 +291,39 @@ def boosted_trees_scores(spark, sf):
     return K.score_methods(train, test, 42, ["GBT_Emb", "GBT_Feat", "GBT_Hybrid", "GBT_Bal"])
 
 
-@query("balanced_logistic_scores", "method:s id:s label:i score:f6")
+LOGISTIC_SQL = """WITH RECURSIVE width AS (SELECT max(len(embedding)) AS d FROM embeddings),
+  docs AS (
+    SELECT CAST(l.doc_id AS VARCHAR) AS id, quality AS label,
+           list_append(coalesce(CAST(embedding AS DOUBLE[]), list_transform(range(d), lambda i: CAST(0 AS DOUBLE))), CAST(1 AS DOUBLE)) AS v
+    FROM labels l JOIN documents USING (doc_id) LEFT JOIN embeddings ON vec_id = l.doc_id, width),
+  placed AS (SELECT *, row_number() OVER (ORDER BY md5(id || '|42'), id) AS r, count(*) OVER () AS n FROM docs),
+  parts AS (SELECT *, r <= n - ceil(n * CAST(0.3 AS DOUBLE)) AS train FROM placed),
+  sizes AS (SELECT sum(label) AS p, sum(1 - label) AS q FROM parts WHERE train),
+  fit AS (SELECT label, v, CASE label WHEN 1 THEN (p + q) / CAST(2 * p AS DOUBLE) ELSE (p + q) / CAST(2 * q AS DOUBLE) END AS w FROM parts, sizes WHERE train),
+  steps AS (
+    SELECT 0 AS k, list_transform(range(d + 1), lambda i: CAST(0 AS DOUBLE)) AS beta,
+           list_transform(range(d + 1), lambda i: CAST(0 AS DOUBLE)) AS was, list_transform(range(d + 1), lambda i: CAST(0 AS DOUBLE)) AS gwas FROM width
+    UNION ALL
+    SELECT k + 1,
+           list_transform(list_zip(beta, g), lambda x: x[1] - rate * x[2]), beta, g
+    FROM (
+      SELECT k, beta, g, CASE WHEN k = 0 THEN 1e-3
+                            ELSE coalesce(list_dot_product(s, s) / nullif(list_dot_product(s, y), 0), 0) END AS rate
+      FROM (
+        SELECT k, beta, g, list_transform(list_zip(beta, was), lambda x: x[1] - x[2]) AS s, list_transform(list_zip(g, gwas), lambda x: x[1] - x[2]) AS y
+        FROM (
+          SELECT k, any_value(beta) AS beta, any_value(was) AS was, any_value(gwas) AS gwas, list(slope ORDER BY i) AS g
+          FROM (
+            SELECT k, i, any_value(beta) AS beta, any_value(was) AS was, any_value(gwas) AS gwas,
+                   sum(w * (1 / (1 + exp(-z)) - label) * v[i]) + CASE WHEN i <= (SELECT d FROM width) THEN any_value(beta)[i] ELSE 0 END AS slope
+            FROM (SELECT *, list_dot_product(beta, v) AS z FROM steps, fit WHERE k < 200), (SELECT unnest(range(1, d + 2)) AS i FROM width)
+            GROUP BY k, i)
+          GROUP BY k))))
+  SELECT 'Linear_Emb' AS method, id, label, 1 / (1 + exp(-list_dot_product(beta, v))) AS score
+  FROM parts, steps WHERE NOT train AND k = 200"""
+
+
+@query("balanced_logistic_scores", "method:s id:s label:i score:f6", LOGISTIC_SQL)
 def balanced_logistic_scores(spark, sf):
     train, test = _train_test(spark, sf)
     return K.score_methods(train, test, 42, ["Linear_Emb"])
