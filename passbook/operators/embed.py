@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import stable_hash
 from ..functions.vectors import dot, l2_normalize
+from ..session import stored
 from .augment import assign_batches
 from .clean import dedupe_by
 
@@ -219,11 +220,14 @@ def pca(df: DataFrame, vector: str, k: int = 2, prefix: str = "pc") -> DataFrame
     return df.withColumn("_mean", mean).withColumn("_centred", centred).withColumns(axes).drop("_mean", "_centred")
 
 
-def cosine_silhouette(df: DataFrame, vector: str, label: str, labels: Sequence[object]) -> DataFrame:
+def cosine_silhouette(
+    df: DataFrame, vector: str, label: str, labels: Sequence[object], more_than: int | None = None
+) -> DataFrame:
     """Silhouette with cosine distance per point, in one pass over cluster sums.
 
     The mean distance from a unit vector to a cluster is 1 minus its dot product with the
-    cluster's mean, so points are never paired. ``labels`` bounds the clusters.
+    cluster's mean, so points are never paired. ``labels`` bounds the clusters; ``n_label`` is the size of the point's own.
+    With ``more_than``, nothing comes back unless all clusters together have more rows than that.
     """
     rows = df.filter(F.col(label).isin(*labels)).withColumn("_u", l2_normalize(F.col(vector)))
     sums = rows.groupBy(label).agg(
@@ -240,7 +244,11 @@ def cosine_silhouette(df: DataFrame, vector: str, label: str, labels: Sequence[o
     b = F.array_min(
         F.transform(F.filter("_apart", lambda c: c["l"] != F.col(label)), lambda c: c["d"] / c["n"])
     )
-    placed = rows.withColumn("_clusters", clusters).withColumn("_apart", apart)
+    placed = rows.withColumn("_clusters", clusters)
+    if more_than is not None:
+        # the sums know how many rows there are
+        placed = placed.filter(F.aggregate("_clusters", F.lit(0).cast("long"), lambda t, c: t + c["n"]) > more_than)
+    placed = placed.withColumn("_apart", apart).withColumn("n_label", own["n"])
     score = F.when(own["n"] == 1, F.lit(0.0)).otherwise((F.col("_b") - F.col("_a")) / F.greatest("_a", "_b"))
     return (
         placed.withColumn("_a", F.when(own["n"] > 1, a))
@@ -248,3 +256,34 @@ def cosine_silhouette(df: DataFrame, vector: str, label: str, labels: Sequence[o
         .withColumn("silhouette", score)
         .drop("_u", "_clusters", "_apart", "_a", "_b")
     )
+
+
+def type_report(
+    embeddings: DataFrame,
+    accounts: DataFrame,
+    vector: str = "embedding",
+    id_col: str = "id",
+    types: Sequence[str] = MAIN_TYPES,
+    min_samples: int = MIN_SAMPLES,
+) -> DataFrame:
+    """How well embeddings tell account types apart: ``id, type, n_type, pc1, pc2, silhouette``, one row per account of a
+    known type.
+
+    The projection is fitted on all known types. The silhouette is among the main types, and null for the others and
+    where there are not more than ``min_samples`` of the main ones, as ``cosine_silhouette`` decides from its cluster
+    sums. The typed vectors are written once, as fit and report read them.
+    """
+    typed = stored(known_types(with_account_types(embeddings.select(id_col, vector), accounts, id_col)), "typed")
+    if typed.isEmpty():
+        nothing = {"n_type": "long", "pc1": "double", "pc2": "double", "silhouette": "double"}
+        return typed.select(id_col, "type", *[F.lit(None).cast(t).alias(c) for c, t in nothing.items()])
+    counts = typed.groupBy("type").agg(F.count(F.lit(1)).alias("n_type"))
+    scores = cosine_silhouette(typed, vector, "type", types, min_samples).select(id_col, "silhouette")
+    # as many rows as types
+    placed = pca(typed, vector).join(F.broadcast(counts), "type").join(scores, id_col, "left")
+    return placed.select(id_col, "type", "n_type", "pc1", "pc2", "silhouette")
+
+
+def silhouette_by_type(report: DataFrame) -> DataFrame:
+    """The report's totals: rows and mean silhouette of every type."""
+    return report.groupBy("type").agg(F.count(F.lit(1)).alias("n"), F.avg("silhouette").alias("silhouette"))

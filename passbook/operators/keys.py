@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,6 +15,30 @@ def require_columns(df: DataFrame, columns: Sequence[str], what: str) -> None:
         raise ValueError(f"{what} is missing required columns: {missing}")
 
 
+def column_report(tables: Mapping[str, tuple[DataFrame, Sequence[str]]]) -> DataFrame:
+    """Required columns that a run could not use: ``table, column, state, n_rows, n_filled``.
+
+    ``tables`` maps a name to a frame and the columns it has to have. A column is ``absent``, or ``empty`` where it holds
+    nothing but nulls; the rest is not reported. A table is read once, and only the columns in question.
+    """
+    parts = []
+    for name, (df, columns) in tables.items():
+        there = [c for c in dict.fromkeys(columns) if c in df.columns]
+        filled = df.agg(F.count(F.lit(1)).alias("_n"), *[F.count(F.col(f"`{c}`")).alias(f"_{i}") for i, c in enumerate(there)])
+        entries = [
+            F.struct(
+                F.lit(c).alias("column"), F.lit("empty" if c in there else "absent").alias("state"),
+                (F.col(f"_{there.index(c)}") if c in there else F.lit(0).cast("long")).alias("n_filled"),
+            )
+            for c in dict.fromkeys(columns)
+        ]
+        parts.append(filled.select(F.lit(name).alias("table"), F.col("_n").alias("n_rows"), F.inline(F.array(*entries))))
+    rows = parts[0]
+    for part in parts[1:]:
+        rows = rows.unionByName(part)
+    return rows.filter((F.col("state") == "absent") | (F.col("n_filled") == 0)).select("table", "column", "state", "n_rows", "n_filled")
+
+
 def first_in_group(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """One row per key, the first in ``order``.
 

@@ -230,12 +230,12 @@ def score_methods(
     test: DataFrame,
     seed: int,
     methods: Sequence[str] = tuple(METHODS),
-    trees: int = TREES,
+    trees: int | None = None,
     id_col: str = "id",
 ) -> DataFrame:
     """Test rows scored by each method: ``method, id, label, score``.
 
-    The loop is over methods; each fit and each scoring is a distributed job. Fits pass over the
+    ``trees`` is the number of boosted trees, ``TREES`` unless given. The loop is over methods; each fit and each scoring is a distributed job. Fits pass over the
     training rows many times, so these are cut off from their plan first.
     """
     ensure_checkpoint_dir(train.sparkSession)
@@ -245,7 +245,7 @@ def score_methods(
     for name in methods:
         kind, features = METHODS[name]
         if kind == "trees":
-            model = fit_trees(fit_rows, features, seed, trees)
+            model = fit_trees(fit_rows, features, seed, trees or TREES)
         elif kind == "linear":
             model = fit_linear(fit_rows, features)
         else:

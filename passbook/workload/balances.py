@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import balance as B
+from ..operators.keys import column_report
 from ..plans import views as V
 from .registry import query
-from .sqlviews import BANKED, LEDGER, LEDGER_SHORT, TXN_LONG, with_views
+from .sqlviews import ACCT, BANKED, LEDGER, LEDGER_SHORT, TXN_LONG, with_views
 
 
 @query(
@@ -225,3 +226,18 @@ def _slog(col: str) -> str:
 def signed_log_balance_features(spark, sf):
     vec = B.feature_vector(B.rolling_features(_daily_short(spark, sf)), log=True)
     return vec.select("accountId", "date", *[F.col("balance")[i].alias(f"f{i}") for i in range(7)])
+
+
+@query(
+    "missing_columns",
+    "table:s column:s state:s n_rows:i n_filled:i",
+    with_views(TXN_LONG, ACCT)
+    + """ SELECT 'transactions' AS "table", 'direction' AS "column", 'absent' AS state, count(*) AS n_rows, 0 AS n_filled FROM txn_long
+          UNION ALL SELECT 'transactions', 'amount', 'empty', count(*), 0 FROM txn_long
+          UNION ALL SELECT 'accounts', 'balanceDateTime', 'absent', count(*), 0 FROM acct""",
+)
+def missing_columns(spark, sf):
+    """What a balance run would find wrong with tables that lack columns or hold nothing in them."""
+    txns = V.txn_long(spark, sf).drop("direction").withColumn("amount", F.when(F.col("amount") > 1e12, F.col("amount")))
+    accounts = V.acct(spark, sf).drop("balanceDateTime")
+    return column_report({"transactions": (txns, B.TXN_REQUIRED), "accounts": (accounts, B.ACC_REQUIRED)})

@@ -13,7 +13,7 @@ from ..operators import examples as X
 from ..operators import vocab as Vc
 from ..plans import views as V
 from ..plans.dataset import build_dataset, build_flag_examples
-from ..session import ensure_checkpoint_dir, scratch_path
+from ..session import ensure_checkpoint_dir, scratch_path, stored
 from ..sources import sinks as S
 from .registry import query
 from .sqlviews import LEDGER_SHORT, TXN_LONG, TXN_SHORT, with_views
@@ -160,6 +160,10 @@ def last_active_days(spark, sf):
     return X.kept_days(V.txn_short(spark, sf), MANY_DAYS, FEW_DAYS)
 
 
+def _f32(expr: str) -> str:
+    return f"CAST({expr} AS FLOAT)"
+
+
 def _top_sql(variant: str, most: int = MAX_TXNS) -> str:
     neg, order = ("<= 0", "ts, id") if variant == "arrival" else ("< 0", "abs(amount) DESC, id")
     return f"""
@@ -197,19 +201,15 @@ def standardized_amounts(spark, sf):
 
 @query(
     "stream_volume",
-    "accountId:s date:s stream:s log_total_volume:f6 n_txns:i",
+    "account_id:s date:s stream:s log_total_volume:f4 n_txns:i",
     with_views(TXN_SHORT, _top_sql("arrival", FEW_TXNS))
-    + ' SELECT DISTINCT "accountId", date, stream, log_total_volume, n_txns FROM std',
+    + f""" SELECT DISTINCT "accountId" AS account_id, date, stream, {_f32('log_total_volume')} AS log_total_volume, n_txns FROM std""",
 )
 def stream_volume(spark, sf):
-    top = X.top_of_stream(V.txn_short(spark, sf), FEW_TXNS, "arrival")
-    return top.groupBy("accountId", "date", "stream").agg(
-        F.log1p(F.sum(F.abs("amount"))).alias("log_total_volume"), F.count(F.lit(1)).alias("n_txns")
-    )
-
-
-def _f32(expr: str) -> str:
-    return f"CAST({expr} AS FLOAT)"
+    """Volumes as the examples carry them."""
+    rows = X.explode_examples(X.build_examples(V.txn_short(spark, sf), max_days=10_000, max_txns=FEW_TXNS, min_days=1))
+    day = F.date_add(F.lit("2020-01-01").cast("date"), "day_offset").alias("date")
+    return rows.select("account_id", day, "stream", "log_total_volume", "n_txns").distinct()
 
 
 def _log_sql(c: str) -> str:
@@ -320,21 +320,24 @@ def example_shapes(spark, sf):
 
 @query(
     "balance_features_joined",
-    "id:s bal_end:f4 bal_starting:f4",
+    "account_id:s day_offset:i stream:s rn:i " + " ".join(f"bal_{c}:f3" for c in BALANCES),
     with_views(LEDGER_SHORT)
-    + """ SELECT id, CASE WHEN CAST(id AS BIGINT) % 4 = 0 THEN 0 ELSE coalesce(r."end", 0) END AS bal_end,
-             CASE WHEN CAST(id AS BIGINT) % 4 = 0 THEN 0 ELSE r.starting END AS bal_starting
-          FROM txn_short t JOIN rolled_short r ON t."accountId" = r."accountId" AND t.date = r.date""",
+    + """, moved AS (
+        SELECT CASE WHEN CAST(id AS BIGINT) % 4 = 0 THEN 'nobody' || (CAST(id AS BIGINT) % 50) ELSE "accountId" END AS account_id, date, ts, id,
+               CASE WHEN amount > 0 THEN 'pos' ELSE 'neg' END AS stream FROM txn_short),
+      placed AS (SELECT *, row_number() OVER (PARTITION BY account_id, date, stream ORDER BY ts, id) AS rn FROM moved)
+      SELECT account_id, date_diff('day', DATE '2020-01-01', p.date) AS day_offset, stream, rn, """
+    + ", ".join(f'{_f32(f"""coalesce(r."{c}", 0)""")} AS bal_{c}' for c in BALANCES)
+    + ' FROM placed p LEFT JOIN rolled_short r ON r."accountId" = p.account_id AND r.date = p.date',
 )
 def balance_features_joined(spark, sf):
-    """Seven zeros where the account and day are not found."""
+    """The examples' balance vectors; seven zeros where the account and day are not found."""
     daily = B.daily_balances(V.txn_short(spark, sf), V.acct_events(spark, sf))
     side = B.feature_vector(B.rolling_features(daily), log=False)
-    zeros = F.array_repeat(F.lit(0.0), 7)
-    key = F.when(F.col("id").cast("long") % 4 == 0, "nobody").otherwise(F.col("accountId"))
-    t = V.txn_short(spark, sf).withColumn("accountId", key)
-    joined = t.join(side, ["accountId", "date"], "left").withColumn("b", F.coalesce("balance", zeros))
-    return joined.select("id", F.col("b")[1].alias("bal_end"), F.col("b")[6].alias("bal_starting"))
+    n = F.col("id").cast("long")
+    nobody = F.concat(F.lit("nobody"), (n % 50).cast("string"))
+    t = V.txn_short(spark, sf).withColumn("accountId", F.when(n % 4 == 0, nobody).otherwise(F.col("accountId")))
+    return _flat_examples(X.build_examples(t, balance=side, max_days=10_000, max_txns=10_000, min_days=1))
 
 
 @query(
@@ -366,41 +369,69 @@ def example_audit(spark, sf):
 BATCH = 16
 
 
+#: What a padded rectangle holds, and the columns of a plain row that it comes from.
+CELLS = ("cat_group", "cat_sub", "cat_cp", "amount_std", "dow", "dom", "mon", "years", *[f"bal_{c}" for c in BALANCES])
+DAY_CELLS = ("day_offset", "month", "is_weekend")
+
+
 @query(
     "padded_batches",
-    "account_id:s batch_id:i max_days:i max_tx_pos:i rows_ok:i n_mask:i n_has_data:i n_days:i volume:f3 last_date:i",
-    with_views(TXN_SHORT, KEPT_SQL, _top_sql("arrival"))
-    + f""", k2 AS (SELECT "accountId" AS account_id, date, date_diff('day', DATE '2020-01-01', date) AS d FROM kept),
-      t2 AS (SELECT "accountId" AS account_id, date, count(*) AS n, max({_f32('log_total_volume')}) AS v
-             FROM std WHERE stream = 'pos' GROUP BY ALL),
-      per AS (SELECT k.account_id, count(*) AS n_days, coalesce(sum(n), 0) AS n_mask, count(n) AS n_has_data,
-                     coalesce(max(n), 0) AS widest, coalesce(sum(v), 0) AS volume, max(d) AS last_date
-              FROM k2 k LEFT JOIN t2 t ON k.account_id = t.account_id AND k.date = t.date GROUP BY k.account_id),
-      b AS (SELECT *, (row_number() OVER (ORDER BY md5(account_id || '|7'), account_id) - 1) // {BATCH} AS batch_id FROM per)
-      SELECT account_id, batch_id, max(n_days) OVER (PARTITION BY batch_id) AS max_days,
-             greatest(1, max(widest) OVER (PARTITION BY batch_id)) AS max_tx_pos, 1 AS rows_ok,
-             n_mask, n_has_data, n_days, volume, last_date FROM b""",
+    "account_id:s batch_id:i max_days:i stream:s max_tx:i rows_ok:i n_mask:i n_has_data:i n_days:i volume:f3 "
+    + " ".join(f"w_{c}:{'i' if c.startswith('cat') else 'f1'}" for c in CELLS) + " " + " ".join(f"w_{c}:i" for c in DAY_CELLS),
+    "WITH rows AS ("
+    + _examples_sql("arrival")
+    + f"""), days AS (SELECT "accountId" AS account_id, date_diff('day', DATE '2020-01-01', date) AS day_offset, month(date) AS month,
+                     CASE WHEN isodow(date) >= 6 THEN 1 ELSE 0 END AS is_weekend,
+                     row_number() OVER (PARTITION BY "accountId" ORDER BY date) - 1 AS place FROM ({with_views(TXN_SHORT, KEPT_SQL)} SELECT * FROM kept)),
+      per AS (SELECT account_id, count(*) AS n_days, {", ".join(f"sum({c} * (place + 1)) AS w_{c}" for c in DAY_CELLS)} FROM days GROUP BY account_id),
+      numbered AS (SELECT *, (row_number() OVER (ORDER BY md5(account_id || '|7'), account_id) - 1) // {BATCH} AS batch_id FROM per),
+      tx AS (SELECT batch_id, stream, max(rn) AS widest FROM rows JOIN numbered USING (account_id) GROUP BY ALL),
+      dims AS (SELECT b.*, max(n_days) OVER (PARTITION BY b.batch_id) AS max_days, s.stream, greatest(1, coalesce(widest, 1)) AS max_tx
+               FROM numbered b CROSS JOIN (SELECT unnest(['pos', 'neg']) AS stream) s LEFT JOIN tx ON tx.batch_id = b.batch_id AND tx.stream = s.stream),
+      cells AS (
+        SELECT d.account_id, d.stream, count(r.rn) AS n_mask, count(DISTINCT r.day_offset) AS n_has_data,
+               coalesce(sum(log_total_volume) FILTER (r.rn = 1), 0) AS volume,
+               {", ".join(f"coalesce(sum(CAST({c} AS DOUBLE) * (place * max_tx + rn)), 0) AS w_{c}" for c in CELLS)}
+        FROM dims d LEFT JOIN (SELECT rows.*, place FROM rows JOIN days USING (account_id, day_offset)) r
+          ON r.account_id = d.account_id AND r.stream = d.stream GROUP BY ALL)
+      SELECT d.account_id, batch_id, max_days, d.stream, max_tx, 1 AS rows_ok, n_days, {", ".join(f"d.w_{c}" for c in DAY_CELLS)},
+             c.* EXCLUDE (account_id, stream)
+      FROM dims d JOIN cells c ON c.account_id = d.account_id AND c.stream = d.stream""",
 )
 def padded_batches(spark, sf):
-    ex = A.assign_batches(_examples(spark, sf), BATCH, seed=7)
-    p = X.pad_batches(ex)
-    pos = F.col("pos")
-    square = lambda c: F.forall(c, lambda r: F.size(r) == F.col("max_tx_pos"))
-    ok = (
-        (F.size(pos["cat_group"]) == F.col("max_days"))
-        & square(pos["cat_group"]) & square(pos["amounts"]) & square(pos["dates"]) & square(pos["balance"])
-        & square(pos["mask"])
-        & F.forall(pos["balance"], lambda r: F.forall(r, lambda v: F.size(v) == 7))
-        & (F.size("day_mask") == F.col("max_days"))
-    )
+    """Both rectangles of every example, all values: sums weighted by the place in the rectangle, where padding must
+    add nothing, and the sizes of all rows. Examples are written first, as ranks and maxima read them too."""
+    p = X.pad_batches(A.assign_batches(stored(_examples(spark, sf), "examples"), BATCH, seed=7))
+    depth, s = F.col("max_tx"), F.col("s")
+    square = lambda c: F.forall(c, lambda r: F.size(r) == depth)
+    names = ("cat_group", "cat_sub", "cat_cp", "amounts", "dates", "balance", "mask")
+    ok = F.size("day_mask") == F.col("max_days")
+    for c in names:
+        ok = ok & (F.size(s[c]) == F.col("max_days")) & square(s[c])
+    ok = ok & F.forall(F.flatten(s["balance"]), lambda v: F.size(v) == 7) & F.forall(F.flatten(s["dates"]), lambda v: F.size(v) == 4)
     count = lambda c: F.size(F.filter(c, lambda v: v))
-    return p.select(
-        "account_id", "batch_id", "max_days", "max_tx_pos", ok.cast("int").alias("rows_ok"),
-        F.aggregate(pos["mask"], F.lit(0), lambda a, r: a + count(r)).alias("n_mask"),
-        count(pos["has_data"]).alias("n_has_data"),
+
+    def weighted(values, pick=lambda v: v):
+        products = F.transform(values, lambda v, i: pick(v).cast("double") * (i + 1))
+        return F.aggregate(products, F.lit(0.0), lambda a, x: a + x)
+
+    cells = {c: weighted(F.flatten(s[c])) for c in ("cat_group", "cat_sub", "cat_cp")}
+    cells["amount_std"] = weighted(F.flatten(s["amounts"]))
+    for at, c in enumerate(("dow", "dom", "mon", "years")):
+        cells[c] = weighted(F.flatten(s["dates"]), lambda v, at=at: v[at])
+    for at, c in enumerate(BALANCES):
+        cells[f"bal_{c}"] = weighted(F.flatten(s["balance"]), lambda v, at=at: v[at])
+    days = {"day_offset": "day_dates", "month": "day_month", "is_weekend": "day_weekend"}
+    side = lambda n: F.struct(F.lit(n).alias("stream"), F.col(f"max_tx_{n}").alias("max_tx"), F.col(n).alias("s"))
+    both = p.select("account_id", "batch_id", "max_days", "day_mask", *days.values(), F.inline(F.array(side("pos"), side("neg"))))
+    return both.select(
+        "account_id", "batch_id", "max_days", "stream", "max_tx", ok.cast("int").alias("rows_ok"),
+        F.aggregate(s["mask"], F.lit(0), lambda a, r: a + count(r)).alias("n_mask"),
+        count(s["has_data"]).alias("n_has_data"),
         count(F.col("day_mask")).alias("n_days"),
-        F.aggregate(pos["log_total_volume"], F.lit(0.0), lambda a, v: a + v.cast("double")).alias("volume"),
-        F.array_max("day_dates").alias("last_date"),
+        F.aggregate(s["log_total_volume"], F.lit(0.0), lambda a, v: a + v.cast("double")).alias("volume"),
+        *[v.alias(f"w_{c}") for c, v in cells.items()],
+        *[weighted(F.col(c)).alias(f"w_{n}") for n, c in days.items()],
     )
 
 

@@ -192,21 +192,6 @@ def pooled_accounts(spark, sf):
     return acc.select("account_id", *[F.col("account_vector")[i].alias(v) for i, v in enumerate(_V6)])
 
 
-@query(
-    "concatenated_features",
-    "vec_id:i n:i first:f6 last:f6 n_tail:i tail0:f6",
-    """SELECT vec_id, len(embedding) + 13 AS n, embedding[1] AS first, 13 AS last, 7 AS n_tail, 7 AS tail0
-       FROM embeddings""",
-)
-def concatenated_features(spark, sf):
-    f = F.array(*[F.lit(float(i)) for i in range(1, 14)])
-    df = M.tail_features(M.concat_features(V.vecs(spark, sf).withColumn("f", f), "embedding", "f"), "f")
-    return df.select(
-        "vec_id", F.size("hybrid").alias("n"), F.col("hybrid")[0].alias("first"),
-        F.element_at("hybrid", -1).alias("last"), F.size("tail").alias("n_tail"), F.col("tail")[0].alias("tail0"),
-    )
-
-
 @query(
     "cosine_silhouette",
     "vec_id:i label:i silhouette:f6",
@@ -236,8 +221,12 @@ def _squared_sql(name: str, source: str) -> str:
                   list_max(list_transform(u, lambda y: abs(y))))])) AS u FROM {name}_unit)"""
 
 
-PCA_SQL = (
-    """WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+def _pca_sql(views: str, end: str) -> str:
+    """Axes of the vectors ``v`` (vec_id, label, e) in centred rows ``c``, and what to select."""
+    return (
+        "WITH RECURSIVE "
+        + views
+        + """,
      flat AS (SELECT vec_id, unnest(e) AS x, generate_subscripts(e, 1) AS d FROM v),
      means AS (SELECT d, avg(x) AS mean FROM flat GROUP BY d),
      centred AS (SELECT vec_id, d, x - mean AS x FROM flat JOIN means USING (d)),
@@ -245,15 +234,19 @@ PCA_SQL = (
      cov AS (SELECT a.d AS i, b.d AS j, sum(a.x * b.x) / (SELECT count(*) - 1 FROM v) AS x FROM centred a JOIN centred b USING (vec_id) GROUP BY ALL),
      cov_rows AS (SELECT i, list(x ORDER BY j) AS r FROM cov GROUP BY i),
      matrix AS (SELECT list(r ORDER BY i) AS m FROM cov_rows),"""
-    + _squared_sql("one", "matrix")
-    + """, left_over AS (
+        + _squared_sql("one", "matrix")
+        + """, left_over AS (
        SELECT list_transform(range(1, len(m) + 1), lambda i: list_transform(range(1, len(m) + 1), lambda j:
                 m[i][j] - u[i] * u[j] * list_dot_product(u, list_transform(m, lambda r: list_dot_product(r, u))))) AS m
        FROM matrix, one),"""
-    + _squared_sql("two", "left_over")
-    + """ SELECT v.vec_id, label, list_dot_product(c, one.u) AS pc1, list_dot_product(c, two.u) AS pc2
-       FROM v JOIN rows_ USING (vec_id), one, two"""
-)
+        + _squared_sql("two", "left_over")
+        + """, projected AS (SELECT v.vec_id, label, list_dot_product(c, one.u) AS pc1, list_dot_product(c, two.u) AS pc2
+                             FROM v JOIN rows_ USING (vec_id), one, two) """
+        + end
+    )
+
+
+PCA_SQL = _pca_sql("v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)", "SELECT * FROM projected")
 
 
 @query("pca_projection", "vec_id:i label:i pc1:f6 pc2:f6", PCA_SQL)
@@ -261,6 +254,32 @@ def pca_projection(spark, sf):
     return M.pca(V.vecs(spark, sf), "embedding")
 
 
+REPORT_TYPES, REPORT_MIN = ("Checking", "MACHINERY", "HOUSEHOLD"), 10
+
+
+@query(
+    "type_report",
+    "id:i type:s n_type:i pc1:f6 pc2:f6 silhouette:f6",
+    _pca_sql(
+        """v AS (SELECT vec_id, CASE WHEN c_mktsegment = 'BUILDING' THEN 'Checking' ELSE c_mktsegment END AS label, CAST(embedding AS DOUBLE[]) AS e
+              FROM embeddings JOIN customer ON c_custkey = vec_id * 5),
+       main AS (SELECT * FROM v WHERE label IN ('Checking', 'MACHINERY', 'HOUSEHOLD')),
+       d AS (SELECT x.vec_id, x.label, y.label AS other, sum(1 - list_cosine_similarity(x.e, y.e)) AS s, count(*) AS n
+             FROM main x JOIN main y ON x.vec_id <> y.vec_id WHERE (SELECT count(*) FROM main) > 10 GROUP BY ALL),
+       ab AS (SELECT vec_id, label, max(s / n) FILTER (label = other) AS a, min(s / n) FILTER (label <> other) AS b FROM d GROUP BY vec_id, label),
+       sil AS (SELECT vec_id, CASE WHEN a IS NULL THEN 0 ELSE (b - a) / greatest(a, b) END AS silhouette FROM ab)""",
+        """SELECT vec_id AS id, label AS type, count(*) OVER (PARTITION BY label) AS n_type, pc1, pc2, silhouette
+           FROM projected LEFT JOIN sil USING (vec_id)""",
+    ),
+)
+def type_report(spark, sf):
+    """Joined account types: projection of all, silhouette among three of them."""
+    accounts = V.acct(spark, sf).select((F.col("accountId").cast("long") / 5).alias("id"), "type")
+    vectors = V.vecs(spark, sf).select(F.col("vec_id").cast("double").alias("id"), "embedding")
+    report = M.type_report(vectors, accounts, types=REPORT_TYPES, min_samples=REPORT_MIN)
+    return report.withColumn("id", F.col("id").cast("long"))
+
+
 def _labelled(spark, sf):
     """Labelled documents with a vector (zeros where there is none) and 13 features: six counts and seven others."""
     lab, doc = V.table(spark, sf, "labels"), V.table(spark, sf, "documents")
@@ -278,6 +297,29 @@ def _labelled(spark, sf):
     )
 
 
+@query(
+    "concatenated_features",
+    "id:s n:i first:f6 weighted:f3 n_tail:i tail_weighted:f4",
+    """WITH width AS (SELECT max(len(embedding)) AS d FROM embeddings),
+       docs AS (
+         SELECT CAST(l.doc_id AS VARCHAR) AS id, coalesce(CAST(embedding AS DOUBLE[]), list_transform(range(d), lambda i: CAST(0 AS DOUBLE))) AS v,
+                [CAST(n_chars AS DOUBLE), len(regexp_extract_all(text, '\\S+')), len(regexp_extract_all(text, '\\n')),
+                 len(regexp_extract_all(text, '[0-9]')), len(regexp_extract_all(text, '[A-Z]')), len(regexp_extract_all(text, '[.,]'))] AS six
+         FROM labels l JOIN documents USING (doc_id) LEFT JOIN embeddings ON vec_id = l.doc_id, width),
+       both_ AS (SELECT id, list_concat(v, six, v[1:7]) AS h, v[1:7] AS t FROM docs)
+       SELECT id, len(h) AS n, h[1] AS first, list_sum(list_transform(h, lambda x, i: x * i)) AS weighted, len(t) AS n_tail,
+              list_sum(list_transform(t, lambda x, i: x * i)) AS tail_weighted FROM both_""",
+)
+def concatenated_features(spark, sf):
+    """Vectors and features side by side, compared value by value through sums weighted by their places."""
+    df = M.tail_features(M.concat_features(_labelled(spark, sf), "embedding", "features"), "features")
+    weighted = lambda c: F.aggregate(F.transform(c, lambda x, i: x * (i + 1)), F.lit(0.0), lambda s, x: s + x)
+    return df.select(
+        "id", F.size("hybrid").alias("n"), F.col("hybrid")[0].alias("first"), weighted("hybrid").alias("weighted"),
+        F.size("tail").alias("n_tail"), weighted("tail").alias("tail_weighted"),
+    )
+
+
 def _train_test(spark, sf):
     rows = _labelled(spark, sf)
     split = E.train_test_split(rows.select("id"), [42], id_col="id").select("id", "split")
