@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import warnings
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,6 +12,7 @@ from ..operators.clean import account_alias, before_cutoff, censor_subcategory,
 from ..operators.examples import build_examples
 from ..operators.vocab import build_vocab
 from ..session import ensure_checkpoint_dir
+from ..sources.manifest import Manifest, fingerprint, fingerprints, replace_partitions
 from ..sources.sinks import read_flag_directories
 
 
@@ -63,21 +63,22 @@ def build_flag_examples(
 ) -> list[str]:
     """Examples of every ``<flags_root>/flag=<name>`` directory, written as ``<out>/flag=<name>`` by one job.
 
-    Flags that ``out`` already has are left as they are, so a run can be resumed; the flags built are returned. An
-    account that several flags have is built once for each.
+    Flags that the manifest of ``out`` has as finished from the same rows, accounts, vocabulary and settings are left as
+    they are, so a run can be resumed; the flags built are returned. What a run that was stopped has left of a flag is replaced,
+    and a flag none of whose accounts has ``min_days`` days is finished too. An account that several flags have is
+    built once for each.
     """
     spark = vocab.sparkSession
-    rows = read_flag_directories(spark, flags_root)
-    named = lambda df: {r.flag for r in df.select(F.col("flag").cast("string")).distinct().collect()}
-    try:
-        done = named(spark.read.parquet(out))
-    except AnalysisException:
-        done = set()
-    open_flags = sorted(named(rows) - done)
+    rows = read_flag_directories(spark, flags_root).withColumn("flag", F.col("flag").cast("string"))
+    settings = [variant, max_days, max_txns, min_days, fingerprint(vocab), None if accounts is None else fingerprint(accounts)]
+    manifest, prints = Manifest(spark, out), fingerprints(rows, "flag", settings)
+    open_flags = manifest.open_names(prints)
     if not open_flags:
         return []
-    rows = rows.filter(F.col("flag").cast("string").isin(*open_flags))
-    both = lambda df: df.withColumn("accountId", F.concat_ws("|", F.col("flag").cast("string"), "accountId"))
+    # an account is told apart by the flag's place in the list, a number, so any text may be in flags and ids
+    numbers = F.create_map(*[F.lit(x) for i, f in enumerate(open_flags) for x in (f, str(i))])
+    both = lambda df: df.withColumn("accountId", F.concat_ws("|", numbers[F.col("flag")], "accountId"))
+    rows = rows.filter(F.col("flag").isin(*open_flags))
     known = None if accounts is None else account_alias(accounts)
     if known is not None:
         known = known.withColumn("accountId", F.col("accountId").cast("string"))
@@ -85,6 +86,8 @@ def build_flag_examples(
         known = both(known.join(pairs, "accountId")).drop("flag")
     built = build_dataset(both(rows).drop("flag"), known, vocab, variant, max_days, max_txns, min_days)[0]
     parts = F.split("account_id", r"\|", 2)
-    built = built.withColumns({"flag": parts[0], "account_id": parts[1]})
-    built.write.mode("append").partitionBy("flag").parquet(out)
+    flags = F.array(*[F.lit(f) for f in open_flags])
+    built = built.withColumns({"flag": F.get(flags, parts[0].cast("int")), "account_id": parts[1]})
+    replace_partitions(built, out, "flag", open_flags)
+    manifest.finish({f: prints[f] for f in open_flags})
     return open_flags

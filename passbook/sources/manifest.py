@@ -9,7 +9,7 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Callable, Mapping, Sequence
-from urllib.parse import quote
+from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -90,6 +90,12 @@ def run_stage(
 
 def replace_partitions(df: DataFrame, path: str, key: str, names: Sequence[str]) -> None:
     """Write the rows of the named partitions of ``path`` anew; what lay there goes, also where no row follows."""
-    for n in names:
-        remove(df.sparkSession, f"{path}/{key}={quote(n, safe=' ')}")
+    spark = df.sparkSession
+    folder = F.regexp_extract(F.input_file_name(), "^(.*)/[^/]*$", 1).alias("folder")
+    try:
+        held = spark.read.parquet(path).filter(F.col(key).cast("string").isin(*names)).select(folder).distinct().collect()
+    except AnalysisException:
+        held = []
+    for r in held:
+        remove(spark, unquote(r.folder))
     df.write.mode("append").partitionBy(key).parquet(path)

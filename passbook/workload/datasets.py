@@ -284,15 +284,20 @@ def examples_stored(spark, sf):
     f"""SELECT 'F' || (CAST(account_id AS BIGINT) % 3) AS flag, * FROM ({_examples_sql("arrival")})""",
 )
 def examples_by_flag(spark, sf):
-    """One dataset per flag. The first run has one flag only; the second finds it done and builds the others."""
+    """One dataset per flag, resumed. A first run has one flag; a second one is stopped after it has written part of
+    another; the third finds the first done, replaces what is half-written and builds the rest."""
     ensure_checkpoint_dir(spark)
-    vocab = _vocab(spark, sf).checkpoint()
+    vocab = stored(_vocab(spark, sf), "vocab")
     flag = F.concat(F.lit("F"), (F.col("accountId").cast("long") % 3).cast("string"))
     txns = V.txn_short(spark, sf).withColumn("flag", flag)
     root, out = scratch_path(spark, "flagged"), scratch_path(spark, "flag-examples")
-    for rows in (txns.filter("flag = 'F1'"), txns.filter("flag != 'F1'")):
-        rows.write.mode("append").partitionBy("flag").parquet(root)
-        build_flag_examples(root, out, V.acct_events(spark, sf), vocab, "arrival", MAX_DAYS, MAX_TXNS, MIN_DAYS)
+    go = lambda: build_flag_examples(root, out, V.acct_events(spark, sf), vocab, "arrival", MAX_DAYS, MAX_TXNS, MIN_DAYS)
+    txns.filter("flag = 'F1'").write.mode("append").partitionBy("flag").parquet(root)
+    go()
+    txns.filter("flag != 'F1'").write.mode("append").partitionBy("flag").parquet(root)
+    half = spark.read.parquet(out).withColumn("flag", F.lit("F2"))
+    half.filter(F.crc32("account_id") % 2 == 0).write.mode("append").partitionBy("flag").parquet(out)
+    go()
     return _flat_examples(spark.read.parquet(out), "flag")
 
 

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from ..functions.scalars import amount_bin, finite_or_zero
 from ..operators import clean as C
 from ..plans import views as V
-from ..session import scratch_path
+from ..session import scratch_path, stored
+from ..sources import manifest as M
 from ..sources import sinks as S
 from ..sources import tables as T
 from .labels import CATEGORIES_SQL, _emerging_sql
@@ -242,6 +243,31 @@ def resume_skips_existing(spark, sf):
     return spark.read.parquet(path)
 
 
+@query(
+    "resume_rebuilds_half_written",
+    "step:i wrote:i accountId:s n:i",
+    with_views(TXN_LONG)
+    + """, counts AS (SELECT "accountId", count(*) AS n FROM txn_long GROUP BY ALL),
+      later AS (SELECT "accountId", count(*) AS n FROM txn_long WHERE CAST(id AS BIGINT) % 3 <> 0 GROUP BY ALL)
+      SELECT step, wrote, c.* FROM counts c, (VALUES (0, 1), (1, 0), (2, 1)) v(step, wrote)
+      UNION ALL SELECT 3, 1, l.* FROM later l""",
+)
+def resume_rebuilds_half_written(spark, sf):
+    """A stage four times: built, found finished, rebuilt after its entry is lost and half of its rows, and rebuilt because
+    its input has changed."""
+    path, txns = scratch_path(spark, "stage"), V.txn_long(spark, sf).select("accountId", "id")
+    counts = lambda df: df.groupBy("accountId").agg(F.count(F.lit(1)).alias("n"))
+    states = []
+    for step, source in enumerate((txns, txns, txns, txns.filter(F.col("id").cast("long") % 3 != 0))):
+        if step == 2:
+            M.remove(spark, M.Manifest(spark, path).root)
+            half = stored(spark.read.parquet(path).filter(F.crc32("accountId") % 2 == 0), "half")
+            half.write.mode("overwrite").parquet(path)
+        wrote = M.run_stage([source], path, lambda source=source: counts(source))
+        states.append(stored(spark.read.parquet(path), "state").withColumns({"step": F.lit(step), "wrote": F.lit(int(wrote))}))
+    return states[0].unionByName(states[1]).unionByName(states[2]).unionByName(states[3])
+
+
 @query(
     "flags_for_evaluation",
     "global_id:s flag_name:s emerging_date:s",
