@@ -18,6 +18,8 @@ import tiktoken
 #: The characters that the word pattern takes as white space.
 WHITE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 CHUNKS = re.compile(f"[{WHITE}]*[^{WHITE}]+|[{WHITE}]+")
+#: The string that the tokenizer takes as one token wherever it stands, and the token's id.
+SPECIAL, SPECIAL_ID = "<|endoftext|>", 50256
 #: Chunks that a worker remembers before it starts anew.
 REMEMBERED = 800_000
 
@@ -61,8 +63,11 @@ def _id_chunks(ranks_path: str) -> _Chunks:
 
 
 def encode_bytes(text: str, ranks_path: str) -> bytes:
-    """The ids of ``text``, each as four little-endian bytes."""
+    """The ids of ``text``, each as four little-endian bytes. The special string is one token, as in the tokenizer's file."""
     known = _id_chunks(ranks_path)
+    if SPECIAL in text:
+        mark = SPECIAL_ID.to_bytes(4, "little")
+        return mark.join([b"".join([known[c] for c in CHUNKS.findall(part)]) for part in text.split(SPECIAL)])
     return b"".join([known[c] for c in CHUNKS.findall(text)])
 
 

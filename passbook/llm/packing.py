@@ -24,7 +24,7 @@ from .common import saved, slices
 from .encoding import default_ranks, encode_bytes
 
 #: Rows that are ranked in one task.
-CHUNK_ROWS = 200_000
+CHUNK_ROWS = 20_000
 
 
 @dataclass(frozen=True)

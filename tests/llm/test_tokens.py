@@ -23,8 +23,8 @@ def texts(n, seed=1):
 
 def test_ids_equal_those_of_the_tokenizer():
     tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    tokenizer.encode_special_tokens = True
-    found = texts(3000)
+    special = "<|endoftext|>"
+    found = texts(3000) + [special, f"a {special} b", f"{special}{special}x", f"<|{special}|> <|endoftext |>", "é" + special + "\n"]
     for text, want in zip(found, tokenizer.encode_batch(found, add_special_tokens=False)):
         assert np.frombuffer(encode_bytes(text, default_ranks()), "<u4").tolist() == want.ids, text
 
