@@ -68,8 +68,8 @@ PRIORS = np.array(
     ]
 )
 PRIOR_VOTES = 50
-#: Spans of a kind above which only the proportions of their patterns count, so that more of the same text gives the same
-#: model; with fewer the priors weigh more.
+#: What all spans of a kind weigh together, at every size: the model follows from the proportions of their patterns, and
+#: the priors have their weight in the same unit.
 BASIS = 1000
 FEATURES = ("format", "valid", "listed", "cue", "other", "joined", "separated", "base")
 
@@ -135,12 +135,16 @@ def proposals(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, in
             found += [(3, *m.span()) for m in NUMBER.finditer(text, max(0, a - 2), b)]
         if b - a >= 13:
             found += [(2, *m.span()) for m in LONG_NUMBER.finditer(text, a, b)]
+    # one pass over both lists by start: ``reach`` is how far the spans that have begun go
     taken = sorted((s, e) for _, s, e in base)
-    out = []
+    out, at, reach = [], 0, 0
     for kind, start, end in sorted(found, key=lambda x: (x[1], x[0], x[2])):
-        if all(end <= s or e <= start for s, e in taken):
+        while at < len(taken) and taken[at][0] <= start:
+            reach = max(reach, taken[at][1])
+            at += 1
+        if reach <= start and (at == len(taken) or end <= taken[at][0]):
             out.append((kind, start, end))
-            taken.append((start, end))
+            reach = end
     return out
 
 
@@ -195,6 +199,14 @@ class SpanModel:
     prior: np.ndarray = field(repr=False)
     weights: np.ndarray = field(repr=False)
     least: float = 0.9
+    known: dict = field(default_factory=dict, repr=False, compare=False)
+
+    def accepts(self, kind: int, features: int) -> bool:
+        """Whether the classifier takes spans with these features; worked out once for each of them."""
+        code = (kind, features)
+        if code not in self.known:
+            self.known[code] = self.probability(kind, features) >= self.least
+        return self.known[code]
 
     def probability(self, kind: int, features: int) -> float:
         return float(1 / (1 + np.exp(-np.array(_inputs(features)) @ self.weights[kind])))
@@ -202,9 +214,7 @@ class SpanModel:
     def spans(self, text: str) -> tuple[list, list]:
         """The base spans, and all spans, each by kind and start."""
         base = base_spans(text)
-        more = [
-            s for s in proposals(text, base) if self.probability(s[0], describe(text, *s, False)[1]) >= self.least
-        ]
+        more = [s for s in proposals(text, base) if self.accepts(s[0], describe(text, *s, False)[1])]
         return base, sorted(base + more)
 
 
@@ -225,7 +235,7 @@ def estimate(counts: list[tuple[int, int, int, int]], rounds: int = 100, least:
         rows = [r for r in counts if r[0] == kind]
         hot = np.eye(3)[np.array([_votes(r[1]) for r in rows], int).reshape(-1, len(LABELERS))]
         n = np.array([r[3] for r in rows], float)
-        n *= min(1.0, BASIS / max(n.sum(), 1.0))
+        n *= BASIS / max(n.sum(), 1.0)
         strict = np.array([r[2] >> (len(FEATURES) - 1) & 1 for r in rows], int)
         pseudo = (PRIORS + 0.005) * PRIOR_VOTES
         table, p, post = pseudo / pseudo.sum(-1, keepdims=True), np.array([0.5, 0.9]), np.zeros(len(rows))
@@ -292,7 +302,8 @@ def find_spans(docs: DataFrame, model: SpanModel, text: str = "text", key: str =
     """``key, n_email, n_ip, n_card, n_phone, base_spans, spans``: one row per row of ``docs``.
 
     Counts are of base spans. Lists are ``kind:start:end`` by kind and start, joined by commas, in code points, ends
-    exclusive. Null texts count as empty; null and repeated keys are kept as they are. An empty table
+    exclusive. Null texts count as empty; null and repeated keys are kept as they are. Of proposals that overlap the first
+    one counts, of those with one start the first kind. A very long text takes time in proportion to it. An empty table
     gives an empty result. Other columns are ignored, whatever their names.
     """
     kind = docs.schema[key].dataType.simpleString()
