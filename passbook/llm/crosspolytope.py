@@ -24,6 +24,9 @@ from pyspark.sql import functions as F
 from .common import join_groups, saved
 
 BLOCK = 2048
+#: Products of blocks are sums in another order than the exact ones: how far they may be apart, and to how many digits
+#: they are compared.
+NEAR, DIGITS = 1e-9, 9
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -89,7 +92,8 @@ def _hashed(vectors: DataFrame, tables: int, probes: int, seed: int, longest: fl
 
 
 def _meet(index: DataFrame, queries: DataFrame, keep: int) -> DataFrame:
-    """``query, rep, score``: for every query, the ``keep`` best entries of each block that it meets.
+    """``query, rep, score``: for every query, the ``keep`` best entries of each block that it meets and all that tie
+    with the last of them, so that nothing depends on the order in which blocks are filled.
 
     Both have ``table, bucket, rep, embedding``. Entries are cut into blocks by a hash. There are as many counts as
     tables times axes, a constant, so the counts are broadcast.
@@ -118,24 +122,22 @@ def _meet(index: DataFrame, queries: DataFrame, keep: int) -> DataFrame:
                 entries, asked = (batch.column(c).slice(i, 1).flatten() for c in ("entries", "asked"))
                 ids, wanted = (a.field("rep").to_numpy() for a in (entries, asked))
                 scores = _matrix(asked.field("embedding")) @ _matrix(entries.field("embedding")).T
-                n = min(keep, len(ids))
-                best = np.argpartition(-scores, n - 1, axis=1)[:, :n]
+                n = len(ids)
+                cut = np.partition(scores, n - keep, axis=1)[:, n - keep] if n > keep else np.full(len(scores), -np.inf)
+                query, best = np.nonzero(scores >= (cut - NEAR * np.maximum(1, np.abs(cut)))[:, None])
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.repeat(wanted, n)),
-                        pa.array(ids[best].reshape(-1)),
-                        pa.array(np.take_along_axis(scores, best, 1).reshape(-1)),
-                    ],
-                    ["query", "rep", "score"],
+                    [pa.array(wanted[query]), pa.array(ids[best]), pa.array(scores[query, best])], ["query", "rep", "score"]
                 )
 
     return both.mapInArrow(run, "query bigint, rep bigint, score double")
 
 
 def _best(found: DataFrame, keep: int) -> DataFrame:
-    place = Window.partitionBy("query").orderBy(F.desc("score"), "rep")
+    """The ``keep`` best of each query and all that tie with the last of them, as far as products of blocks can tell:
+    these are rounded, and exact products decide later."""
+    place = Window.partitionBy("query").orderBy(F.desc(F.round("score", DIGITS)))
     once = found.groupBy("query", "rep").agg(F.max("score").alias("score"))
-    return once.withColumn("_place", F.row_number().over(place)).where(F.col("_place") <= keep).drop("_place")
+    return once.withColumn("_place", F.rank().over(place)).where(F.col("_place") <= keep).drop("_place")
 
 
 def usable(rows: DataFrame, vector: str) -> DataFrame:
