@@ -18,6 +18,7 @@ scoring a window costs the same for any number of landmarks.
 from __future__ import annotations
 
 import re
+import warnings
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -41,6 +42,8 @@ APART = re.compile(r"(?<!\S)(?:\S[ \t-\r]){3,}\S(?!\S)")
 REMEMBERED = 500_000
 #: Length of the substrings that training starts from, and how many are used at most.
 GRAM, MOST_GRAMS = 5, 20_000
+#: A word is trained on as toxic where its share of toxic documents is more than so many times that of clean ones.
+COMMON = 4
 #: Documents of a class that suffice to fit on.
 ENOUGH = 200
 
@@ -316,6 +319,12 @@ def _telling_grams(docs: DataFrame) -> dict[int, float]:
     return {r.code: r.lift for r in telling.orderBy(F.desc("lift"), "code").limit(MOST_GRAMS).select("code", "lift").collect()}
 
 
+def _pieces(word: str) -> list[str]:
+    """A word to train on, or of a very long one pieces of which each window is in one."""
+    step = 3 * WIDTH
+    return [word] if len(word) <= 4 * WIDTH else [word[i : i + 4 * WIDTH] for i in range(0, len(word) - WIDTH, step)]
+
+
 def _pick(
     docs: DataFrame, machine: Machine | None, grams: dict[int, float], most: int = 3000
 ) -> tuple[list[str], list[int], list[tuple[str, float]]]:
@@ -338,7 +347,7 @@ def _pick(
         for batch in slices(batches, "_text"):
             got = []
             for y, value in zip(batch.column("_y").to_pylist(), batch.column("_text").to_pylist()):
-                words = list(dict.fromkeys(w for w in words_of(value.lower()) if len(w) <= 4 * WIDTH))
+                words = list(dict.fromkeys(p for w in words_of(value.lower()) for p in _pieces(w)))
                 if not words:
                     continue
                 rates = rate(words)
@@ -357,8 +366,13 @@ def _pick(
     clean = words.where("y = 0")
     worst = clean.orderBy(F.desc("rate"), "word").limit(most // 2).collect()
     other = clean.orderBy(F.xxhash64("word"), "word").limit(most).collect()
-    held = {r.word for r in worst[: most // 2] if r.n > 2}  # a word that clean documents share is not toxic
-    positive = [r for r in toxic if r.word not in held]
+    # a word that clean documents have about as often is not toxic; shares, so that it is the same at every size
+    total = {r._y: r.n for r in docs.groupBy("_y").agg(F.count("*").alias("n")).collect()}
+    share = {r.word: r.n / total[0] for r in worst}
+    positive = [r for r in toxic if COMMON * share.get(r.word, 0.0) < r.n / total[1]]
+    if toxic and not positive:
+        warnings.warn("no word is much commoner in toxic documents than in clean ones; all are trained on", stacklevel=2)
+        positive = toxic
     return [r.word for r in positive], [r.n for r in positive], [(r.word, r.rate if machine else 0.0) for r in [*worst, *other]]
 
 
