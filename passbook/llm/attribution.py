@@ -67,7 +67,7 @@ def line_tokens(
 
     ``start`` and ``end`` are in characters, ``tokens`` is what the rule gives the line, ``crossing`` counts the
     tokens that reach over the line's end. Null and empty texts are one empty section without tokens. Null
-    and repeated keys are kept as they are. An empty table gives an empty result. Other columns are
+    and repeated keys are kept as they are. A very long text is encoded by one task. An empty table gives an empty result. Other columns are
     ignored, whatever their names.
     """
     return _attribute(docs, None, rule, ranks_path, text, key)

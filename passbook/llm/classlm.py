@@ -284,7 +284,8 @@ def score_texts(
     one added to every count, ``score`` the class model's log10 probability of the text and its end. ``most``
     bounds the words that are broadcast and ``core`` those that iterate; all words get a class. Null texts
     count as empty. Null and repeated keys are kept as they are. Without any training row both scores are 0.
-    An empty table gives an empty result. Other columns are ignored, whatever their names.
+    Equal counts are ordered by the word. A very long text is scored as a whole by one task. An empty table gives an
+    empty result. Other columns are ignored, whatever their names.
     """
     spark = docs.sparkSession
     read = docs.select(

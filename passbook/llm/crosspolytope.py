@@ -162,8 +162,8 @@ def nearest(
     Nearest first, by inner product in double precision, ties to the smaller key; the query's own row is not
     among them. A query for which the buckets hold fewer than ``k`` others is compared with every row, in blocks.
     Vectors that are null, zero or hold null or non-finite components take no part, nor do rows with a null
-    key, nor vectors of another size than most have. Rows repeated with the same key are one row. An empty table gives
-    an empty result. Other columns are ignored, whatever their names.
+    key, nor vectors of another size than most have. Rows repeated with the same key are one row. Very long
+    vectors make blocks of as many rows larger. An empty table gives an empty result. Other columns are ignored, whatever their names.
     """
     v = F.col(vector)
     rows = usable(vectors.where(F.col(key).isNotNull()), vector)

@@ -27,8 +27,8 @@ def exact_duplicates(
 
     The row with the most code points in the original text stays, then the one with the smallest key (null
     keys last). Rows that are alike in text and key both count as the row that stays: ``kept`` is true for
-    each and ``twins`` says how many there are (1 as a rule). Null texts count as empty. An empty table gives
-    an empty result. Other columns are ignored, whatever their names.
+    each and ``twins`` says how many there are (1 as a rule). Null texts count as empty. A very
+    long text is read by its task as any other and never moved. An empty table gives an empty result. Other columns are ignored, whatever their names.
     """
     read = docs.select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text"), normalised(text).alias("_norm"))
     first = [

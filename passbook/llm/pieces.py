@@ -257,8 +257,8 @@ def encode_sampled(
 
     ``ids`` are little-endian 32-bit numbers, ``lossless`` says whether decoding them gave the text back. Null texts
     count as empty; an empty text is the piece for the space that stands in front of every text. Rows with equal
-    key and text get equal ids; a null key is a key of its own. An empty table gives an empty result. Other columns are
-    ignored, whatever their names.
+    key and text get equal ids; a null key is a key of its own. A very long text is one lattice, held by its task. An empty table gives an empty
+    result. Other columns are ignored, whatever their names.
     """
     path = model_path or default_model()
     kind = docs.schema[key].dataType.simpleString()

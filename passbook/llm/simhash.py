@@ -145,7 +145,8 @@ def near_duplicates(
     included), ``links`` the number of other fingerprints within ``max_bits``. Equal fingerprints are one
     node, so copies are never paired. Null texts count as empty; empty texts have fingerprint zero and are
     linked like any other. Rows with a null key keep it; a class of such rows only has a null
-    ``component_id``. Repeated rows give repeated rows. An empty table gives an empty result. Other columns
+    ``component_id``. Repeated rows give repeated rows. A very long text is hashed by one
+    task, its shingles in slices. An empty table gives an empty result. Other columns
     are ignored, whatever their names.
     """
     rows = saved(fingerprints(docs, words, text, key), "fingerprints")

@@ -402,8 +402,8 @@ def score(docs: DataFrame, machine: Machine | None, text: str = "text") -> DataF
     """``docs`` plus ``score`` (0 to 1, the probability of being toxic) and ``predicted`` (1 from 0.5 on).
 
     Null texts count as empty. A text without a word has the margin of a window in which nothing matches.
-    Without a machine, as no class or only one has labelled rows, every score is 0. An empty table gives an
-    empty result. Columns of those names that ``docs`` had are replaced; all others are kept and not looked at.
+    Without a machine, as no class or only one has labelled rows, every score is 0. A very long text
+    counts by its worst word, all of it is read. An empty table gives an empty result. Columns of those names that ``docs`` had are replaced; all others are kept and not looked at.
     """
     plain = docs.drop("score", "predicted")
     if machine is None:
