@@ -43,7 +43,7 @@ def test_a_long_log_of_mixed_numbers_takes_linear_time(model):
     text = line * 45_000
     begin = time.perf_counter()
     base, spans = model.spans(text)
-    assert len(base) >= 4 * 45_000 and time.perf_counter() - begin < 60
+    assert len(base) == 45_000 * len(brute(line)) and time.perf_counter() - begin < 60
     rng = random.Random(8)
     for _ in range(300):
         some = "".join(rng.choice(["10.0.0.1", "999.1.2.3", "+1 (269) 555-3296", "41111111", "a@b.co", " ", ".", "-", "1", "x dot com"]) for _ in range(12))
