@@ -242,3 +242,12 @@ def test_files_can_be_parsed_again(spark, sf_dir, tmp_path):
             found[fields["WARC-Record-ID"]] = (fields["WARC-Refers-To"], fields["WARC-Block-Digest"], data[:n].decode())
             data = data[n + 4 :]
     assert found == {r.record_id: (r.refers_to, r.block_digest, r.block) for r in records.collect()}
+
+
+def test_ties_between_different_vectors_go_to_the_smaller_id(spark):
+    """All others have the inner product 0.5 with the query; in whichever order rows come, the smallest ids are found."""
+    rows = [(0, [1.0, 0.0, 0.0])] + [(i, [0.5, np.cos(i) / 2, np.sin(i) / 2]) for i in range(1, 1500)]
+    frame = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in rows], "vec_id bigint, embedding array<double>")
+    for order in (frame.repartition(3), frame.orderBy(F.desc("vec_id")).coalesce(1)):
+        got = nearest(order, F.col("vec_id") == 0, k=20, tables=12, probes=8).orderBy("rank").collect()
+        assert [r.vec_id for r in got] == list(range(1, 21)) and {r.score for r in got} == {0.5}
