@@ -39,7 +39,8 @@ SPANS = {3: 5, 4: 8}
 #: Signs that are read as letters.
 STAND_INS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"}
 APART = re.compile(r"(?<!\S)(?:\S[ \t-\r]){3,}\S(?!\S)")
-REMEMBERED = 500_000
+#: Words whose margins a worker remembers, and text that it splits into words at a time.
+REMEMBERED, SLICE = 250_000, 1 << 20
 #: Length of the substrings that training starts from, and how many are used at most.
 GRAM, MOST_GRAMS = 5, 20_000
 #: A word is trained on as toxic where its share of toxic documents is more than so many times that of clean ones.
@@ -413,7 +414,7 @@ def score(docs: DataFrame, machine: Machine | None, text: str = "text") -> DataF
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[str, float] = {}
-        for batch in slices(batches, whole):
+        for batch in slices(batches, whole, SLICE):
             margins = _document_margins(shared.value, batch.column(whole).to_pylist(), known)
             got = shared.value.probability(margins)
             names = [n for n in batch.schema.names if n != whole]
