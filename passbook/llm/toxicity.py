@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, saved, slices
+from .common import saved, slices
 
 WIDTH, STRIDE = 12, 6
 SYMBOLS, SIGN, FRONT = 40, 39, 38
@@ -410,17 +410,17 @@ def score(docs: DataFrame, machine: Machine | None, text: str = "text") -> DataF
     if machine is None:
         return plain.withColumns({"score": F.lit(0.0), "predicted": F.lit(0)})
     shared = docs.sparkSession.sparkContext.broadcast(machine)
-    whole = fresh(plain, "_whole")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    # only texts go to Python and only scores come back: all other columns stay where they are
+    @F.arrow_udf("double")
+    def probability(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         known: dict[str, float] = {}
-        for batch in slices(batches, whole, SLICE):
-            margins = _document_margins(shared.value, batch.column(whole).to_pylist(), known)
-            got = shared.value.probability(margins)
-            names = [n for n in batch.schema.names if n != whole]
-            columns = [*(batch.column(n) for n in names), pa.array(got), pa.array((got >= 0.5).astype("i4"))]
-            yield pa.RecordBatch.from_arrays(columns, [*names, "score", "predicted"])
-
-    read = plain.withColumn(whole, F.coalesce(F.col(text), F.lit("")))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in plain.schema)
-    return read.mapInArrow(run, f"{schema}, score double, predicted int")
+        for part in parts:
+            got = np.zeros(0)
+            for batch in slices([pa.RecordBatch.from_arrays([part], ["text"])], "text", SLICE):
+                margins = _document_margins(shared.value, batch.column("text").to_pylist(), known)
+                got = np.append(got, shared.value.probability(margins))
+            yield pa.array(got)
+
+    scored = plain.withColumn("score", probability(F.coalesce(F.col(text), F.lit(""))))
+    return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
