@@ -41,6 +41,8 @@ STAND_INS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a
 APART = re.compile(r"(?<!\S)(?:\S[ \t-\r]){3,}\S(?!\S)")
 #: Words whose margins a worker remembers, and text that it splits into words at a time.
 REMEMBERED, SLICE = 250_000, 1 << 20
+#: Windows whose subsequences the fit holds at a time.
+FITTED = 64
 #: Length of the substrings that training starts from, and how many are used at most.
 GRAM, MOST_GRAMS = 5, 20_000
 #: A word is trained on as toxic where its share of toxic documents is more than so many times that of clean ones.
@@ -175,8 +177,8 @@ def fit(
     for (n, code), j in index.items():
         places[n][code] = j
     kernels = []
-    for i in range(0, len(wins), 500):
-        part = wins[i : i + 500]
+    for i in range(0, len(wins), FITTED):
+        part = wins[i : i + FITTED]
         k = np.zeros((len(part), len(index)))
         for n, tuples in TUPLES.items():
             powers = [part.T * SYMBOLS**p for p in range(n - 1, -1, -1)]
