@@ -22,8 +22,14 @@ from .clean import dedupe_by
 TEMPERATURE = 0.07
 MAIN_TYPES = ("Checking", "Savings", "Credit Card", "Loan")
 MIN_SAMPLES = 100
-#: Rows of a block of the similarity matrix.
-BLOCK = 1024
+#: Rows of a block of the similarity matrix, which is one task's, and how many blocks a side has before they grow.
+BLOCK, LARGEST, SIDE = 1024, 32_768, 12
+#: Rows and columns of a product that is held at once.
+TILE = 512
+#: Products of rows, of large batches, for each of their tasks.
+PRODUCTS = 1 << 24
+#: Logits in a range up to this have exponentials relative to one common bound; in wider ones these could vanish.
+RANGE = 600.0
 
 
 def mean_pool(rows: DataFrame, keys: Sequence[str], vector: str, out: str = "pooled") -> DataFrame:
@@ -82,28 +88,90 @@ def _unit(rows: pd.Series) -> np.ndarray:
     return m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
 
 
-def _blocks(pairs: DataFrame, batch_size: int, seed: int, id_col: str) -> DataFrame:
-    """``_id, batch_id, _block`` and the vectors: batches cut into blocks of about ``BLOCK`` rows by a hash of the id."""
+def _blocks(pairs: DataFrame, batch_size: int, seed: int, id_col: str) -> tuple[DataFrame, int]:
+    """The id, ``batch_id, _blocks, _block`` and the vectors, and how many rows there are: batches cut into blocks by a hash of the id.
+
+    A batch of up to ``SIDE`` * ``BLOCK`` rows has blocks of about ``BLOCK``. A larger one has ``SIDE`` larger blocks, up to
+    ``LARGEST`` rows each, and more of them beyond. A row is sent once for each block, so what is sent grows with the rows.
+    """
     if batch_size < 1:
         raise ValueError("batch_size must be at least 1")
     vectors = [c for c in ("a", "b", "hard") if c in pairs.columns]
-    dealt = assign_batches(pairs.select(id_col, *vectors), batch_size, seed, id_col)
-    sizes = dealt.groupBy("batch_id").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("_blocks"))
+    dealt = stored(assign_batches(pairs.select(id_col, *vectors), batch_size, seed, id_col), "dealt")
+    n = dealt.count()
+    # all batches are full but the last, so no join by batch is needed, which would put a batch into one task
+    size = F.least(F.lit(batch_size), F.lit(n) - F.col("batch_id") * batch_size)
+    blocks = F.greatest(F.least(F.ceil(size / BLOCK), F.lit(SIDE)), F.ceil(size / LARGEST)).cast("int")
     cut = F.pmod(F.xxhash64(id_col, F.lit(seed)), F.col("_blocks")).cast("int")
-    return dealt.join(sizes, "batch_id").withColumn("_block", cut)
+    return dealt.withColumn("_blocks", blocks).withColumn("_block", cut), n
+
+
+def _shifted(logits: np.ndarray, limit: float, axis: int) -> tuple[np.ndarray, np.ndarray]:
+    """The largest logit along ``axis`` (``limit``, where it is known to be no smaller) and the sum of exponentials relative to it."""
+    most = logits.max(axis=axis) if np.isnan(limit) else np.full(logits.shape[1 - axis], limit)
+    return most, np.exp(logits - np.expand_dims(most, axis)).sum(axis=axis)
+
+
+class _States:
+    """The states of one side's rows of a block pair, to which tiles of the product are added."""
+
+    def __init__(self, n: int, top: int | None):
+        self.most, self.mass = np.full(n, -np.inf), np.zeros(n)
+        self.best, self.total, self.own = np.full(n, -np.inf), np.zeros(n), np.full(n, np.nan)
+        self.top, self.near = top, (np.empty((n, 0)), np.empty((n, 0), dtype=int))
+
+    def add_mass(self, at: slice, most: np.ndarray, mass: np.ndarray) -> None:
+        new = np.maximum(self.most[at], most)
+        self.mass[at] = self.mass[at] * np.exp(self.most[at] - new) + mass * np.exp(most - new)
+        self.most[at] = new
+
+    def add_values(self, at: slice, sims: np.ndarray, start: int) -> None:
+        """Best, total and nearest of ``sims``, whose columns are the others from place ``start`` on."""
+        if self.top is None:
+            return
+        self.best[at] = np.maximum(self.best[at], sims.max(axis=1))
+        self.total[at] += sims.sum(axis=1)
+        if self.top:
+            values, places = self.near[0][at], self.near[1][at]
+            values = np.hstack([values, sims])
+            places = np.hstack([places, np.broadcast_to(np.arange(start, start + sims.shape[1]), sims.shape)])
+            order = np.lexsort((places, -values), axis=1)[:, : self.top]
+            self._keep(at, np.take_along_axis(values, order, 1), np.take_along_axis(places, order, 1))
+
+    def _keep(self, at: slice, values: np.ndarray, places: np.ndarray) -> None:
+        if self.near[0].shape[1] < values.shape[1]:
+            more = values.shape[1] - self.near[0].shape[1]
+            n = len(self.near[0])
+            self.near = (np.hstack([self.near[0], np.full((n, more), -np.inf)]), np.hstack([self.near[1], np.full((n, more), -1)]))
+        self.near[0][at], self.near[1][at] = values, places
+
+    def frame(self, batch: int, side: str, id_col: str, ids: list, others: list) -> pd.DataFrame:
+        near = [[] for _ in ids]
+        if self.top:
+            near = [
+                [{"id": others[j], "s": v} for v, j in zip(values, places) if j >= 0]
+                for values, places in zip(self.near[0].tolist(), self.near[1].tolist())
+            ]
+        return pd.DataFrame(
+            {
+                "batch_id": batch, "side": side, id_col: ids, "n": len(others), "most": self.most, "mass": self.mass,
+                "best": self.best, "total": self.total, "own": self.own, "near": near,
+            }
+        )
 
 
 def block_states(
-    pairs: DataFrame, batch_size: int, seed: int, temperature: float = 1.0, id_col: str = "id", top: int = 0
+    pairs: DataFrame, batch_size: int, seed: int, temperature: float = 1.0, id_col: str = "id", top: int | None = None
 ) -> DataFrame:
     """Per ``side`` (``a`` rows, ``b`` columns), batch and id: what one block of the batch's similarity matrix adds.
 
-    Each pair of blocks of a batch is one key and one matrix product; a batch may be the whole table. Of a product only a
-    state for each row and column leaves the task: ``most`` (largest logit), ``mass`` (sum of exponentials relative to it),
-    ``best`` and ``total`` of the similarities, ``own`` (the row's own pair, where it is in the block), and the ``top``
-    nearest. States of one id add up to that of its whole row (``merged_states``).
+    Each pair of blocks of a batch is one key, whose product is made in tiles of ``TILE`` rows and columns; a batch may be the
+    whole table. Of a product only a state for each row and column leaves the task: ``most`` (a logit no smaller than the largest),
+    ``mass`` (sum of exponentials relative to it), ``own`` (the row's own pair, where it is in the block), and, where
+    ``top`` is given, ``best`` and ``total`` of the similarities and the ``top`` nearest. States of one id add up to that of
+    its whole row (``merged_states``).
     """
-    rows = _blocks(pairs, batch_size, seed, id_col)
+    rows, n = _blocks(pairs, batch_size, seed, id_col)
     kind, hard = dict(pairs.dtypes)[id_col], "hard" in pairs.columns
     every = F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))
     more = F.col("hard") if hard else F.lit(None).cast("array<double>")
@@ -111,22 +179,8 @@ def block_states(
         rows.select("batch_id", F.col("_block").alias("_i"), every.alias("_j"), id_col, F.col("a").alias("_v"), more.alias("hard"), F.lit("a").alias("_side")),
         rows.select("batch_id", every.alias("_i"), F.col("_block").alias("_j"), id_col, F.col("b").alias("_v"), more.alias("hard"), F.lit("b").alias("_side")),
     ]
-
-    def states(side, key, sims, ids, own, others, extra=None):
-        logits = sims / temperature
-        shown = logits if extra is None else np.column_stack([logits, extra / temperature])
-        most = shown.max(axis=1)
-        near = [[] for _ in ids]
-        if top:
-            order = np.lexsort((np.broadcast_to(np.arange(len(others)), sims.shape), -sims), axis=1)[:, :top]
-            near = [[{"id": others[j], "s": float(sims[i, j])} for j in row] for i, row in enumerate(order.tolist())]
-        return pd.DataFrame(
-            {
-                "batch_id": key[0], "side": side, id_col: ids, "n": len(others), "most": most,
-                "mass": np.exp(shown - most[:, None]).sum(axis=1), "best": sims.max(axis=1), "total": sims.sum(axis=1),
-                "own": own, "near": near,
-            }
-        )
+    # cosines lie in -1 to 1
+    limit = 1 / temperature if 2 / temperature <= RANGE else np.nan
 
     def meet(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         one, other = (pdf[pdf["_side"] == s].sort_values(id_col) for s in "ab")
@@ -134,19 +188,45 @@ def block_states(
             return pd.DataFrame(columns=names)
         ids, others = one[id_col].tolist(), other[id_col].tolist()
         a, b = _unit(one["_v"]), _unit(other["_v"])
-        sims = a @ b.T
-        same = key[1] == key[2]
-        own = np.diag(sims) if same else np.full(len(ids), np.nan)
-        extra = (a * _unit(one["hard"])).sum(axis=1) if hard and same else None
-        rows = states("a", key, sims, ids, own, others, extra)
-        return rows if hard else pd.concat([rows, states("b", key, sims.T, others, own if same else np.full(len(others), np.nan), ids)])
+        left, right = _States(len(ids), top), _States(len(others), top)
+        for i in range(0, len(ids), TILE):
+            at = slice(i, min(i + TILE, len(ids)))
+            for j in range(0, len(others), TILE):
+                to = slice(j, min(j + TILE, len(others)))
+                sims = a[at] @ b[to].T
+                left.add_values(at, sims, j)
+                if not hard:
+                    right.add_values(to, sims.T, i)
+                logits = sims / temperature
+                if hard or np.isnan(limit):
+                    left.add_mass(at, *_shifted(logits, limit, 1))
+                    if not hard:
+                        right.add_mass(to, *_shifted(logits, limit, 0))
+                    continue
+                # one exponential serves the row and the column
+                shares = np.exp(np.subtract(logits, limit, out=logits), out=logits)
+                left.add_mass(at, np.full(len(shares), limit), shares.sum(axis=1))
+                right.add_mass(to, np.full(shares.shape[1], limit), shares.sum(axis=0))
+        if key[1] == key[2]:
+            left.own = right.own = np.einsum("ij,ij->i", a, b)
+            if hard:
+                extra = np.einsum("ij,ij->i", a, _unit(one["hard"])) / temperature
+                left.add_mass(slice(0, len(ids)), extra, np.ones(len(ids)))
+        found = left.frame(key[0], "a", id_col, ids, others)
+        return found if hard else pd.concat([found, right.frame(key[0], "b", id_col, others, ids)])
 
     schema = (
         f"batch_id long, side string, {id_col} {kind}, n long, most double, mass double, best double, total double, own double, "
         f"near array<struct<id:{kind},s:double>>"
     )
     names = ["batch_id", "side", id_col, "n", "most", "mass", "best", "total", "own", "near"]
-    return sides[0].unionByName(sides[1]).groupBy("batch_id", "_i", "_j").applyInPandas(meet, schema)
+    both, key = sides[0].unionByName(sides[1]), ("batch_id", "_i", "_j")
+    whole = min(n, batch_size)
+    if whole > BLOCK:
+        # products weigh more than the bytes that partitions are put together by
+        cells = max(min(-(-whole // BLOCK), SIDE), -(-whole // LARGEST)) ** 2 * -(-n // whole)
+        both = both.repartition(min(cells, -(-n * whole // PRODUCTS)), *key)
+    return both.groupBy(*key).applyInPandas(meet, schema)
 
 
 def merged_states(states: DataFrame, id_col: str = "id", top: int = 0) -> DataFrame:

@@ -119,6 +119,24 @@ def test_losses_do_not_depend_on_blocks(spark, monkeypatch):
     assert {i: [j for j, _ in v] for i, v in near.items()} == {i: np.argsort(-sims[i], kind="stable")[:4].tolist() for i in range(60)}
 
 
+@pytest.mark.parametrize("side, largest", [(3, 1000), (3, 5)])
+def test_one_batch_is_many_tasks_of_few_large_blocks(spark, monkeypatch, side, largest):
+    """Also where Spark broadcasts nothing. Rows are sent once for each block, so their number is bounded until blocks are full."""
+    for name, value in (("BLOCK", 4), ("SIDE", side), ("LARGEST", largest), ("TILE", 3), ("PRODUCTS", 100)):
+        monkeypatch.setattr(M, name, value)
+    df, (a, b, h) = _pairs(spark, 60, 0.8)
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        states = M.block_states(df.drop("hard"), 60, 1, 0.07).withColumn("task", F.spark_partition_id()).collect()
+        assert len({r.task for r in states}) > side  # a batch used to be one task
+        assert len(states) <= 2 * 60 * max(side, -(-60 // largest))
+        assert M.info_nce(df, 60, 1).first().loss == pytest.approx(_nce(a, b))
+        assert M.info_nce_hard(df, 60, 1).first().loss == pytest.approx(_nce(a, b, h=h))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+
+
 def test_pca_and_silhouette(spark, sf_dir):
     v = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     rows = v.orderBy("vec_id").collect()
