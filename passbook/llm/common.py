@@ -26,6 +26,14 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def saved_more(df: DataFrame, name: str, paths: list[str]) -> tuple[DataFrame, DataFrame]:
+    """``df`` as ``saved`` gives it, and all that was written under ``paths`` so far, as one table. Its path joins ``paths``."""
+    paths.append(scratch_path(df.sparkSession, name))
+    df.write.option("compression", "zstd").parquet(paths[-1])
+    read = df.sparkSession.read.schema(df.schema)
+    return read.parquet(paths[-1]), read.parquet(*paths)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

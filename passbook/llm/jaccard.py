@@ -1,6 +1,10 @@
 """Near-duplicate classes by exact Jaccard similarity of word shingles.
 
-Candidates come from prefix filtering. With every set in one common order, two sets of n and m shingles that are similar
+SimHash with the anchor cover of ``simhash`` proposes first: every set has a fingerprint of 64 bits, and all fingerprints within
+``REACH`` bits are found through the anchors. What it proposes is verified on the whole sets. No number of bits bounds a
+Jaccard similarity, though, so pairs that the cover cannot reach are left, and an exact way finds these.
+
+That way is prefix filtering. With every set in one common order, two sets of n and m shingles that are similar
 enough share one of the first n - ceil(s n) + 1 and m - ceil(s m) + 1; so only these *prefixes* are indexed, and no link can
 be missed. Any order is right. The one used puts shingles that many documents share at the end, so that texts which
 have no more than a passage or a template in common do not meet; it is learnt from the shingles of at most ``SAMPLE``
@@ -10,7 +14,8 @@ An entry of the index (a shingle with its members) is not expanded into pairs. I
 become its hubs and are compared with those members that are not in their class yet; then they leave the entry. Entries
 whose members are all of one class are done. The first round has one hub for each entry. A later one has twice as many as the
 one before, or as many more as keep its members times hubs below the size of the index. So a group of copies costs a
-comparison for each member, and members that do not link are compared until none is left: nothing is lost.
+comparison for each member, and members that do not link are compared until none is left: nothing is lost. Members that the cover has linked are of one
+class from the start.
 
 Pairs whose lengths or places in the order rule a link out are not compared, nor are those told apart by their bitmaps: a
 bit is the parity of the shingles whose hash falls on it, so two sets differ in as many shingles at least as their
@@ -27,9 +32,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary_text, join_groups, saved, slices
+from .common import binary_text, join_groups, saved, saved_more, slices
 from .components import components
+from .simhash import links
 
+#: Bits within which the anchor cover finds all fingerprints.
+REACH = 2
 #: Documents whose shingles the order is learnt from, and how many common shingles it keeps (6 MB).
 SAMPLE, COMMON = 20_000, 500_000
 #: Bits of a bitmap; rows of keys that are broadcast at most (some 12 MB), beyond them texts are shuffled instead.
@@ -70,6 +78,12 @@ def bitmap(found: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def fingerprint(found: np.ndarray) -> int:
+    """The SimHash of a set as a signed number: the bits that are set in over half of its hashes. That of the empty set is zero."""
+    bits = np.unpackbits(found.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+    return int(np.packbits(bits.sum(0, dtype=np.int64) * 2 > len(bits)).view(">i8")[0])
+
+
 def _sampled(docs: DataFrame, words: int, text: str, key: str, total: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes, sorted, and counts of the ``COMMON`` commonest shingles among at most about ``SAMPLE`` documents."""
 
@@ -91,7 +105,7 @@ def _sampled(docs: DataFrame, words: int, text: str, key: str, total: int) -> tu
 
 
 def _signatures(docs: DataFrame, words: int, similarity: float, text: str, key: str, common) -> DataFrame:
-    """``key, node, n, bits, prefix``: equal sets have the same node; the empty set has no prefix."""
+    """``key, node, n, bits, fp, prefix``: equal sets have the same node; the empty set has no prefix."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         order = common.value
@@ -104,12 +118,13 @@ def _signatures(docs: DataFrame, words: int, similarity: float, text: str, key:
                 pa.array(nodes, pa.int64()),
                 pa.array([len(s) for s in sets], pa.int32()),
                 pa.array([bitmap(s) for s in sets], pa.list_(pa.int64())),
+                pa.array([fingerprint(s) for s in sets], pa.int64()),
                 pa.array(first, pa.list_(pa.int64())),
             ]
-            yield pa.RecordBatch.from_arrays(columns, [key, "node", "n", "bits", "prefix"])
+            yield pa.RecordBatch.from_arrays(columns, [key, "node", "n", "bits", "fp", "prefix"])
 
     kind = docs.schema[key].dataType.simpleString()
-    shape = f"`{key}` {kind}, node bigint, n int, bits array<bigint>, prefix array<bigint>"
+    shape = f"`{key}` {kind}, node bigint, n int, bits array<bigint>, fp bigint, prefix array<bigint>"
     return docs.select(key, binary_text(text).alias("_text")).mapInArrow(run, shape)
 
 
@@ -156,6 +171,18 @@ def likely(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
     return out.where((both - apart) / 2 >= similarity / (1 + similarity) * both - 1e-9).select("a", "b")
 
 
+def anchored(nodes: DataFrame, reach: int) -> DataFrame:
+    """``a, b``: the pairs of nodes that the anchor cover proposes. The smallest node of a fingerprint (``fp``) meets
+    those of all fingerprints within ``reach`` bits, and the others with its own."""
+    total = max(nodes.count(), 1)
+    prints = saved(nodes.groupBy("fp").agg(F.min("node").alias("_hub"), F.count("*").alias("_n")), "prints")
+    own = join_groups(nodes.select("fp", "node"), prints.where("_n > 1"), ["fp"], "_n", total).where("node != _hub")
+    hub = lambda side: prints.select(F.col("fp").alias(side), F.col("_hub").alias(f"_hub_{side}"))
+    near = links(prints.select("fp"), reach).join(hub("a"), "a").join(hub("b"), "b")
+    ends = (F.least("_hub_a", "_hub_b").alias("a"), F.greatest("_hub_a", "_hub_b").alias("b"))
+    return near.select(*ends).union(own.select(F.col("_hub").alias("a"), F.col("node").alias("b")))
+
+
 def _pairs(active: DataFrame, turn: int, most: int, similarity: float) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The members of entries that are not of one class yet, this round's hubs among them (``hash, node``) and the pairs
     (``a``, ``b``) that they have to be compared in."""
@@ -188,48 +215,60 @@ def near_copies(
     """
     common = docs.sparkSession.sparkContext.broadcast(_sampled(docs, words, text, key, docs.count()))
     rows = saved(_signatures(docs, words, similarity, text, key, common), "signatures")
+    common.unpersist()
     total = max(rows.count(), 1)
     nodes = rows.groupBy("node").agg(
-        F.min(key).alias("_first"), F.count("*").alias("_rows"), F.first("n").alias("n"), F.first("bits").alias("bits")
+        F.min(key).alias("_first"), F.count("*").alias("_rows"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("fp").alias("fp")
     )
     nodes = saved(nodes, "nodes")
     entries = rows.select("node", "n", F.posexplode("prefix").alias("place", "hash"))
     crowd = entries.groupBy("hash").agg(F.count("*").alias("_n")).where("_n > 1")
     crowd = saved(crowd, "crowds")
     members = join_groups(entries, crowd, ["hash"], "_n", max(entries.count(), 1)).select("hash", "node", "n", "place")
-    active = saved(members.distinct().withColumn("root", F.col("node")), "members")
+    held, compared = [], []
 
-    sets, seen, roots, turn, most = None, None, None, 0, active.count()
+    def linked(pairs: DataFrame, roots: DataFrame | None) -> DataFrame | None:
+        """The roots once the pairs that are links have been added."""
+        pairs = saved(likely(pairs, nodes, similarity), "likely")
+        if pairs.isEmpty():
+            return roots
+        known = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        if held:
+            known = known.join(docs.sparkSession.read.parquet(*held), "node", "left_anti")
+        reps = saved(known.join(nodes, "node").select("node", F.col("_first").alias(key)), "representatives")
+        reps = F.broadcast(reps) if reps.count() <= FEW else reps
+        _, sets = saved_more(_sets(docs.select(key, text).join(reps, key), words, text), "sets", held)
+        near = saved(similar(pairs, sets, similarity), "near")
+        if near.isEmpty():
+            return roots
+        # earlier links count as one from each node to its root
+        return components(near if roots is None else near.union(roots.where("node != root").toDF("a", "b")))
+
+    def rooted(active: DataFrame, roots: DataFrame | None) -> DataFrame:
+        if roots is None:
+            return active.withColumn("root", F.col("node"))
+        return active.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+    pairs, seen = saved_more(anchored(nodes, REACH), "pairs", compared)
+    roots = linked(pairs, None)
+    active, turn = saved(rooted(members.distinct(), roots), "members"), 0
+    most = active.count()
     while True:
         # classes only grow, so an entry of one class is done
         active, hubs, pairs = _pairs(active, turn, most, similarity)
-        if seen is not None:
-            pairs = pairs.join(seen, ["a", "b"], "left_anti")
-        pairs = saved(pairs, "pairs")
         if hubs.isEmpty():
             break
-        seen = pairs if seen is None else seen.union(pairs)
-        pairs = saved(likely(pairs, nodes, similarity), "likely")
-        if not pairs.isEmpty():
-            known = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-            known = known if sets is None else known.join(sets, "node", "left_anti")
-            reps = saved(known.join(nodes, "node").select("node", F.col("_first").alias(key)), "representatives")
-            reps = F.broadcast(reps) if reps.count() <= FEW else reps
-            more = saved(_sets(docs.select(key, text).join(reps, key), words, text), "sets")
-            sets = more if sets is None else sets.union(more)
-            near = saved(similar(pairs, sets, similarity), "near")
-            # earlier links count as one from each node to its root
-            links = near if roots is None else near.union(roots.where("node != root").toDF("a", "b"))
-            roots = components(links)
-            active = active.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        active = saved(active.join(hubs, ["hash", "node"], "left_anti"), "members")
+        pairs, seen = saved_more(pairs.join(seen, ["a", "b"], "left_anti"), "pairs", compared)
+        was, roots = roots, linked(pairs, roots)
+        active = active.join(hubs, ["hash", "node"], "left_anti")
+        active = saved(active if roots is was else rooted(active.drop("root"), roots), "members")
         turn += 1
 
-    nodes = nodes.drop("n", "bits")
+    nodes = nodes.drop("n", "bits", "fp")
     placed = nodes if roots is None else nodes.join(roots, "node", "left")
     root = F.col("node") if roots is None else F.coalesce("root", "node")
     placed = saved(placed.withColumn("root", root), "placed")
     least = placed.groupBy("root").agg(F.min("_first").alias("component_id"), F.count("*").alias("_nodes"))
     classes = join_groups(placed, least, ["root"], "_nodes", max(placed.count(), 1))
     classes = saved(classes.select("node", "component_id", "_rows"), "classes")
-    return join_groups(rows.drop("prefix", "n", "bits"), classes, ["node"], "_rows", total).select(key, "component_id")
+    return join_groups(rows.drop("prefix", "n", "bits", "fp"), classes, ["node"], "_rows", total).select(key, "component_id")

@@ -101,6 +101,40 @@ def test_a_template_hides_no_pair(spark, pairs):
     assert {r.doc_id: r.component_id for r in found} == {i: i - i % 2 for i in range(2 * pairs)}
 
 
+def test_the_stage_goes_through_the_anchor_cover(spark, sf_dir, monkeypatch):
+    """Of long texts with a word edited, the cover proposes those within its bits; the exact way never compares these again."""
+    rng, rounds, proposed = random.Random(4), [], []
+    words = [[f"w{rng.randrange(10**5)}" for _ in range(3000)] for _ in range(10)]
+    rows = [(i, " ".join(w)) for i, w in enumerate(words)] + [(100 + i, " ".join([*w[:-1], "other"])) for i, w in enumerate(words)]
+    prints = [jaccard.fingerprint(jaccard.shingles(t.encode(), 5)) % (1 << 64) for _, t in rows]
+    within = sum((x ^ y).bit_count() <= jaccard.REACH for x, y in combinations(prints, 2))
+    anchored, pairs = jaccard.anchored, jaccard._pairs
+
+    def propose(*args):
+        proposed.append(anchored(*args))
+        return proposed[-1]
+
+    def turn(*args):
+        rounds.append(pairs(*args))
+        return rounds[-1]
+
+    monkeypatch.setattr(jaccard, "anchored", propose)
+    monkeypatch.setattr(jaccard, "_pairs", turn)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, sf_dir).collect()) == list(range(10))
+    known = {tuple(r) for r in proposed[0].collect()}
+    assert len(known) == within > 5
+    assert rounds[0][2].count() == 10 - within and not known & {tuple(r) for r in rounds[0][2].collect()}
+
+
+def test_fingerprints_are_majorities_of_the_set():
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 2, 7, 100):
+        found = rng.integers(0, 1 << 64, n, np.uint64)
+        want = sum(1 << b for b in range(64) if sum(h >> b & 1 for h in found.tolist()) * 2 > n)
+        assert jaccard.fingerprint(found) % (1 << 64) == want
+
+
 @pytest.mark.parametrize("edits", [1, 2, 3])
 def test_the_stage_drops_copies_with_a_few_edited_words(spark, sf_dir, edits):
     rng = random.Random(edits)
