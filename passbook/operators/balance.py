@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import signed_log
 from ..session import stored
 from .keys import first_in_group, require_columns, tie_break
-from .ordered import ROWS_PER_CHUNK, add_running, chunk_totals
+from .ordered import ROWS_PER_CHUNK, add_running, chunk_totals, cuts_at_or_below
 
 TXN_REQUIRED = ("accountId", "id", "date", "amount", "direction")
 ACC_REQUIRED = ("accountId", "availableBalance", "balanceDateTime")
@@ -267,27 +267,58 @@ def starting_balance_on(probes: DataFrame, daily: DataFrame, strict: bool = Fals
     return keyed.join(answers, ["_acc", "_day"], "left").drop("_acc", "_day")
 
 
-#: Blocks of 2 ** LEVELS days, the largest ones, span 90 years.
+#: Blocks of 2 ** LEVELS days, the largest ones that a range of days is cut into, span 90 years.
 LEVELS = 15
 
 
-def day_blocks(daily: DataFrame) -> DataFrame:
-    """Summaries of the days of every account, in blocks of 1, 2, 4, ... days that start at multiples of their length:
-    ``n, mean, dev`` (squared deviations from it), ``low, high, first, last``. Two summaries merge into one."""
+def _leaf(balance: Column) -> Column:
+    """The summary of one day: ``n, mean, dev`` (squared deviations from it), ``low, high``. Two summaries merge into one."""
+    return F.struct(
+        F.lit(1).cast("long").alias("n"), balance.alias("mean"), F.lit(0.0).alias("dev"), balance.alias("low"), balance.alias("high")
+    )
+
+
+def _merge(a: Column, b: Column) -> Column:
+    """One summary of two: means and deviations by their counts; of one where the other is NULL."""
+    n = a["n"] + b["n"]
+    apart = b["mean"] - a["mean"]
+    both = F.struct(
+        n.alias("n"), (a["mean"] + apart * b["n"] / n).alias("mean"),
+        (a["dev"] + b["dev"] + apart * apart * a["n"] * b["n"] / n).alias("dev"),
+        F.least(a["low"], b["low"]).alias("low"), F.greatest(a["high"], b["high"]).alias("high"),
+    )
+    return F.when(a.isNull(), b).when(b.isNull(), a).otherwise(both)
+
+
+def account_history(daily: DataFrame) -> DataFrame:
+    """One row per account: ``_days`` and ``_bals``, its days that have a balance in order, and ``_levels``, the summaries of
+    2, 4, 8, ... of them that follow each other, up to all.
+
+    A row holds as many days and as many summaries as the account has active days, so it is bounded by the calendar: 90 years
+    of days are some 2 MB.
+    """
     day = F.datediff("date", F.lit("1970-01-01").cast("date"))
-    spread = daily.select(
-        F.col("accountId").alias("_acc"), day.alias("_day"), F.col("balance").alias("_bal"),
-        F.explode(F.sequence(F.lit(0), F.lit(LEVELS))).alias("_level"),
-    ).withColumn("_block", F.expr("shiftright(_day, _level)"))
-    return spread.groupBy("_acc", "_level", "_block").agg(
-        F.count("_bal").alias("n"), F.avg("_bal").alias("mean"), (F.var_pop("_bal") * F.count("_bal")).alias("dev"),
-        F.min("_bal").alias("low"), F.max("_bal").alias("high"),
-        F.min_by("_bal", "_day").alias("first"), F.max_by("_bal", "_day").alias("last"), F.min("_day").alias("start"), F.max("_day").alias("end"),
+    known = daily.filter(F.col("date").isNotNull() & F.col("balance").isNotNull())
+    rows = known.groupBy(F.col("accountId").alias("_acc")).agg(
+        F.sort_array(F.collect_list(F.struct(day.alias("day"), F.col("balance").cast("double").alias("bal")))).alias("_rows")
+    )
+    pairs = lambda level: F.transform(
+        F.sequence(F.lit(0), F.floor((F.size(level) - 1) / 2).cast("int")),
+        lambda i: _merge(F.get(level, i * 2), F.get(level, i * 2 + 1)),
+    )
+    leaves = F.array(F.transform("_rows", lambda r: _leaf(r["bal"])))
+    every = F.aggregate(
+        F.sequence(F.lit(1), F.length(F.bin(F.size("_rows") - 1))), leaves, lambda acc, _: F.concat(acc, F.array(pairs(F.element_at(acc, -1))))
+    )
+    return rows.select(
+        "_acc", F.transform("_rows", lambda r: r["day"]).alias("_days"), F.transform("_rows", lambda r: r["bal"]).alias("_bals"),
+        F.slice(every, 2, F.size(every) - 1).alias("_levels"),
     )
 
 
-def _range_blocks(start: Column, end: Column) -> Column:
-    """The fewest blocks that make up the days from ``start`` to ``end``: at most two of a length, except the longest."""
+def _blocks_between(lo: Column, hi: Column, levels: Column) -> Column:
+    """The fewest blocks of 1, 2, 4, ... up to 2 ** ``levels`` places, starting at multiples of their length, that make up the
+    places from ``lo`` until before ``hi``: at most two of a length, except the longest."""
     def step(acc: Column, level: Column) -> Column:
         lo, hi = acc["lo"], acc["hi"]
         block = lambda at: F.array(F.struct(level.alias("_level"), at.alias("_block")))
@@ -299,61 +330,53 @@ def _range_blocks(start: Column, end: Column) -> Column:
         taken = F.concat(acc["taken"], F.when(odd_lo, block(lo)).otherwise(none), F.when(odd_hi, block(hi - 1)).otherwise(none))
         return F.struct(F.shiftright(after, 1).alias("lo"), F.shiftright(before, 1).alias("hi"), taken.alias("taken"))
 
-    number = lambda c: F.datediff(c, F.lit("1970-01-01").cast("date"))
-    empty = F.slice(F.array(F.struct(F.lit(0).alias("_level"), number(start).alias("_block"))), 1, 0)
-    first = F.struct(number(start).alias("lo"), (number(end) + 1).alias("hi"), empty.alias("taken"))
-    small = F.aggregate(F.sequence(F.lit(0), F.lit(LEVELS - 1)), first, step)
+    empty = F.slice(F.array(F.struct(F.lit(0).alias("_level"), lo.alias("_block"))), 1, 0)
+    first = F.struct(lo.alias("lo"), hi.alias("hi"), empty.alias("taken"))
+    small = F.aggregate(F.sequence(F.lit(0), levels - 1), first, step)
     rest = F.when(
         small["lo"] < small["hi"],
-        F.transform(F.sequence(small["lo"], small["hi"] - 1), lambda at: F.struct(F.lit(LEVELS).alias("_level"), at.alias("_block"))),
+        F.transform(F.sequence(small["lo"], small["hi"] - 1), lambda at: F.struct(levels.alias("_level"), at.alias("_block"))),
     ).otherwise(empty)
     return F.concat(small["taken"], rest)
 
 
-def _merged(parts: Column) -> Column:
-    """One summary of several: means and deviations by their counts, first and last by their days."""
-    def merge(a: Column, b: Column) -> Column:
-        n = a["n"] + b["n"]
-        apart = b["mean"] - a["mean"]
-        return F.when(b["n"] == 0, a).when(a["n"] == 0, b).otherwise(
-            F.struct(
-                n.alias("n"), (a["mean"] + apart * b["n"] / n).alias("mean"),
-                (a["dev"] + b["dev"] + apart * apart * a["n"] * b["n"] / n).alias("dev"),
-                F.least(a["low"], b["low"]).alias("low"), F.greatest(a["high"], b["high"]).alias("high"),
-                F.when(a["start"] <= b["start"], a["first"]).otherwise(b["first"]).alias("first"),
-                F.when(a["end"] >= b["end"], a["last"]).otherwise(b["last"]).alias("last"),
-                F.least(a["start"], b["start"]).alias("start"), F.greatest(a["end"], b["end"]).alias("end"),
-            )
-        )
-
-    return F.aggregate(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), F.get(parts, 0), merge)
+def _range_blocks(start: Column, end: Column) -> Column:
+    """The fewest blocks that make up the days from ``start`` to ``end``."""
+    number = lambda c: F.datediff(c, F.lit("1970-01-01").cast("date"))
+    return _blocks_between(number(start), number(end) + 1, F.lit(LEVELS))
 
 
 def window_stats(probes: DataFrame, daily: DataFrame, start: str = "start_date", end: str = "end_date") -> DataFrame:
-    """Balance statistics over ``[start, end]`` for each probe; all NULL when the range is empty.
+    """Balance statistics over ``[start, end]`` for each probe; all NULL when the range has no day with a balance.
 
-    A range is put together from mergeable summaries of blocks of days: of n days at most 2 log2 n, however long it is,
-    and one of 90 years and more another block per 90 years. Probe blocks and day blocks meet on their number, and
-    equal probes are answered once.
+    An account's days travel once, as one row with mergeable summaries of them, and so does a probe, to the row of its account:
+    nothing is sent for each block. A range of n active days is put together there from at most 2 log2 n summaries,
+    however long it is. An account with very many probes is left to adaptive execution, which deals them to several tasks.
     """
-    keyed = (
-        probes.withColumn("_acc", account_key())
-        .withColumn("_from", F.to_date(start))
-        .withColumn("_to", F.to_date(end))
+    number = lambda c: F.datediff(F.to_date(c), F.lit("1970-01-01").cast("date"))
+    keyed = probes.withColumns({"_acc": account_key(), "_from": number(start), "_to": number(end)})
+    joined = keyed.join(stored(account_history(daily), "history"), "_acc", "left")
+    places = joined.withColumns(
+        {"_lo": cuts_at_or_below(F.col("_days"), F.col("_from") - 1), "_hi": cuts_at_or_below(F.col("_days"), F.col("_to"))}
+    )
+    blocks = _blocks_between(F.col("_lo"), F.col("_hi"), F.size("_levels"))
+    summary = lambda b: F.when(b["_level"] == 0, _leaf(F.get("_bals", b["_block"]))).otherwise(
+        F.get(F.get("_levels", b["_level"] - 1), b["_block"])
     )
-    asked = keyed.select("_acc", "_from", "_to").distinct().filter(F.col("_from") <= F.col("_to"))
-    spread = asked.select("_acc", "_from", "_to", F.inline(_range_blocks(F.col("_from"), F.col("_to"))))
-    parts = F.struct("n", "mean", "dev", "low", "high", "first", "last", "start", "end")
-    hits = spread.join(day_blocks(daily), ["_acc", "_level", "_block"])
-    merged = hits.groupBy("_acc", "_from", "_to").agg(F.collect_list(parts).alias("_parts")).withColumn("_all", _merged(F.col("_parts")))
-    stats = merged.select(
-        "_acc", "_from", "_to",
-        F.col("_all.first").alias("start_balance"), F.col("_all.last").alias("end_balance"),
-        F.col("_all.low").alias("min_balance"), F.col("_all.high").alias("max_balance"), F.col("_all.mean").alias("avg_balance"),
-        F.sqrt(F.col("_all.dev") / F.col("_all.n")).alias("balance_volatility"),
-        (F.col("_all.last") - F.col("_all.first")).alias("balance_change"),
+    none = F.when(F.lit(False), _leaf(F.lit(0.0)))
+    some = F.col("_from").isNotNull() & F.col("_to").isNotNull() & (F.col("_lo") < F.col("_hi"))
+    whole = F.when(some, F.aggregate(blocks, none, lambda acc, b: _merge(acc, summary(b))))
+    stats = places.withColumns(
+        {"_all": whole, "_first": F.when(some, F.get("_bals", F.col("_lo"))), "_last": F.when(some, F.get("_bals", F.col("_hi") - 1))}
     )
-    return keyed.join(stats, ["_acc", "_from", "_to"], "left").drop("_acc", "_from", "_to")
+    return stats.withColumns(
+        {
+            "start_balance": F.col("_first"), "end_balance": F.col("_last"),
+            "min_balance": F.col("_all.low"), "max_balance": F.col("_all.high"), "avg_balance": F.col("_all.mean"),
+            "balance_volatility": F.sqrt(F.col("_all.dev") / F.col("_all.n")),
+            "balance_change": F.col("_last") - F.col("_first"),
+        }
+    ).drop("_acc", "_from", "_to", "_days", "_bals", "_levels", "_lo", "_hi", "_all", "_first", "_last")
 
 
 def rolling_features(daily: DataFrame, back: int = 8, until: int = 1, strict: bool = False) -> DataFrame:

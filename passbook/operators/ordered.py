@@ -24,7 +24,7 @@ SALTS = 64
 ROWS_PER_PIECE = 250_000
 
 
-def _cuts_at_or_below(cuts: Column, value: Column) -> Column:
+def cuts_at_or_below(cuts: Column, value: Column) -> Column:
     """How many of the sorted ``cuts`` are <= value, by halving the array."""
     n = F.size(cuts)
     steps = F.ceil(F.log2(n + 1)).cast("int")
@@ -69,7 +69,7 @@ def with_chunks(
         placed = salted.join(spread, [*keys, "_salt"], "left").drop("_salt")
     else:
         placed = df.withColumn("_cuts", cuts.scalar())
-    return placed.withColumn("_chunk", _cuts_at_or_below(F.col("_cuts"), place)).drop("_cuts")
+    return placed.withColumn("_chunk", cuts_at_or_below(F.col("_cuts"), place)).drop("_cuts")
 
 
 def chunk_totals(

@@ -179,3 +179,18 @@ def test_long_ranges_are_few_blocks(spark):
         F.size(B._range_blocks(F.col("start_date"), F.col("end_date"))).alias("n"), F.datediff("end_date", "start_date").alias("d")
     )
     assert all(r.n <= 2 * max(1, (r.d + 1).bit_length()) for r in blocks.collect())
+
+
+def test_window_stats_moves_probes_and_accounts_once_and_skips_days_without_a_balance(spark):
+    """Nothing is sent for each block of days: a probe is read and shuffled once. A day with a NULL balance is not the first."""
+    daily = spark.createDataFrame(
+        [("A", D(2024, 1, 2), None), ("A", D(2024, 1, 3), 100.0), ("B", D(2024, 1, 3), None)], "accountId string, date date, balance double"
+    )
+    probes = spark.createDataFrame([("a", D(2024, 1, 2), D(2024, 1, 3)), ("b", D(2024, 1, 2), D(2024, 1, 3)), ("a", None, D(2024, 1, 3))],
+                                   "accountId string, start_date date, end_date date")
+    stats = B.window_stats(probes, daily)
+    plan = stats._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Join") == 1 and plan.count("Exchange") <= 2 and "hashpartitioning(_acc, _level" not in plan
+    got = {(r.accountId, r.start_date): (r.start_balance, r.end_balance, r.avg_balance, r.balance_volatility) for r in stats.collect()}
+    nothing = (None,) * 4
+    assert got == {("a", D(2024, 1, 2)): (100.0, 100.0, 100.0, 0.0), ("b", D(2024, 1, 2)): nothing, ("a", None): nothing}
