@@ -7,6 +7,7 @@ it ends at the optimum and not at an iteration count.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
@@ -161,9 +162,8 @@ def predict(model, rows: DataFrame, out: str = "score") -> DataFrame:
 
 def out_of_fold(rows: DataFrame, features: str, seed: int, folds: int = FOLDS, id_col: str = "id") -> DataFrame:
     """``score`` of every row from a linear model that has not seen its fold (hash of the id)."""
-    ensure_checkpoint_dir(rows.sparkSession)
     fold = F.floor(uniform(F.col(id_col), seed, "fold") * folds).cast("int")
-    placed = rows.withColumn("_fold", fold).checkpoint()
+    placed = stored(rows.withColumn("_fold", fold), "folds")
     parts = []
     for k in range(folds):
         model = fit_linear(placed.filter(F.col("_fold") != k), features)
@@ -221,7 +221,7 @@ def label_issues(scored: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
 def fit_cleaned(rows: DataFrame, features: str, seed: int, id_col: str = "id"):
     """Linear model refitted without the rows whose label is in doubt."""
-    marked = label_issues(out_of_fold(rows, features, seed, id_col=id_col).checkpoint())
+    marked = label_issues(stored(out_of_fold(rows, features, seed, id_col=id_col), "out-of-fold"))
     return fit_linear(marked.filter(~F.col("issue")).drop("score", "issue"), features)
 
 
@@ -232,17 +232,19 @@ def score_methods(
     methods: Sequence[str] = tuple(METHODS),
     trees: int | None = None,
     id_col: str = "id",
+    workers: int = 1,
 ) -> DataFrame:
     """Test rows scored by each method: ``method, id, label, score``.
 
-    ``trees`` is the number of boosted trees, ``TREES`` unless given. The loop is over methods; each fit and each scoring is a distributed job. Fits pass over the
-    training rows many times, so these are cut off from their plan first.
+    ``trees`` is the number of boosted trees, ``TREES`` unless given. Methods are fitted side by side by ``workers`` threads; each
+    fit and each scoring is a distributed job. Fits pass over the training rows many times and every method scores the test
+    rows, so both are written to the shared folder once and read from there.
     """
     ensure_checkpoint_dir(train.sparkSession)
-    fit_rows = feature_sets(train).checkpoint()
-    test_rows = feature_sets(test)
-    parts = []
-    for name in methods:
+    fit_rows = stored(feature_sets(train), "train")
+    test_rows = stored(feature_sets(test), "test")
+
+    def one(name: str) -> DataFrame:
         kind, features = METHODS[name]
         if kind == "trees":
             model = fit_trees(fit_rows, features, seed, trees or TREES)
@@ -250,11 +252,12 @@ def score_methods(
             model = fit_linear(fit_rows, features)
         else:
             model = fit_cleaned(fit_rows, features, seed, id_col)
-        parts.append(
-            predict(model, test_rows).select(
-                F.lit(name).alias("method"), F.col(id_col).cast("string").alias("id"), "label", "score"
-            )
+        return predict(model, test_rows).select(
+            F.lit(name).alias("method"), F.col(id_col).cast("string").alias("id"), "label", "score"
         )
+
+    with ThreadPoolExecutor(workers) as pool:
+        parts = list(pool.map(one, methods))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)

@@ -9,6 +9,7 @@ from ..operators import embed as M
 from ..operators import evaluate as E
 from ..operators import models as K
 from ..plans import views as V
+from ..session import stored
 from .registry import query
 from .sqlviews import SCORES, TXN_SHORT, with_views
 
@@ -321,7 +322,7 @@ def concatenated_features(spark, sf):
 
 
 def _train_test(spark, sf):
-    rows = _labelled(spark, sf)
+    rows = stored(_labelled(spark, sf), "labelled")
     split = E.train_test_split(rows.select("id"), [42], id_col="id").select("id", "split")
     both = rows.join(split, "id")
     return both.filter("split = 'train'").drop("split"), both.filter("split = 'test'").drop("split")
@@ -418,8 +419,12 @@ def cleaned_label_scores(spark, sf):
     return K.score_methods(train, test, 42, ["PUL_Feat", "PUL_Emb"])
 
 
+#: Methods that method_table fits side by side.
+WORKERS = 4
+
+
 @query("method_table", "method:s auc:f6 n_pos:i n_total:i lift_5:f6 lift_10:f6 conf_10:f6")
 def method_table(spark, sf):
     train, test = _train_test(spark, sf)
-    scored = K.score_methods(train, test, 42)
+    scored = stored(K.score_methods(train, test, 42, workers=WORKERS), "scored")
     return K.method_table(scored, ["method"])

@@ -261,3 +261,16 @@ def test_linear_model_ends_at_the_optimum(spark):
     assert np.allclose(x.T @ (w * (p - y)) + np.array(got.weights), 0, atol=1e-6) and abs((w * (p - y)).sum()) < 1e-6
     one = K.fit_linear(rows.filter("label = 1"), "emb")
     assert {r.score for r in K.predict(one, rows).collect()} == {1.0}
+
+
+def test_train_and_test_rows_are_made_once_for_all_methods(spark):
+    """The scores are read from rows that were written once: nothing of what the test rows are made of is left in their plan."""
+    n = F.col("id") % 4
+    rows = spark.range(80).select(
+        F.col("id").cast("string").alias("id"), (n == 0).cast("int").alias("label"),
+        F.array(n.cast("double"), (F.col("id") % 7).cast("double")).alias("embedding"), F.array(*[F.lit(0.0)] * 7).alias("features"),
+    )
+    scored = K.score_methods(rows, rows, 1, ["Linear_Emb", "PUL_Emb"], workers=2)
+    assert "Range (" not in scored._jdf.queryExecution().executedPlan().toString()
+    got = {m: sorted(r.id for r in scored.filter(F.col("method") == m).collect()) for m in ("Linear_Emb", "PUL_Emb")}
+    assert got["Linear_Emb"] == got["PUL_Emb"] == sorted(str(i) for i in range(80))
