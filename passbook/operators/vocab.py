@@ -7,6 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import stored
 from .clean import ALIASES, find_column
 from .ordered import ROWS_PER_CHUNK, rank_rows
 
@@ -37,12 +38,14 @@ def distinct_tokens(df: DataFrame, columns: Mapping[str, str]) -> DataFrame:
 
 
 def build_vocab(df: DataFrame, columns: Mapping[str, str] | None = None, rows_per_chunk: int = ROWS_PER_CHUNK) -> DataFrame:
-    """``(feature, token, token_id)`` with ids from 2 in the byte order of the tokens."""
+    """``(feature, token, token_id)`` with ids from 2 in the byte order of the tokens.
+
+    ``df`` is read once: its distinct tokens are written to the shared folder and ranked from there.
+    """
     if columns is None:
         columns = {f: c for f, c in feature_columns(df).items() if c}
-    ranked = rank_rows(
-        distinct_tokens(df, columns), ["feature"], ["token"], "token_id", rows_per_chunk=rows_per_chunk
-    )
+    tokens = stored(distinct_tokens(df, columns), "tokens")
+    ranked = rank_rows(tokens, ["feature"], ["token"], "token_id", rows_per_chunk=rows_per_chunk)
     return ranked.select("feature", "token", (F.col("token_id") + (FIRST_ID - 1)).cast("int").alias("token_id"))
 
 

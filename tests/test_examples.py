@@ -124,3 +124,11 @@ def test_audit_finds_bad_values(spark):
     t = _txns(spark)
     ex = X.build_examples(t, None, None, min_days=1)
     assert X.audit_examples(ex).count() == 0
+
+
+def test_vocabulary_is_ranked_from_tokens_that_were_written_once(spark):
+    """Nothing of the rows is left in the plan; marks, totals and ranks all read the tokens."""
+    words = spark.range(40).select(F.concat(F.lit("w"), (F.col("id") % 5).cast("string")).alias("word"))
+    vocab = V.build_vocab(words, {"word": "word"}, rows_per_chunk=2)
+    assert "Range (" not in vocab._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.token, r.token_id) for r in vocab.collect()) == [(f"w{i}", i + 2) for i in range(5)]
