@@ -20,6 +20,10 @@ class from the start.
 Pairs whose lengths or places in the order rule a link out are not compared, nor are those told apart by their bitmaps: a
 bit is the parity of the shingles whose hash falls on it, so two sets differ in as many shingles at least as their
 bitmaps in bits. What is left is verified on the whole sets.
+
+A broadcast table whose key is not one whole number takes a page of memory (32 MB on a small executor) however few rows it
+has, and keeps it until the driver collects its garbage; with several in each round, they would fill the executors. So
+only tables keyed by one whole number are broadcast here, and joins by two columns are merged.
 """
 
 from __future__ import annotations
@@ -32,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary_text, join_groups, saved, saved_more, slices
+from .common import HOT_GROUPS, binary_text, join_groups, saved, saved_more, slices
 from .components import components
 from .simhash import links
 
@@ -97,13 +101,19 @@ def _sampled(docs: DataFrame, words: int, text: str, key: str, total: int) -> tu
 
     share = max(1, -(-total // SAMPLE))
     some = docs.where(F.pmod(F.xxhash64(key), F.lit(share)) == 0).select(binary_text(text).alias("_text"))
-    counts = some.mapInArrow(run, "hash bigint, n bigint").groupBy("hash").agg(F.sum("n").alias("n")).where("n > 1")
+    # most shingles are met once, so counting them before the shuffle would fill each task's memory and save little
+    counts = some.mapInArrow(run, "hash bigint, n bigint").repartition("hash").groupBy("hash").agg(F.sum("n").alias("n")).where("n > 1")
     found = counts.orderBy(F.desc("n"), "hash").limit(COMMON).toArrow()
     hashes = found.column("hash").to_numpy().view(np.uint64)
     order = np.argsort(hashes)
     return hashes[order], found.column("n").to_numpy()[order]
 
 
+def node(found: np.ndarray) -> int:
+    """The number of a set, as a signed one."""
+    return xxhash.xxh64_intdigest(found.tobytes()) - (1 << 63)
+
+
 def _signatures(docs: DataFrame, words: int, similarity: float, text: str, key: str, common) -> DataFrame:
     """``key, node, n, bits, fp, prefix``: equal sets have the same node; the empty set has no prefix."""
 
@@ -111,7 +121,7 @@ def _signatures(docs: DataFrame, words: int, similarity: float, text: str, key:
         order = common.value
         for batch in slices(batches, "_text"):
             sets = [shingles(v, words) for v in batch.column("_text").to_pylist()]
-            nodes = [xxhash.xxh64_intdigest(s.tobytes()) - (1 << 63) for s in sets]
+            nodes = [node(s) for s in sets]
             first = [prefix(s, order, similarity).view(np.int64) for s in sets]
             columns = [
                 batch.column(key),
@@ -129,14 +139,22 @@ def _signatures(docs: DataFrame, words: int, similarity: float, text: str, key:
 
 
 def _sets(docs: DataFrame, words: int, text: str) -> DataFrame:
-    """``node, set`` of rows with ``node`` and text."""
+    """``node, set`` of every row's text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "_text"):
-            sets = [shingles(v, words).view(np.int64) for v in batch.column("_text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(sets, pa.list_(pa.int64()))], ["node", "set"])
+            sets = [shingles(v, words) for v in batch.column("_text").to_pylist()]
+            columns = [pa.array([node(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, ["node", "set"])
+
+    return docs.select(binary_text(text).alias("_text")).mapInArrow(run, "node bigint, set array<bigint>")
+
 
-    return docs.select("node", binary_text(text).alias("_text")).mapInArrow(run, "node bigint, set array<bigint>")
+def _joined(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int) -> DataFrame:
+    """``join_groups`` with saved groups: one plain join where none of them is hot."""
+    if groups.where(F.col(size) * HOT_GROUPS > total).isEmpty():
+        return rows.join(groups, keys)
+    return join_groups(rows, groups, keys, size, total)
 
 
 def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -149,7 +167,7 @@ def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
         degree = saved(degree.withColumn("_parts", F.ceil(F.col("_n") / MEETING).cast("int")), "degrees")
         known = degree.join(sets.withColumnsRenamed({"node": side, "set": f"_{side}"}), side)
         known = known.withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_n", "_parts")
-        dealt = join_groups(out, degree, [side], "_n", total).drop("_n")
+        dealt = _joined(out, degree, [side], "_n", total).drop("_n")
         dealt = dealt.withColumn("_part", F.pmod(F.xxhash64(other), F.col("_parts")).cast("int")).drop("_parts")
         out = dealt.hint("merge").join(known, [side, "_part"]).drop("_part")
     both = F.size(F.array_intersect("_a", "_b"))
@@ -162,8 +180,9 @@ def likely(pairs: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
     total, out = max(pairs.count(), 1), pairs
     for side in ("a", "b"):
         degree = pairs.groupBy(F.col(side).alias("node")).agg(F.count("*").alias("_n"))
-        known = degree.join(nodes.select("node", "n", "bits"), "node").withColumnsRenamed({"node": side, "n": f"_size_{side}", "bits": f"_bits_{side}"})
-        out = join_groups(out, known, [side], "_n", total).drop("_n")
+        known = saved(degree.join(nodes.select("node", "n", "bits"), "node"), "bitmaps")
+        known = known.withColumnsRenamed({"node": side, "n": f"_size_{side}", "bits": f"_bits_{side}"})
+        out = _joined(out, known, [side], "_n", total).drop("_n")
     apart = F.aggregate(
         F.zip_with("_bits_a", "_bits_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, n: s + n
     )
@@ -176,7 +195,7 @@ def anchored(nodes: DataFrame, reach: int) -> DataFrame:
     those of all fingerprints within ``reach`` bits, and the others with its own."""
     total = max(nodes.count(), 1)
     prints = saved(nodes.groupBy("fp").agg(F.min("node").alias("_hub"), F.count("*").alias("_n")), "prints")
-    own = join_groups(nodes.select("fp", "node"), prints.where("_n > 1"), ["fp"], "_n", total).where("node != _hub")
+    own = _joined(nodes.select("fp", "node"), prints.where("_n > 1"), ["fp"], "_n", total).where("node != _hub")
     hub = lambda side: prints.select(F.col("fp").alias(side), F.col("_hub").alias(f"_hub_{side}"))
     near = links(prints.select("fp"), reach).join(hub("a"), "a").join(hub("b"), "b")
     ends = (F.least("_hub_a", "_hub_b").alias("a"), F.greatest("_hub_a", "_hub_b").alias("b"))
@@ -189,11 +208,11 @@ def _pairs(active: DataFrame, turn: int, most: int, similarity: float) -> tuple[
     entries = active.groupBy("hash").agg(F.min("root").alias("_low"), F.max("root").alias("_high"), F.count("*").alias("_n"))
     mixed = saved(entries.where("_low < _high").select("hash", "_n"), "mixed")
     total = max(active.count(), 1)
-    left = saved(join_groups(active, mixed, ["hash"], "_n", total), "mixed-members")
+    left = saved(_joined(active, mixed, ["hash"], "_n", total), "mixed-members")
     part = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(max(2**turn, most // max(left.count(), 1))))
     hubs = left.groupBy("hash", "_n", part.alias("_part")).agg(F.min(F.struct("node", "n", "place", "root")).alias("_hub"))
     hubs = saved(hubs.select("hash", "_n", "_hub"), "hubs")
-    both = join_groups(left.drop("_n"), hubs, ["hash"], "_n", total)
+    both = _joined(left.drop("_n"), hubs, ["hash"], "_n", total)
     n, m, i, j = F.col("n"), F.col("_hub.n"), F.col("place"), F.col("_hub.place")
     apart = (F.col("root") != F.col("_hub.root")) & (F.least(n, m) >= similarity * F.greatest(n, m) - 1e-9)
     # what both hold from here on; a pair that shares an earlier shingle is judged by that one
@@ -224,7 +243,7 @@ def near_copies(
     entries = rows.select("node", "n", F.posexplode("prefix").alias("place", "hash"))
     crowd = entries.groupBy("hash").agg(F.count("*").alias("_n")).where("_n > 1")
     crowd = saved(crowd, "crowds")
-    members = join_groups(entries, crowd, ["hash"], "_n", max(entries.count(), 1)).select("hash", "node", "n", "place")
+    members = _joined(entries, crowd, ["hash"], "_n", max(entries.count(), 1)).select("hash", "node", "n", "place")
     held, compared = [], []
 
     def linked(pairs: DataFrame, roots: DataFrame | None) -> DataFrame | None:
@@ -235,9 +254,11 @@ def near_copies(
         known = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
         if held:
             known = known.join(docs.sparkSession.read.parquet(*held), "node", "left_anti")
-        reps = saved(known.join(nodes, "node").select("node", F.col("_first").alias(key)), "representatives")
+        # found by the hash of their key: another text that has it gives one set more, which no pair asks for
+        reps = saved(known.join(nodes, "node").select(F.xxhash64("_first").alias("_hash")).distinct(), "representatives")
         reps = F.broadcast(reps) if reps.count() <= FEW else reps
-        _, sets = saved_more(_sets(docs.select(key, text).join(reps, key), words, text), "sets", held)
+        chosen = docs.select(F.xxhash64(key).alias("_hash"), F.col(text).alias("_text")).join(reps, "_hash", "left_semi")
+        _, sets = saved_more(_sets(chosen, words, "_text"), "sets", held)
         near = saved(similar(pairs, sets, similarity), "near")
         if near.isEmpty():
             return roots
@@ -258,9 +279,9 @@ def near_copies(
         active, hubs, pairs = _pairs(active, turn, most, similarity)
         if hubs.isEmpty():
             break
-        pairs, seen = saved_more(pairs.join(seen, ["a", "b"], "left_anti"), "pairs", compared)
+        pairs, seen = saved_more(pairs.join(seen.hint("merge"), ["a", "b"], "left_anti"), "pairs", compared)
         was, roots = roots, linked(pairs, roots)
-        active = active.join(hubs, ["hash", "node"], "left_anti")
+        active = active.join(hubs.hint("merge"), ["hash", "node"], "left_anti")
         active = saved(active if roots is was else rooted(active.drop("root"), roots), "members")
         turn += 1
 
@@ -269,6 +290,7 @@ def near_copies(
     root = F.col("node") if roots is None else F.coalesce("root", "node")
     placed = saved(placed.withColumn("root", root), "placed")
     least = placed.groupBy("root").agg(F.min("_first").alias("component_id"), F.count("*").alias("_nodes"))
-    classes = join_groups(placed, least, ["root"], "_nodes", max(placed.count(), 1))
+    least = saved(least, "least")
+    classes = _joined(placed, least, ["root"], "_nodes", max(placed.count(), 1))
     classes = saved(classes.select("node", "component_id", "_rows"), "classes")
-    return join_groups(rows.drop("prefix", "n", "bits", "fp"), classes, ["node"], "_rows", total).select(key, "component_id")
+    return _joined(rows.drop("prefix", "n", "bits", "fp"), classes, ["node"], "_rows", total).select(key, "component_id")

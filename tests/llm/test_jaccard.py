@@ -1,4 +1,5 @@
 import random
+import re
 from itertools import combinations
 
 import numpy as np
@@ -145,3 +146,22 @@ def test_the_stage_drops_copies_with_a_few_edited_words(spark, sf_dir, edits):
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     want = [rows[i][0] for i, r in enumerate(brute_roots(texts)) if i == r]
     assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, sf_dir).collect()) == want == list(range(20))
+
+
+def test_only_tables_keyed_by_one_number_are_broadcast(spark, monkeypatch):
+    """Any other broadcast table takes a whole page of every executor, and each round would leave some there."""
+    plans, saved, more = [], jaccard.saved, jaccard.saved_more
+    seen = lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString())
+    monkeypatch.setattr(jaccard, "saved", lambda df, name: seen(df) or saved(df, name))
+    monkeypatch.setattr(jaccard, "saved_more", lambda df, name, paths: seen(df) or more(df, name, paths))
+    rng = random.Random(7)
+    words = [[f"w{rng.randrange(10**5)}" for _ in range(150)] for _ in range(10)]
+    texts = [" ".join(w) for w in words] + [" ".join(edited(rng, w, 2)) for w in words] + ["", None]
+    docs = spark.createDataFrame([((i % 3 == 0, i), t) for i, t in enumerate(texts)], "key struct<odd: boolean, id: bigint>, text string")
+    got = {r.key.id: r.component_id.id for r in near_copies(docs, key="key").collect()}
+    roots, least = brute_roots(texts), {}
+    for i in sorted(range(len(texts)), key=lambda i: (i % 3 == 0, i)):
+        least.setdefault(roots[i], i)
+    assert got == {i: least[r] for i, r in enumerate(roots)}
+    keys = [m.split(", ") for plan in plans for m in re.findall(r"BroadcastHashJoin \[([^\]]*)\]", plan)]
+    assert keys and all(len(k) == 1 and re.fullmatch(r"\w+#\d+L", k[0]) for k in keys), keys
